@@ -29,7 +29,7 @@ from citewright.session import cut
 WINDOW = 20
 FREEZE = 9  #: words of context from which a symbol stays as it is; so nearly all fit in a window
 ROUNDS = 6
-BATCH_WORDS = 400_000
+BATCH_WORDS = 600_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -149,7 +149,11 @@ def _layout(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def symbols(rows: DataFrame) -> DataFrame:
-    """(symbol, row, place) of all symbols that are some window's anchor."""
+    """(symbol, row, place) of all symbols that are some window's anchor.
+
+    Symbols that a batch holds more than once are known to repeat: all their places come under a
+    symbol below zero that only their row has, and the symbol itself comes once for the batch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -159,18 +163,28 @@ def symbols(rows: DataFrame) -> DataFrame:
                     continue
                 _, place, key = anchors(found, doc, begin)
                 place, first = np.unique(place, return_index=True)
+                key = key[first]
                 word = place % len(found)
                 own = doc[word]
                 near = (word - begin[own]).astype(np.int32)
                 near = np.where(place < len(found), near, -1 - near)  # windows count below zero
-                yield pd.DataFrame({"symbol": key[first], "row": part["row"].to_numpy()[own], "place": near})
+                row = part["row"].to_numpy()[own]
+                _, lead, which, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                known = times[which] > 1
+                again = lead[times > 1]
+                yield pd.DataFrame({
+                    "symbol": np.r_[np.where(known, -1 - (row & np.int64((1 << 62) - 1)), key), key[again]],
+                    "row": np.r_[row, row[again]], "place": np.r_[near, near[again]],
+                })
 
     return rows.mapInPandas(run, "symbol long, row long, place int")
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows that may repeat. kind 0: the first in its batch, by digest; kind 1: later ones, as
-    stretches [place, place + n) of windows that are known to repeat."""
+    """Windows that may repeat, as (digest a and b, row, stretch): the place above 32 bits, and below
+
+    them 0 for the first of equal windows in its batch, or the length of a run of windows that are
+    known to repeat, which come under their row instead of a digest."""
     for pdf in batches:
         pdf = pdf.sort_values("row")
         for part, words in _batches(pdf, "text"):
@@ -195,22 +209,23 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lead = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
             first = np.zeros(len(may), bool)
             first[order[lead]] = True
-            rows, place = part["row"].to_numpy()[doc[may]], (may - begin[doc[may]]).astype(np.int32)
-            yield pd.DataFrame({"kind": np.int32(0), "a": a[first], "b": b[first], "row": rows[first], "place": place[first], "n": np.int32(1)})
+            rows, place = part["row"].to_numpy()[doc[may]], (may - begin[doc[may]]).astype(np.int64)
+            yield pd.DataFrame({"a": a[first], "b": b[first], "row": rows[first], "stretch": place[first] << 32})
             later = np.flatnonzero(~first)
             if len(later):
                 head = np.flatnonzero(np.r_[True, (np.diff(may[later]) != 1) | (np.diff(doc[may[later]]) != 0)])
-                n = np.diff(np.r_[head, len(later)]).astype(np.int32)
+                n = np.diff(np.r_[head, len(later)])
                 k = later[head]
-                yield pd.DataFrame({"kind": np.int32(1), "a": rows[k], "b": np.int64(0), "row": rows[k], "place": place[k], "n": n})
+                yield pd.DataFrame({"a": rows[k], "b": np.int64(0), "row": rows[k], "stretch": place[k] << 32 | n})
 
 
-def _removed(n_words: int, starts, lengths) -> np.ndarray:
+def _removed(n_words: int, stretches) -> np.ndarray:
     gone = np.zeros(n_words + 1, np.int32)
-    if starts is not None and len(starts):
-        s, n = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
-        np.add.at(gone, s, 1)
-        np.add.at(gone, np.minimum(s + n + WINDOW - 1, n_words), -1)
+    if stretches is not None and len(stretches):
+        found = np.asarray(stretches, np.int64)
+        start, n = found >> 32, np.maximum(found & 0xFFFFFFFF, 1)
+        np.add.at(gone, start, 1)
+        np.add.at(gone, np.minimum(start + n + WINDOW - 1, n_words), -1)
     return np.cumsum(gone)[:n_words] > 0
 
 
@@ -237,14 +252,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = digest.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = digest.join(firsts, "digest").where("row <> first").select("row", F.lit(True).alias("copy"))
     found = symbols(texts.select("row", "text"))
-    counted = found.groupBy("symbol").agg(F.count("*").alias("times")).where("times > 1").select("symbol")
-    known = cut(counted, "symbols")
-    places = found.join(known, "symbol").groupBy("row").agg(F.collect_list("place").alias("places"))
+    repeated = found.selectExpr("*", "count(*) over (partition by symbol) as times").where("symbol < 0 or times > 1")
+    places = repeated.groupBy("row").agg(F.collect_list("place").alias("places"))
     # the id goes along so that this exchange of texts is the one that the last join uses
     marked = texts.join(places, "row").join(copies, "row", "left").where("copy is null").select("id", "row", "text", "places")
-    windows = marked.mapInPandas(_windows, "kind int, a long, b long, row long, place int, n int")
-    ranked = windows.selectExpr("*", "row_number() over (partition by kind, a, b order by row, place) as k").where("kind = 1 or k > 1")
-    gone = ranked.groupBy("row").agg(F.collect_list(F.struct("place", "n")).alias("gone"))
+    windows = marked.mapInPandas(_windows, "a long, b long, row long, stretch long")
+    ranked = windows.selectExpr("*", "row_number() over (partition by a, b order by row, stretch) as k")
+    gone = ranked.where("k > 1 or stretch % 4294967296 > 0").groupBy("row").agg(F.collect_list("stretch").alias("gone"))
     final = texts.join(copies, "row", "left").join(gone, "row", "left")
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -256,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if copy is True and len(words) >= WINDOW:
                     out.append((len(words), len(words), ""))
                     continue
-                gone = _removed(len(words), [c["place"] for c in cuts] if cuts is not None else None, [c["n"] for c in cuts] if cuts is not None else None)
+                gone = _removed(len(words), cuts)
                 kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
             got = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
