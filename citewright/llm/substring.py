@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = cut(order.withColumn("row", F.monotonically_increasing_id()), "numbered")
     else:
         texts = texts.withColumn("row", F.col("id").cast("long"))
-    texts = texts.select("id", "row", "text")
+    texts = texts.select("id", "row", "text").where("row is not null")  # no row lacks one; said here, so that both exchanges of texts are one
     # exact copies first: all windows of a later copy start earlier, so only first copies go on
     digest = texts.select("row", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
     firsts = digest.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1")
