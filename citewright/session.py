@@ -56,3 +56,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Rows that Spark hands to Python at a time: few where rows hold whole texts.
+
+    A session that asks for fewer keeps its setting.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) not in range(1, rows + 1):
+        spark.conf.set(name, str(rows))
