@@ -16,7 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_CHARS = 2_000_000  #: characters handed to the library at a time
+from citewright.session import batch_rows
+
+BATCH_ROWS = 1000
+BATCH_CHARS = 300_000  #: characters handed to the library at a time
 
 
 def byte_table() -> list[str]:
@@ -27,9 +30,7 @@ def byte_table() -> list[str]:
 
 
 class Codec:
-    """One tokenizer file, loaded once in each worker."""
-
-    _loaded: dict[str, Codec] = {}
+    """One tokenizer file; each task loads its own, so that idle workers hold none."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -47,12 +48,6 @@ class Codec:
             if i not in special:
                 self.pieces[i] = bytes(back[c] for c in token)
 
-    @classmethod
-    def at(cls, path: str) -> Codec:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         batch, chars = [], 0
         for text in texts:
@@ -77,11 +72,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null texts count as empty and have no ids. Very long texts are one row like any other. Repeated
     rows and null ids are kept; other columns are ignored; an empty table gives no rows.
     """
+    batch_rows(docs.sparkSession, BATCH_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"id {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.at(path)
+        codec = Codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             columns, names = [batch.column("id")], ["id"]
@@ -103,7 +99,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.at(path)
+        codec = Codec(path)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             raw = [codec.decode(x or []) for x in ids]
@@ -116,10 +112,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): each batch is encoded, digested and decoded in one pass."""
+    batch_rows(docs.sparkSession, BATCH_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.at(path)
+        codec = Codec(path)
         names = [str(i) for i in range(len(codec.pieces))]
         for batch in batches:
             n, spelled, decoded = [], [], []

@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citewright.operators.components import connected_components, spanning_forest
-from citewright.session import cut
+from citewright.session import batch_rows, cut
 
 THRESHOLD = 0.95
 MISS = 1e-4  #: chance to miss a pair that lies exactly at the threshold
 BOUND = 5.0  #: error bound of an estimate, in its standard deviations
+BATCH_ROWS = 10_000
 BLOCK = 1024  #: members of a bucket in one block; larger buckets go as pairs of blocks
 SEED = 20240
 
@@ -174,6 +175,7 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     and count as often as they occur; rows with a null id take part; other columns are ignored; an
     empty table gives no rows.
     """
+    batch_rows(table.sparkSession, BATCH_ROWS)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = cut(rows.withColumn("v", F.when(usable("v"), F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("h", F.xxhash64("v")), "vectors")
     same = rows.where(F.col("v").isNotNull()).groupBy("h", "v").agg(F.count("*").alias("n"), F.min("id").alias("rep"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citewright.session import batch_rows
+
 # Fixed values of the format and of this layout.
 PACKET = 188
 SYNC = 0x47
@@ -231,14 +233,13 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null texts count as empty; equal texts get equal media; null ids and repeated rows are kept;
     other columns are ignored; an empty table gives no rows.
     """
+    batch_rows(docs.sparkSession, 512)  # bounds the media that a batch holds
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 512):  # bounds the binary that a batch holds
-                part = pdf.iloc[at : at + 512]
-                stored = [(n, mux(b)) for n, b in map(padded, part["text"])]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n_bytes": [n for n, _ in stored], "media": [m for _, m in stored]})
+            stored = [(n, mux(b)) for n, b in map(padded, pdf["text"])]
+            yield pd.DataFrame({"id": pdf["id"], "n_bytes": [n for n, _ in stored], "media": [m for _, m in stored]})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citewright.operators.components import connected_components
-from citewright.session import cut
+from citewright.session import batch_rows, cut
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
+BATCH_ROWS = 2000
 BLOCK = 2048  #: members of a bucket compared in one task; larger buckets go as pairs of blocks
 
 
@@ -52,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter(map(fingerprint, pdf["text"]), np.uint64, len(pdf)).view(np.int64)
             yield pd.DataFrame({"id": pdf["id"], "fp": found})
 
+    batch_rows(docs.sparkSession, BATCH_ROWS)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
 
 

@@ -16,11 +16,12 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewright.session import cut
+from citewright.session import batch_rows, cut
 
 ORDERS = (3, 4, 5)
 BITS = 20
 FEATURES = 4096  #: n-grams that the classifier weighs
+BATCH_ROWS = 1000
 SAMPLE = 20_000  #: labelled documents, the first by a hash of their id, from which it learns
 THRESHOLD = 0.3
 _MULTIPLIER = np.uint32(2654435761)
@@ -61,7 +62,7 @@ def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndar
     return (key >> BITS).astype(np.int64), key & ((1 << BITS) - 1)
 
 
-def _pieces(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def _pieces(texts: list[str], chars: int = 250_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``chars`` characters, so that memory doesn't follow the batch."""
     at, n = 0, 0
     for k, t in enumerate(texts):
@@ -101,6 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     classes the score is a constant: the training share of label 1 (0 without rows).
     """
     spark = docs.sparkSession
+    batch_rows(spark, BATCH_ROWS)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -168,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) per row; null and empty texts get the intercept's score; ids are only passed on."""
     spark = docs.sparkSession
+    batch_rows(spark, BATCH_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)  # 2 ** BITS weights whatever the corpus
 
@@ -180,6 +183,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    batch_rows(docs.sparkSession, BATCH_ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

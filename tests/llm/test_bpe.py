@@ -39,5 +39,5 @@ def test_offsets_and_split_characters(spark):
     assert "".join(dict.fromkeys(text[a:b] for a, b in zip(r["starts"], r["ends"]))).replace(" ", "") == text.replace(" ", "")
     back = {x["doc_id"]: x for x in bpe.decode(encoded, TOKENIZER).collect()}
     assert back[1]["text"] == text and bytes(back[1]["bytes"]) == text.encode() and back[2]["text"] == ""
-    codec = bpe.Codec.at(TOKENIZER)
+    codec = bpe.Codec(TOKENIZER)
     assert any(codec.decode([i]).decode("utf-8", "replace") == "�" or b"\xf0" in codec.decode([i]) for i in r["ids"])
