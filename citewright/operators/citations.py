@@ -115,20 +115,57 @@ def half_life(edges: DataFrame, side: str) -> DataFrame:
 
 
 def sleeping_beauties(articles: DataFrame, citations: DataFrame, least: int = 5, limit: int = 50) -> DataFrame:
-    """Articles by beauty coefficient: how far yearly citations lie below the line to their peak.
+    """Articles by beauty coefficient: how far yearly citations lie below the line from nothing at
+    publication to their peak. Articles whose global citations exceed three times their own here are
+    scaled down by the share cited here (where ``articles`` has cited_globally).
 
-    Citations before publication, or articles never cited after it, don't count.
+    ``awakening`` is the first year that, like the next one, reaches max(1, a fifth of the way from
+    the mean before the peak to the peak), else the peak. ``n_in`` counts all citations, ``total``
+    those from publication on; articles never cited after publication are no candidates.
     """
-    edges = edge_table(articles, citations).where("sy >= ty").groupBy(F.col("target").alias("id"), "ty", "sy").agg(F.count("*").alias("c"))
-    span = edges.groupBy("id", "ty").agg(F.sum("c").alias("total"), F.max("sy").alias("last")).where(F.col("total") >= least)
+    links = edge_table(articles, citations)
+    n_in = links.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_in")).where(F.col("n_in") >= least)
+    edges = links.where("sy >= ty").groupBy(F.col("target").alias("id"), "ty", "sy").agg(F.count("*").alias("c"))
+    span = edges.groupBy("id", "ty").agg(F.sum("c").alias("total"), F.max("sy").alias("last")).join(n_in, "id")
     years = span.withColumn("sy", F.explode(F.sequence("ty", "last"))).join(edges, ["id", "ty", "sy"], "left").na.fill(0, ["c"])
-    peak = years.groupBy("id").agg(F.max_by("sy", F.struct("c", -F.col("sy"))).alias("peak"), F.max("c").alias("top"), F.max(F.when(F.col("sy") == F.col("ty"), F.col("c"))).alias("c0"))
-    lined = years.join(peak, "id").where("sy <= peak and peak > ty")
-    line = F.col("c0") + (F.col("top") - F.col("c0")) / (F.col("peak") - F.col("ty")) * (F.col("sy") - F.col("ty"))
-    scored = lined.groupBy("id", "total", "peak").agg(F.round(F.sum((line - F.col("c")) / F.greatest(F.lit(1), "c")), 6).alias("beauty"))
+    peak = years.groupBy("id").agg(F.max_by("sy", F.struct("c", -F.col("sy"))).alias("peak"), F.max("c").alias("top"))
+    lined = years.withColumn("next", F.lead("c", 1, 0).over(Window.partitionBy("id").orderBy("sy"))).join(peak, "id").where("sy <= peak and peak > ty")
+    mean = lined.where("sy < peak").groupBy("id").agg(F.avg("c").alias("mean"))
+    lined = lined.join(mean, "id").withColumn("bar", F.greatest(F.lit(1.0), F.col("mean") + 0.2 * (F.col("top") - F.col("mean"))))
+    line = F.col("top") * (F.col("sy") - F.col("ty")) / (F.col("peak") - F.col("ty"))
+    woken = (F.col("c") >= F.col("bar")) & ((F.col("next") >= F.col("bar")) | (F.col("sy") == F.col("peak")))
+    scored = lined.groupBy("id", "ty", "n_in", "total", "peak").agg(F.sum(line - F.col("c")).alias("beauty"), F.coalesce(F.min(F.when(woken, F.col("sy"))), F.first("peak")).alias("awakening"))
+    if "cited_globally" in articles.columns:
+        scored = scored.join(articles.select("id", "cited_globally"), "id")
+        penalty = F.when(F.col("cited_globally") > 3 * F.col("n_in"), F.col("n_in") / (F.col("n_in") + F.col("cited_globally"))).otherwise(1.0)
+    else:
+        penalty = F.lit(1.0)
+    scored = scored.select("id", "n_in", "total", "peak", F.round(F.col("beauty") * penalty, 6).alias("beauty"), "awakening", (F.col("awakening") - F.col("ty")).alias("sleep_years"))
     return scored.orderBy(F.desc("beauty"), "id").limit(limit)
 
 
+def princes(beauties: DataFrame, edges: DataFrame, authors: DataFrame) -> DataFrame:
+    """Citing articles of each beauty from the year before its awakening on, and what kind of
+    awakening their journals and first authors make it."""
+    first = authors.groupBy(F.col("id").alias("source")).agg(F.min_by("name", "pos").alias("first"))
+    woke = beauties.select(F.col("id").alias("target"), "awakening")
+    found = edges.join(woke, "target").where(F.col("sy") >= F.col("awakening") - 1).join(first, "source", "left")
+    found = found.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("sj").alias("journals"), F.countDistinct("first").alias("firsts"))
+    n, journals = F.coalesce("n", F.lit(0)), F.coalesce("journals", F.lit(0))
+    kind = (
+        F.when(n == 0, "no_data").when(n == 1, "single_catalyst").when(journals == 1, "journal_specific").when(F.col("firsts") == 1, "individual_rediscovery")
+        .when((journals >= 4) & (n >= 8), "broad_trend").otherwise("subfield_revival")
+    )
+    return woke.join(found, "target", "left").select(F.col("target").alias("id"), "awakening", n.alias("princes"), journals.alias("journals"), kind.alias("kind"))
+
+
+def calendar(beauties: DataFrame, events: DataFrame, years: int = 5) -> DataFrame:
+    """Mean number of awakenings a year in the ``years`` years from each event(year, type) on, by type."""
+    woken = beauties.groupBy(F.col("awakening").alias("year")).agg(F.count("*").alias("woken"))
+    spread = events.select("type", F.explode(F.sequence("year", F.col("year") + years - 1)).alias("year"))
+    return spread.join(woken, "year", "left").groupBy("type").agg((F.count("*") / years).cast("long").alias("events"), F.round(F.sum(F.coalesce("woken", F.lit(0))) / F.count("*"), 2).alias("mean_awakenings"))
+
+
 def reading_path(citations: DataFrame, article: int, top: int = 20) -> DataFrame:
     """Neighbours of an article by added scores: cited, citing, often co-cited, strongly coupled."""
     links = resolved(citations)

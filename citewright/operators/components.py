@@ -75,6 +75,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         old, path = path, shared_path(spark, "edges")
         small.select("e.a", "e.b").where("a <> b").distinct().write.parquet(path)
         drop_path(spark, old)
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     now = spark.read.schema("a long, b long").parquet(path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

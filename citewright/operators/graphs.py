@@ -1,10 +1,11 @@
-"""Graph measures as DataFrame iterations: PageRank, triangles, search path counts."""
+"""Graph measures as DataFrame iterations: PageRank, triangles, betweenness, search paths."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewright.operators.components import connected_components
 from citewright.session import cut
 
 
@@ -12,7 +13,7 @@ def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     """(id, rank) after ``rounds`` updates; nodes without links out spread their rank evenly.
 
     The link table with its out-degrees is written once; each round is a join and an aggregation,
-    and every fifth round ends the lineage at a table.
+    and every second round ends the lineage at a table.
     """
     edges = links.select("source", "target").distinct()
     out = edges.groupBy("source").agg(F.count("*").alias("degree"))
@@ -50,26 +51,133 @@ def transitivity(links: DataFrame) -> DataFrame:
     return closed.crossJoin(triples).select("triangles", "triples", F.when(F.col("triples") > 0, F.round(3 * F.col("triangles") / F.col("triples"), 6)).otherwise(0.0).alias("transitivity"))
 
 
-def search_path_counts(edges: DataFrame, steps: int = 30) -> DataFrame:
+def search_path_counts(edges: DataFrame) -> DataFrame:
     """(source, target, spc): paths from sources to sinks over each link of an acyclic link table.
 
-    Paths up to and from each node are counted level by level; counts are doubles, since they
-    outgrow integers.
+    Paths up to and from each node are counted level by level, to the end of the longest one;
+    counts are doubles, since they outgrow integers. A cycle that paths reach is an error.
     """
     dag = cut(edges.select("source", "target").distinct(), "dag")
+    longest = dag.count()  # no acyclic path has more links
 
     def paths(a: str, b: str) -> DataFrame:
         """Paths that end in each node, following links from ``a`` to ``b``."""
         roots = dag.select(F.col(a).alias("id")).distinct().join(dag.select(F.col(b).alias("id")), "id", "left_anti")
         level = roots.withColumn("p", F.lit(1.0))
         total = level
-        for k in range(steps):
+        for _ in range(longest + 1):
             level = cut(level.join(dag.withColumnRenamed(a, "id"), "id").groupBy(F.col(b).alias("id")).agg(F.sum("p").alias("p")), "level")
-            if not level.limit(1).count():
+            if level.isEmpty():
                 break
             total = total.unionByName(level)
+        else:
+            raise ValueError("the link table has a cycle")
         return total.groupBy("id").agg(F.sum("p").alias("p"))
 
     into, onward = paths("source", "target"), paths("target", "source")
     found = dag.join(into.select(F.col("id").alias("source"), F.col("p").alias("p_in")), "source").join(onward.select(F.col("id").alias("target"), F.col("p").alias("p_out")), "target")
     return found.select("source", "target", (F.col("p_in") * F.col("p_out")).alias("spc"))
+
+
+def main_path(counts: DataFrame) -> DataFrame:
+    """(step, source, target, spc): from the heaviest link out of a source, always on by the heaviest link.
+
+    ``counts`` is what search_path_counts gives. The driver holds the path alone.
+    """
+    spark = counts.sparkSession
+    by_weight = F.struct("spc", -F.col("target"))
+    best = cut(counts.groupBy("source").agg(F.max_by(F.struct("target", "spc"), by_weight).alias("on")).select("source", "on.*"), "best")
+    row = best.join(counts.select(F.col("target").alias("source")), "source", "left_anti").orderBy(F.desc("spc"), "source").first()
+    path = []
+    while row:
+        path.append((len(path) + 1, row["source"], row["target"], row["spc"]))
+        row = best.where(F.col("source") == row["target"]).first()
+    return spark.createDataFrame(path, "step int, source long, target long, spc double")
+
+
+def key_routes(counts: DataFrame, least: int = 3, first: int = 10) -> DataFrame:
+    """(route, source, target, spc): the heaviest links, as many (``first``, doubled) as it takes to
+    have ``least`` separate routes, or all links. A route bears its smallest node."""
+    counts = cut(counts, "counts")
+    every, top = counts.count(), first
+    while True:
+        best = cut(counts.orderBy(F.desc("spc"), "source", "target").limit(top), "routes")
+        parts = connected_components(best.select(F.col("source").alias("a"), F.col("target").alias("b")))
+        if top >= every or parts.select("component").distinct().count() >= least:
+            return best.join(parts.select(F.col("node").alias("source"), F.col("component").alias("route")), "source").select("route", "source", "target", "spc")
+        top *= 2
+
+
+def betweenness(links: DataFrame, pivots: int | None = None) -> DataFrame:
+    """(id, score): the share of shortest directed paths that pass through each node.
+
+    Searches from all nodes, or from ``pivots`` nodes chosen by hash, advance together one level at
+    a time: a level is a table of (pivot, id, paths), so work is spread by node, and shares flow
+    back along the same levels. Scores are over (n - 1)(n - 2), scaled up from pivots to all nodes.
+    """
+    edges = cut(links.where("source <> target").select("source", "target").distinct(), "edges")
+    nodes = cut(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "nodes")
+    n = nodes.count()
+    starts = nodes if pivots is None else nodes.orderBy(F.xxhash64("id"), "id").limit(pivots)
+    levels = [cut(starts.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("paths")), "level")]
+    seen = levels[0].select("pivot", "id")
+    while True:
+        ahead = levels[-1].join(edges.withColumnRenamed("source", "id"), "id").groupBy("pivot", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
+        ahead = cut(ahead.join(seen, ["pivot", "id"], "left_anti"), "level")
+        if ahead.isEmpty():
+            break
+        levels.append(ahead)
+        seen = seen.union(ahead.select("pivot", "id"))
+    used = levels[0].count()
+    through = levels[-1].withColumn("share", F.lit(0.0))
+    found = through
+    for level in reversed(levels[:-1]):
+        given = through.select("pivot", F.col("id").alias("target"), ((1 + F.col("share")) / F.col("paths")).alias("g"))
+        given = given.join(edges, "target").groupBy("pivot", F.col("source").alias("id")).agg(F.sum("g").alias("g"))
+        through = cut(level.join(given, ["pivot", "id"], "left").select("pivot", "id", "paths", (F.col("paths") * F.coalesce("g", F.lit(0.0))).alias("share")), "share")
+        found = found.unionByName(through)
+    scale = n / used / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    sums = found.where("pivot <> id").groupBy("id").agg(F.sum("share").alias("s"))
+    return nodes.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
+
+
+def window_metrics(edges: DataFrame, width: int = 1) -> DataFrame:
+    """Measures of the network inside each window of publication years, and running totals.
+
+    A node belongs to the window of its year, so windows share no nodes and one pass does for all.
+    ``edges`` has source, target, sy and ty. Links count inside a window if both ends lie in it,
+    once and without direction; running links count once by direction from the later window on.
+    """
+    window = lambda y: (F.floor(F.col(y) / width) * width).cast("int")
+    placed = cut(edges.dropna(subset=["source", "target", "sy", "ty"]).select("source", "target", window("sy").alias("sw"), window("ty").alias("tw")).distinct(), "placed")
+    nodes = placed.select(F.col("source").alias("id"), F.col("sw").alias("w")).union(placed.select("target", "tw")).distinct()
+    inside = placed.where("sw = tw and source <> target").select(F.col("sw").alias("w"), F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    inside = cut(inside, "inside")
+    degree = inside.select("w", F.explode(F.array("a", "b")).alias("v")).groupBy("w", "v").agg(F.count("*").alias("d"))
+    triples = degree.groupBy("w").agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).cast("long").alias("triples"))
+    triangles = inside.join(closed_links(inside.select("a", "b")), ["a", "b"]).groupBy("w").agg(F.sum("thirds").alias("thirds"))
+    parts = connected_components(inside.select("a", "b")).join(nodes.withColumnRenamed("id", "node"), "node").groupBy("w", "component").agg(F.count("*").alias("size"))
+    parts = parts.groupBy("w").agg(F.count("*").alias("joined"), F.sum("size").alias("within"), F.max("size").alias("largest"))
+    later = placed.groupBy(F.greatest("sw", "tw").alias("w")).agg(F.countDistinct("source", "target").alias("arrived"))
+    base = nodes.groupBy("w").agg(F.count("*").alias("nodes")).join(inside.groupBy("w").agg(F.count("*").alias("links")), "w", "left")
+    for other in (triples, triangles, parts, later):
+        base = base.join(other, "w", "left")
+    base = base.na.fill(0)
+    n, m = F.col("nodes"), F.col("links")
+    run = Window.orderBy("w")  # one row a window
+    return base.select(
+        F.col("w").alias("window"), "nodes", "links", F.round(F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(0.0), 9).alias("density"), F.round(2 * m / n, 6).alias("mean_degree"),
+        F.round(F.when(F.col("triples") > 0, F.col("thirds") / F.col("triples")).otherwise(0.0), 6).alias("transitivity"),
+        (n - F.col("within") + F.col("joined")).alias("components"), F.greatest("largest", F.lit(1)).alias("largest"),
+        F.sum("nodes").over(run).alias("all_nodes"), F.sum("arrived").over(run).alias("all_links"),
+    )
+
+
+def closed_links(pairs: DataFrame) -> DataFrame:
+    """(a, b, thirds): for each link of a simple graph the triangles it closes as the link of their
+    two nodes of highest degree, times 3; links that close none are absent."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    ka, kb = (degree.select(F.col("v").alias(c), F.struct("d", "v").alias(f"k{c}")) for c in "ab")
+    ranked = pairs.join(ka, "a").join(kb, "b").select(F.least("ka", "kb")["v"].alias("lo"), F.greatest("ka", "kb").alias("hi"))
+    wedge = ranked.alias("x").join(ranked.alias("y"), "lo").where("x.hi < y.hi").select(F.least("x.hi.v", "y.hi.v").alias("a"), F.greatest("x.hi.v", "y.hi.v").alias("b"))
+    return wedge.groupBy("a", "b").agg((3 * F.count("*")).alias("thirds")).join(pairs, ["a", "b"], "left_semi")

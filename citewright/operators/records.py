@@ -163,3 +163,37 @@ def suppress(authors: DataFrame, ledger: DataFrame) -> DataFrame:
     tokens = ledger.groupBy(norm(F.col("name")).alias("_norm")).agg(F.min("token").alias("_token"))
     found = authors.withColumn("_norm", norm(F.col("name"))).join(tokens, "_norm", "left")
     return found.withColumn("name", F.coalesce("_token", "name")).drop("_norm", "_token")
+
+
+def author_cocitation(authors: DataFrame, links: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
+    """(a, b, weight): author pairs by the articles that cite works of both, among the ``top`` authors.
+
+    Works count if cited twice or more. An article doesn't link two authors of whom it cites the
+    same works only.
+    """
+    known = links.groupBy("target").agg(F.count("*").alias("n")).where("n >= 2").select("target")
+    cited = links.join(known, "target", "left_semi").select("source", "target").distinct()
+    rows = cited.join(authors.select(F.col("id").alias("target"), "name").distinct(), "target").select("source", "target", "name")
+    n = rows.groupBy("source", "name").agg(F.count("*").alias("n"))
+    a, b = (n.select("source", F.col("name").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    joint = rows.alias("x").join(rows.alias("y"), ["source", "target"]).where("x.name < y.name").groupBy("source", F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("joint"))
+    pairs = a.join(b, "source").where("a < b").join(joint, ["source", "a", "b"], "left").where("joint is null or na > joint or nb > joint")
+    found = pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    strength = found.select(F.explode(F.array("a", "b")).alias("name"), "weight").groupBy("name").agg(F.sum("weight").alias("s")).orderBy(F.desc("s"), "name").limit(top)
+    return found.join(strength.select(F.col("name").alias("a")), "a", "left_semi").join(strength.select(F.col("name").alias("b")), "b", "left_semi")
+
+
+def spans(works: DataFrame, work_authors: DataFrame, least: int = 2) -> DataFrame:
+    """People with ``least`` or more works: first and last year, and the years between."""
+    years = work_authors.select("work", "name").distinct().join(works.where("year is not null").select("work", "year"), "work")
+    found = years.groupBy("name").agg(F.count("*").alias("works"), F.min("year").alias("first"), F.max("year").alias("last"))
+    return found.where(F.col("works") >= least).withColumn("span", F.col("last") - F.col("first"))
+
+
+def brokers(works: DataFrame, work_authors: DataFrame, least: int = 2) -> DataFrame:
+    """Editors by the number of collections and of other people that their edited works bring together."""
+    edited = work_authors.where("role = 'editor'").select("work", F.col("name").alias("editor")).distinct()
+    people = edited.join(work_authors.select("work", "name").distinct(), "work").where("name <> editor")
+    met = people.groupBy("editor").agg(F.countDistinct("name").alias("people"))
+    held = edited.join(works.select("work", "parent"), "work").groupBy("editor").agg(F.countDistinct("parent").alias("collections"))
+    return held.where(F.col("collections") >= least).join(met, "editor", "left").na.fill(0)

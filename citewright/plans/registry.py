@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from citewright.functions import values as V
 from citewright.operators import citations as C
+from citewright.operators import communities as N
 from citewright.operators import graphs as G
+from citewright.operators import merging as M
 from citewright.operators import records as R
+from citewright.operators import statistics as T
 from citewright.operators.components import connected_components
 from citewright.plans.tables import GROUPS, Corpus, with_sql
+from citewright.sources import exports as E
+from citewright.sources import works as W
 from citewright.streaming import events as S
 
 VOCABULARY = {"travel": ["on the", "road"], "science": ["tion"], "people": ["he", "she"], "place": ["where", "here"]}
@@ -32,6 +37,14 @@ def _edges(c: Corpus) -> DataFrame:
     return C.edge_table(c.articles, c.citations, GROUPS)
 
 
+def _arcs(c: Corpus) -> DataFrame:
+    return N.undirected(C.resolved(c.citations))
+
+
+def _spc(c: Corpus) -> DataFrame:
+    return G.search_path_counts(_edges(c).where("sy > ty").select(F.col("target").alias("source"), F.col("source").alias("target")))
+
+
 def _name(c: Corpus) -> str:
     return c.table("supplier").agg(F.max(F.struct("s_suppkey", "s_name"))["s_name"]).first()[0]
 
@@ -76,6 +89,12 @@ _add("partnerships", lambda c: R.partnerships(c.authors, c.articles, 2), "articl
      """, o as (select distinct id, name from authors)
      select x.name as a, y.name as b, count(*) as n, max(year) - min(year) as span, count(distinct journal) as journals, case when count(*) = 1 then 'one_shot' when max(year) - min(year) < 3 then 'short_term' else 'persistent' end as kind
      from o x join o y on x.id = y.id and x.name < y.name join articles r on r.id = x.id group by 1, 2 having count(*) >= 2""")
+_add("author_cocitation", lambda c: R.author_cocitation(c.authors, C.resolved(c.citations), 2), "citations authors",
+     """, l as (select distinct source, target from citations where target in (select target from citations group by 1 having count(*) >= 2)), w as (select distinct source, target, name from l join authors on id = target),
+     n as (select source, name, count(*) as n from w group by all), j as (select x.source, x.name as a, y.name as b, count(*) as k from w x join w y on x.source = y.source and x.target = y.target and x.name < y.name group by all),
+     p as (select x.name as a, y.name as b, count(*) as weight from n x join n y on x.source = y.source and x.name < y.name left join j on j.source = x.source and a = x.name and b = y.name where k is null or x.n > k or y.n > k group by all having count(*) >= 2),
+     t as (select v from (select a as v, weight from p union all select b, weight from p) group by 1 order by sum(weight) desc, v limit 200)
+     select * from p where a in (from t) and b in (from t)""")
 _add("team_sizes", lambda c: R.team_sizes(c.authors, c.articles), "articles authors",
      """, s as (select id, year, count(*) as size from authors join articles using (id) group by all), r as (select *, row_number() over (partition by year order by size) - 1 as i, count(*) over (partition by year) as n from s)
      select year, max(n) as articles, round(sum(size)::double / max(n), 6) as mean_size, max(size) filter (i = n // 2) as median_size, round((count(*) filter (size = 1))::double / max(n), 6) as solo_share from r group by 1""")
@@ -95,11 +114,22 @@ for _side, _key in (("sj", "half_life_citing"), ("tj", "half_life_cited")):
     _add(_key, lambda c, s=_side: C.half_life(_edges(c), s), "edges",
          f""", r as (select {_side} as journal, sy - ty as age, row_number() over (partition by {_side} order by sy - ty) as i, count(*) over (partition by {_side}) as n from edges where sy >= ty)
          select journal, min(age) filter (i >= n * 0.25) as q25, min(age) filter (i >= n * 0.5) as half_life, min(age) filter (i >= n * 0.75) as q75, max(n) as n from r group by 1""")
-_add("sleeping_beauties", lambda c: C.sleeping_beauties(c.articles, c.citations), "edges",
-     """, y as (select target as id, ty, sy, count(*) as c from edges where sy >= ty group by all), s as (select id, ty, sum(c)::bigint as total, max(sy) as last from y group by all having sum(c) >= 5),
+_BEAUTIES = """, y as (select target as id, ty, sy, count(*) as c from edges where sy >= ty group by all), m as (select target as id, count(*) as n_in from edges group by 1),
+     s as (select id, ty, sum(c)::bigint as total, max(sy) as last from y group by all),
      g as (select u.id, u.ty, u.total, u.yr as sy, coalesce(y.c, 0) as c from (select id, ty, total, unnest(range(ty, last + 1))::int as yr from s) u left join y on y.id = u.id and y.sy = u.yr),
-     p as (select id, arg_max(sy, (c, -sy)) as peak, max(c) as top, max(c) filter (sy = ty) as c0 from g group by 1)
-     select id, total, peak::int as peak, round(sum((c0 + (top - c0)::double / (peak - ty) * (sy - ty) - c) / greatest(1, c)), 6) as beauty from g join p using (id) where sy <= peak and peak > ty group by all order by beauty desc, id limit 50""")
+     h as (select *, lead(c, 1, 0) over (partition by id order by sy) as nx from g), p as (select id, arg_max(sy, (c, -sy)) as peak, max(c) as top from g group by 1),
+     q as (select h.*, peak, top, avg(c) filter (sy < peak) over (partition by h.id) as mean from h join p using (id) where sy <= peak and peak > ty),
+     z as (select id, ty, total, peak, sum(top::double * (sy - ty) / (peak - ty) - c) as b, coalesce(min(sy) filter (c >= greatest(1, mean + 0.2 * (top - mean)) and (sy = peak or nx >= greatest(1, mean + 0.2 * (top - mean)))), peak) as awakening from q group by id, ty, total, peak),
+     beauties as (select id, n_in, total, peak, round(b * case when cited_globally > 3 * n_in then n_in::double / (n_in + cited_globally) else 1 end, 6) as beauty, awakening::int as awakening, (awakening - ty)::int as sleep_years
+     from z join m using (id) join articles using (id))"""
+_add("sleeping_beauties", lambda c: C.sleeping_beauties(c.articles, c.citations), "edges", _BEAUTIES + " select * from beauties where n_in >= 5 order by beauty desc, id limit 50")
+_add("prince_network", lambda c: C.princes(C.sleeping_beauties(c.articles, c.citations, 10, 15), _edges(c), c.authors), "edges authors", _BEAUTIES
+     + """, t as (select * from beauties where n_in >= 10 order by beauty desc, id limit 15), w as (select id as source, arg_min(name, pos) as first from authors group by 1),
+     k as (select t.id, t.awakening, count(source) as n, count(distinct sj) as j, count(distinct first) as f from t left join (edges left join w using (source)) e on e.target = t.id and e.sy >= t.awakening - 1 group by all)
+     select id, awakening, n as princes, j as journals, case when n = 0 then 'no_data' when n = 1 then 'single_catalyst' when j = 1 then 'journal_specific' when f = 1 then 'individual_rediscovery' when j >= 4 and n >= 8 then 'broad_trend' else 'subfield_revival' end as kind from k""")
+_add("disciplinary_calendar", lambda c: C.calendar(C.sleeping_beauties(c.articles, c.citations, 5, 200), c.table("orders").where("o_orderstatus = 'P'").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("type")).distinct()), "edges", _BEAUTIES
+     + """, t as (select awakening, count(*) as n from (select * from beauties where n_in >= 5 order by beauty desc, id limit 200) group by 1), e as (select distinct year(o_orderdate) as year, o_orderpriority as type from orders where o_orderstatus = 'P')
+     select type, count(*) // 5 as events, round(sum(coalesce(n, 0)) / count(*), 2)::double as mean_awakenings from (select type, unnest(range(year, year + 5)) as y from e) left join t on awakening = y group by 1""")
 _add("reading_path", lambda c: C.reading_path(c.citations, 5), "citations",
      """, l as (select source, target from citations where target is not null),
      co as (select target as id, count(distinct source)::int as score from l where source in (select source from l where target = 5) and target <> 5 group by 1 order by score desc, id limit 20),
@@ -153,6 +183,18 @@ _add("coverage_by_journal", lambda c: C.coverage_by_journal(c.articles, c.citati
      from articles join o using (journal) join i using (journal) group by journal""")
 _add("era_breakdown", lambda c: c.articles.groupBy("journal", F.when(F.col("year") < 1997, "early").when(F.col("year") < 2000, "middle").otherwise("late").alias("era")).agg(F.count("*").alias("n")), "articles",
      "select journal, case when year < 1997 then 'early' when year < 2000 then 'middle' else 'late' end as era, count(*) as n from articles group by all")
+_RANK = "rank() over (order by {0}) + (count(*) over (partition by {0}) - 1) / 2.0"
+_add("spearman", lambda c: T.spearman(C.degrees(c.articles, c.citations).join(c.articles, "id"), "n_in", "cited_globally"), "degrees",
+     f", r as (select {_RANK.format('n_in')} as x, {_RANK.format('cited_globally')} as y from degrees join articles using (id)) select count(*) as n, round(corr(x, y), 6) as rho from r")
+_add("mann_whitney", lambda c: T.mann_whitney(_edges(c).where("sy >= ty").withColumn("age", F.col("sy") - F.col("ty")), "age", "sg", "TPC", "RHET_COMP"), "edges",
+     f""", e as (select sy - ty as age, sg from edges where sy >= ty and sg in ('TPC', 'RHET_COMP')), r as (select *, {_RANK.format('age')} as r from e),
+     s as (select count(*)::double as n, (count(*) filter (sg = 'TPC'))::double as a, (sum(r) filter (sg = 'TPC'))::double as w from r), t as (select sum(k ** 3 - k)::double as t from (select count(*)::double as k from e group by age)),
+     u as (select a, n - a as b, w - a * (a + 1) / 2 as u, sqrt(a * (n - a) / 12 * (n + 1 - t / (n * (n - 1)))) as sd from s, t), z as (select *, (greatest(u, a * b - u) - a * b / 2 - 0.5) / sd as z from u), k as (select *, 1 / (1 + {T.ERF_P} * z / sqrt(2.0)) as k from z)
+     select a::bigint as n_first, b::bigint as n_second, round(u, 1) as u, round(z, 6) as z, case when z > 0 then round(({' + '.join(f'({x}) * k ** {i + 1}' for i, x in enumerate(T.ERF_A))}) * exp(-z * z / 2), 6) else 1.0 end::double as p from k""")
+_add("agreement", lambda c: T.agreement(c.articles, "journal", "source"), "articles",
+     """, c as (select journal as a, source as b, count(*)::double as n from articles group by all), x as (select sum(n) as n from c group by a), y as (select sum(n) as n from c group by b),
+     s as (select (select sum(n) from c) as n, (select sum(n * ln(n)) from c) as l, (select sum(n * (n - 1) / 2) from c) as c, (select sum(n * ln(n)) from x) as lx, (select sum(n * (n - 1) / 2) from x) as cx, (select sum(n * ln(n)) from y) as ly, (select sum(n * (n - 1) / 2) from y) as cy)
+     select n::bigint as n, round(2 * (ln(n) - lx / n - ly / n + l / n) / (2 * ln(n) - lx / n - ly / n), 6) as nmi, round((c - cx * cy / (n * (n - 1) / 2)) / ((cx + cy) / 2 - cx * cy / (n * (n - 1) / 2)), 6) as ari from s""")
 # publisher
 _add("press_overview", lambda c: R.overview(c.works, c.work_authors), "works work_authors",
      "select type, count(*) as works, sum(cited_by)::bigint as citations, min(year) as first_year, max(year) as last_year, (select count(distinct name) from work_authors) as people from works group by 1")
@@ -175,6 +217,32 @@ _add("citations_by_age", lambda c: R.citations_by_age(c.works), "works",
      select year, max(n) as n, max(cited_by) filter (i = n // 2) as median, round(avg(cited_by), 6) as mean from r group by 1""")
 _add("press_gini", lambda c: C.gini(c.works, "cited_by"), "works",
      ", r as (select cited_by, row_number() over (order by cited_by, work) as i from works) select round(2.0::double * sum(i * cited_by) / (count(*)::double * sum(cited_by)) - (count(*) + 1)::double / count(*), 6) as gini, count(*) as n, sum(cited_by)::bigint as total from r")
+_add("press_spans", lambda c: R.spans(c.works, c.work_authors), "works work_authors",
+     ", w as (select distinct work, name from work_authors) select name, count(*) as works, min(year) as first, max(year) as last, max(year) - min(year) as span from w join works using (work) where year is not null group by 1 having count(*) >= 2")
+_add("press_brokers", lambda c: R.brokers(c.works, c.work_authors), "works work_authors",
+     """, e as (select distinct work, name as editor from work_authors where role = 'editor'), h as (select editor, count(distinct parent) as collections from e join works using (work) group by 1 having count(distinct parent) >= 2),
+     m as (select editor, count(distinct name) as people from e join work_authors using (work) where name <> editor group by 1) select editor, collections, coalesce(people, 0) as people from h left join m using (editor)""")
+_LISTED = """, listed as (select work, 'https://doi.example/' || work as url, '10.1000/W' || work as doi, title, journal, case when year is not null then year || '-01-01' end as pub_date, type, a.authors
+     from works left join (select work, array_to_string(list_sort(list(distinct name)), '; ') as authors from work_authors group by 1) a using (work))"""
+_add("bibtex", lambda c: c.listed.select("work", E.bibtex().alias("entry")), "works work_authors", _LISTED
+     + """ select work, concat_ws(chr(10), '@article{' || case when authors is null then 'unknown' else regexp_replace(lower(split_part(split_part(authors, ';', 1), ' ', -1)), '[^a-z0-9]', '', 'g') end || coalesce(pub_date[1:4], '') || regexp_replace(split_part(title, ' ', 1), '[^a-z0-9]', '', 'g') || ',',
+     '  author  = {' || replace(authors, '; ', ' and ') || '},', '  title   = {' || title || '},', '  journal = {' || journal || '},', '  year    = {' || pub_date[1:4] || '},', '  doi     = {' || doi || '},', '  url     = {' || url || '},', '}') as entry from listed""")
+_add("ris", lambda c: c.listed.select("work", E.ris().alias("entry")), "works work_authors", _LISTED
+     + " select work, concat_ws(chr(10), 'TY  - JOUR', 'AU  - ' || replace(authors, '; ', chr(10) || 'AU  - '), 'TI  - ' || title, 'JO  - ' || journal, 'PY  - ' || pub_date[1:4], 'DO  - ' || doi, 'UR  - ' || url, 'ER  - ') as entry from listed")
+_add("deposited_works", lambda c: W.deposited_works(c.spark, c.deposit(), wrapped=False).drop("reference", "isbn"), "works work_authors", _LISTED
+     + " select lower(doi) as doi, title, authors, null::varchar as abstract, pub_date, journal, url, type from listed")
+_add("match_cascade", lambda c: M.match_cascade(c.titled, "src6"), "",
+     r"""with d as (select doc_id as id, split_part(text, chr(10), 1) as title, (n_chars // 1000)::varchar as y, source, (lang <> '')::int as filled from documents where text is not null),
+     k as (select id as canonical, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as t, y from d where source = 'src6'),
+     o as (select *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as t, regexp_replace(title, '^(book )?review( essay)?:?\s+', '', 'i') as bare from d where source is distinct from 'src6'),
+     v as (select id, y, t, 0 as turn from o where t <> '' union all select id, y, trim(regexp_replace(lower(bare), '[^a-z0-9]+', ' ', 'g')), 1 from o where bare <> title and regexp_matches(lower(bare), '[a-z0-9]')),
+     bk as (select t, y, min(canonical) as canonical from k group by all having count(*) = 1), bt as (select t, count(*) as n, min(canonical) as canonical, min(y) as cy from k group by 1),
+     al as (select v.t, min(bt.t) as c from (select distinct t from v) v join bt on starts_with(bt.t, v.t || ' ') or starts_with(v.t, bt.t || ' ') group by 1 having count(*) = 1),
+     f as (select id, canonical, turn * 4 + 1 as stage from v join bk using (t, y) union all select id, canonical, turn * 4 + 2 from v join bt using (t) where n = 1
+     union all select id, canonical, turn * 4 + 3 from v join al using (t) join bt on bt.t = c where n = 1 and (least(length(v.t), length(c)) >= 25 or cy = y) union all select id, canonical, turn * 4 + 4 from v join al using (t) join bk on bk.t = c and bk.y = v.y),
+     m as (select id, min((stage, canonical)) as m from f group by 1), r as (select * from o where id not in (select id from m)), g as (select t, y, arg_min(id, (-filled, id)) as canonical from r group by all having count(*) > 1)
+     select m[2] as canonical, id as duplicate, m[1] as stage from m union all select canonical, id, 9 from r join g using (t, y) where id <> canonical""")
+_add("decoded_abstract", lambda c: c.inverted.select("item_id", W.decoded_abstract(F.col("index")).alias("text")), "", r"select item_id, array_to_string(regexp_extract_all(text, '[^\s]+'), ' ') as text from benchmark")
 # texts
 _add("auto_tag", lambda c: c.table("documents").select("doc_id", V.auto_tags(F.col("text"), VOCABULARY).alias("tags")), "",
      r"""select doc_id, case when len(t) > 0 then '|' || array_to_string(t, '|') || '|' end as tags from (select doc_id, list_filter([
@@ -203,11 +271,32 @@ _add("transitivity", lambda c: G.transitivity(C.resolved(c.citations)), "citatio
      """, p as (select distinct least(source, target) as a, greatest(source, target) as b from citations where source <> target), d as (select v, count(*) as d from (select a as v from p union all select b from p) group by 1),
      t as (select count(*) as t from p x join p y on y.a = x.b join p z on z.a = x.a and z.b = y.b), s as (select (sum(d * (d - 1)) // 2)::bigint as s from d)
      select t as triangles, s as triples, round(3.0::double * t / s, 6) as transitivity from t, s""")
-_add("main_path_links", lambda c: G.search_path_counts(_edges(c).where("sy > ty").select(F.col("target").alias("source"), F.col("source").alias("target"))).orderBy(F.desc("spc"), "source", "target").limit(50), "edges",
+_add("main_path_links", lambda c: _spc(c).orderBy(F.desc("spc"), "source", "target").limit(50), "edges",
      """, g as (select distinct target as a, source as b from edges where sy > ty), f(n, v, k) as (select a, 1::double, 0 from g where a not in (select b from g) group by 1 union all select b, sum(v), k + 1 from f join g on a = n group by b, k),
      h(n, v, k) as (select b, 1::double, 0 from g where b not in (select a from g) group by 1 union all select a, sum(v), k + 1 from h join g on b = n group by a, k),
      x as (select n, sum(v) as v from f group by 1), y as (select n, sum(v) as v from h group by 1)
      select a as source, b as target, x.v * y.v as spc from g join x on x.n = a join y on y.n = b order by spc desc, source, target limit 50""", recursive=True)
+_PATHS = """, g as (select distinct target as a, source as b from edges where sy > ty), f(n, v, k) as (select a, 1::double, 0 from g where a not in (select b from g) group by 1 union all select b, sum(v), k + 1 from f join g on a = n group by b, k),
+     h(n, v, k) as (select b, 1::double, 0 from g where b not in (select a from g) group by 1 union all select a, sum(v), k + 1 from h join g on b = n group by a, k),
+     x as (select n, sum(v) as v from f group by 1), y as (select n, sum(v) as v from h group by 1), w as (select a, b, x.v * y.v as spc from g join x on x.n = a join y on y.n = b)"""
+_add("main_path", lambda c: G.main_path(_spc(c)), "edges", _PATHS
+     + """, o as (select a, arg_max(b, (spc, -b)) as b, max(spc) as spc from w group by 1), r(step, a, b, spc) as (select * from (select 1, a, b, spc from o where a not in (select b from w) order by spc desc, a limit 1) union all select step + 1, o.a, o.b, o.spc from r join o on o.a = r.b)
+     select step, a as source, b as target, spc from r""", recursive=True)
+_add("key_routes", lambda c: G.key_routes(_spc(c)))
+_add("window_metrics", lambda c: G.window_metrics(_edges(c)), "edges",
+     """, d as (select distinct source, target, sy, ty from edges), n as (select source as id, sy as w from d union select target, ty from d), e as (select distinct sy as w, least(source, target) as a, greatest(source, target) as b from d where sy = ty and source <> target),
+     g as (select w, v, count(*) as d from (select w, a as v from e union all select w, b from e) group by all), t as (select w, sum(d * (d - 1)) // 2 as t from g group by 1), q as (select p.w, count(*) as q from e p join e r on r.a = p.b join e s on s.a = p.a and s.b = r.b group by 1),
+     u as (select a, b from e union all select b, a from e), r(node, seen) as (select a, a from u union select r.node, u.b from r join u on u.a = r.seen), c as (select node, min(seen) as c from r group by 1),
+     k as (select w, count(*) as joined, sum(s) as within, max(s) as largest from (select w, c, count(*) as s from c join n on n.id = node group by all) group by 1), l as (select greatest(sy, ty) as w, count(*) as l from d group by 1),
+     b as (select w, count(*) as n from n group by 1), m as (select w, count(*) as m from e group by 1)
+     select w as window, n as nodes, coalesce(m, 0) as links, round(case when n > 1 then 2.0::double * coalesce(m, 0) / (n * (n - 1)) else 0 end, 9) as density, round(2.0::double * coalesce(m, 0) / n, 6) as mean_degree, round(case when t > 0 then 3.0::double * coalesce(q, 0) / t else 0 end, 6) as transitivity,
+     (n - coalesce(within, 0) + coalesce(joined, 0))::bigint as components, greatest(coalesce(largest, 0), 1) as largest, (sum(n) over (order by w))::bigint as all_nodes, (sum(coalesce(l, 0)) over (order by w))::bigint as all_links
+     from b left join m using (w) left join t using (w) left join q using (w) left join k using (w) left join l using (w)""", recursive=True)
+_add("betweenness", lambda c: G.betweenness(C.network_links(c.articles, c.citations)).select("id", F.round("score", 9).alias("score")))
+_add("communities", lambda c: N.communities(_arcs(c)))
+_add("walls_bridges", lambda c: N.walls_bridges(_arcs(c), N.communities(_arcs(c))))
+_add("two_maps", lambda c: T.agreement(N.communities(_arcs(c)).join(N.communities(N.weighted(C.coupling(c.citations, 2))).withColumnRenamed("c", "k"), "id"), "c", "k"))
+_add("communities_time", lambda c: N.carried_over(*(N.communities(N.undirected(_edges(c).where(F.floor(F.col("sy") / 10) == d))) for d in (199, 200))))
 # streams; append mode holds back what a later event could still change, complete mode doesn't
 _add("stream_tumbling", lambda c: S.drain(S.windowed(S.read_events(c.spark, c.sf_dir), "1 day"), "complete"), "",
      "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

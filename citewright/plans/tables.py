@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewright.session import shared_path
+
 GROUPS = {"AUTOMOBILE": "TPC", "BUILDING": "TPC", "FURNITURE": "RHET_COMP", "HOUSEHOLD": "RHET_COMP"}
 
 
@@ -65,6 +67,39 @@ class Corpus:
         role = F.when(F.col("l_linenumber") == 7, "editor").otherwise("author")
         return items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"]).select(F.col("l_partkey").alias("work"), F.col("s_name").alias("name"), role.alias("role"), F.col("s_nationkey").alias("place")).distinct()
 
+    @cached_property
+    def listed(self) -> DataFrame:
+        """Works as bibliography entries: their names in order, a date where the year is known."""
+        people = self.work_authors.groupBy("work").agg(F.array_join(F.sort_array(F.collect_set("name")), "; ").alias("authors"))
+        return self.works.join(people, "work", "left").select(
+            "work", F.concat(F.lit("https://doi.example/"), "work").alias("url"), F.concat(F.lit("10.1000/W"), "work").alias("doi"), "title", "journal",
+            F.concat("year", F.lit("-01-01")).alias("pub_date"), "type", "authors",
+        )
+
+    def deposit(self) -> str:
+        """The listed works as a registration agency's JSON lines, in the shared folder."""
+        path = shared_path(self.spark, "deposit")
+        name = F.transform(F.split("authors", "; "), lambda a: F.struct(F.lit(None).cast("string").alias("given"), a.alias("family")))
+        date = F.struct(F.array(F.array(F.substring("pub_date", 1, 4).cast("int"))).alias("date-parts"))
+        rows = self.listed.select(F.col("doi").alias("DOI"), F.col("url").alias("URL"), F.array("title").alias("title"), F.array("journal").alias("container-title"), "type", name.alias("author"), date.alias("issued"))
+        rows.write.json(path)
+        return path
+
+    @cached_property
+    def titled(self) -> DataFrame:
+        """Documents as harvested records: the first line is the title, thousands of characters the year."""
+        return self.table("documents").where("text is not null").select(
+            F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.floor(F.col("n_chars") / 1000).alias("year"), "source",
+            F.when(F.col("lang") != "", 1).otherwise(0).alias("filled"),
+        )
+
+    @cached_property
+    def inverted(self) -> DataFrame:
+        """Benchmark texts as inverted indexes: word to positions."""
+        words = self.table("benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([^\s]+)"), F.lit(1))).alias("p", "w"))
+        by = words.groupBy("item_id", "w").agg(F.collect_list("p").alias("ps"))
+        return by.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+
 
 #: The same tables in SQL; a query's oracle starts with the ones it names.
 SQL = {
