@@ -30,7 +30,7 @@ def modularity(arcs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> f
     return own / all_ - resolution * square / (all_ * all_) if all_ else 0.0
 
 
-def _moves(arcs: DataFrame, resolution: float, rounds: int) -> tuple[DataFrame, float, float]:
+def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tuple[DataFrame, float, float]:
     """Labels after rounds in which half of the nodes, by hash, move to their best neighbour's label."""
     strength = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "strength")
     whole = strength.agg(F.sum("k")).first()[0]
@@ -52,25 +52,26 @@ def _moves(arcs: DataFrame, resolution: float, rounds: int) -> tuple[DataFrame,
         turn = F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0
         labels = cut(best.select(F.col("a").alias("id"), F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "labels")
         now = modularity(arcs, labels, resolution)
-        if now > value + 1e-9:
-            kept, value, worse = labels, now, 0
-        elif (worse := worse + 1) == 3:
+        worse = 0 if now > value + rise else worse + 1
+        if now > value:
+            kept, value = labels, now
+        if worse == 2:
             break
     return kept, start, value
 
 
-def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 5) -> DataFrame:
+def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3, rise: float = 1e-4) -> DataFrame:
     """(id, c) of ``arcs(a, b, w)``: labels of high modularity, c the smallest node of its community.
 
     Multi-level local moves: every round is joins and aggregations over links and labels, a level
-    ends when modularity stops rising for three rounds, then communities become the nodes of the
+    ends when modularity rises by no more than ``rise`` in two rounds running, then communities become the nodes of the
     next level. Deterministic; the best labels found count, so modularity never falls.
     """
     arcs = cut(arcs, "arcs")
     member, level = arcs.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")), arcs
     for _ in range(levels):
-        labels, before, after = _moves(level, resolution, rounds)
-        if after <= before + 1e-9:
+        labels, before, after = _moves(level, resolution, rounds, rise)
+        if after <= before + rise:
             break
         up = labels.select(F.col("id").alias("c"), F.col("c").alias("up"))
         member = cut(member.join(up, "c").select("id", F.col("up").alias("c")), "member")
