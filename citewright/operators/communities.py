@@ -31,16 +31,19 @@ def modularity(arcs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> f
 
 
 def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tuple[DataFrame, float, float]:
-    """Labels after rounds in which half of the nodes, by hash, move to their best neighbour's label."""
-    strength = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")), "strength")
-    whole = strength.agg(F.sum("k")).first()[0]
-    labels = strength.select("id", F.col("id").alias("c"))
-    start = value = modularity(arcs, labels, resolution)
-    kept, worse = labels, 0
+    """Labels after rounds in which half of the nodes, by hash, move to their best neighbour's label.
+
+    A round's table also holds what its starting labels' modularity needs, so that scoring them is
+    a sum over that table.
+    """
+    labels = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "labels")
+    whole = labels.agg(F.sum("k")).first()[0]
+    loops = arcs.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
     across = arcs.where("a <> b")
-    for k in range(rounds):
-        total = labels.join(strength, "id").groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("size"))
-        mine = labels.join(strength, "id").join(total.select("c", F.col("size").alias("own_size")), "c").select(F.col("id").alias("a"), F.col("c").alias("own"), "k", "own_size")
+    kept, start, value, worse = labels, None, float("-inf"), 0
+    for k in range(rounds + 1):
+        total = labels.groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("size"))
+        mine = labels.join(total.select("c", F.col("size").alias("own_size")), "c").select(F.col("id").alias("a"), F.col("c").alias("own"), "k", "own_size")
         near = across.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
         near = near.unionByName(labels.select(F.col("id").alias("a"), "c", F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
         seen = near.join(total, "c").join(mine, "a")
@@ -48,16 +51,22 @@ def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tupl
         # two single nodes would swap for ever: only the one with the larger label moves
         seen = seen.where(same | (F.col("own_size") > 1) | (F.col("size") > 1) | (F.col("c") < F.col("own")))
         gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(same, F.col("k")).otherwise(0.0)) / whole, 9)
-        best = seen.groupBy("a", "own").agg(F.max_by("c", F.struct(gain.alias("gain"), same.alias("same"), -F.col("c"))).alias("best"))
+        best = seen.groupBy("a", "own", "k").agg(
+            F.max_by("c", F.struct(gain.alias("gain"), same.alias("same"), -F.col("c"))).alias("best"),
+            F.max(F.when(same, F.col("w"))).alias("inside"), F.max(F.when(same, F.col("t"))).alias("t"),
+        )
         turn = F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0
-        labels = cut(best.select(F.col("a").alias("id"), F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "labels")
-        now = modularity(arcs, labels, resolution)
+        moved = cut(best.select(F.col("a").alias("id"), "k", "own", "inside", "t", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "labels")
+        inside, square = moved.agg(F.sum("inside"), F.sum(F.col("k") * F.col("t"))).first()
+        now = (inside + loops) / whole - resolution * square / (whole * whole) if whole else 0.0
+        start = now if start is None else start
         worse = 0 if now > value + rise else worse + 1
         if now > value:
-            kept, value = labels, now
+            kept, value = moved.select("id", F.col("own").alias("c")), now
         if worse == 2:
             break
-    return kept, start, value
+        labels = moved.select("id", "k", "c")
+    return kept.select("id", "c"), start, value
 
 
 def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3, rise: float = 1e-4) -> DataFrame:
