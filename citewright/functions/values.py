@@ -64,3 +64,25 @@ def auto_tags(text: Column, vocabulary: dict[str, list[str]]) -> Column:
         found.append(F.when(F.lower(text).rlike("|".join(parts)), F.lit(tag)))
     tags = F.array_compact(F.array(*found))
     return F.when(F.size(tags) > 0, F.concat(F.lit("|"), F.array_join(tags, "|"), F.lit("|")))
+
+
+def normal_tag(text: Column) -> Column:
+    """A reader's tag: bars and white space become single spaces, control and angle characters go, lower case."""
+    plain = F.regexp_replace(F.translate(text, "|\t\n\r", "    "), r"[\x00-\x1f\x7f<>]", "")
+    return F.lower(F.trim(F.regexp_replace(plain, " +", " ")))
+
+
+def period_label(date: Column) -> Column:
+    """2001-07-15 or 2001-07 as July 2001, a year alone as it is."""
+    month = F.try_to_timestamp(F.concat(F.substring(date, 1, 7), F.lit("-01")), F.lit("yyyy-MM-dd"))
+    return F.when(F.length(date) >= 7, F.coalesce(F.date_format(month, "MMMM yyyy"), date)).otherwise(date)
+
+
+def reference_key(text: Column) -> Column:
+    """A key for a reference without a doi."""
+    return F.concat(F.lit("ref:"), F.substring(F.md5(text), 1, 12))
+
+
+def raw_doi(text: Column) -> Column:
+    """A stand-in doi for a raw reference."""
+    return F.concat(F.lit("raw:"), F.substring(F.sha2(text, 256), 1, 16))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewright.functions.values import ordinal
+from citewright.functions.values import ordinal, percent
 
 
 def resolved(citations: DataFrame) -> DataFrame:
@@ -114,6 +114,14 @@ def half_life(edges: DataFrame, side: str) -> DataFrame:
     return weighted_percentiles(ages, side, "age", "w", {"q25": 0.25, "half_life": 0.5, "q75": 0.75}).withColumnRenamed(side, "journal")
 
 
+def half_life_series(edges: DataFrame, side: str, least: int = 10) -> DataFrame:
+    """Half-life per journal and citing year with ``least`` or more links: the first age up to which half of them lie."""
+    by = edges.where("sy >= ty").groupBy(F.col(side).alias("journal"), F.col("sy").alias("year"), (F.col("sy") - F.col("ty")).alias("age")).agg(F.count("*").alias("k"))
+    at = Window.partitionBy("journal", "year")
+    run = by.withColumn("upto", F.sum("k").over(at.orderBy("age"))).withColumn("n", F.sum("k").over(at)).where(F.col("n") >= least)
+    return run.groupBy("journal", "year").agg(F.min(F.when(2 * F.col("upto") >= F.col("n"), F.col("age"))).alias("half_life"), F.max("n").alias("n"))
+
+
 def sleeping_beauties(articles: DataFrame, citations: DataFrame, least: int = 5, limit: int = 50) -> DataFrame:
     """Articles by beauty coefficient: how far yearly citations lie below the line from nothing at
     publication to their peak. Articles whose global citations exceed three times their own here are
@@ -273,14 +281,30 @@ def unread_canon(articles: DataFrame, citations: DataFrame, globally: int = 100,
     return n.select("id", "cited_globally", "n_in", ratio.alias("ratio")).orderBy(F.desc("ratio"), "id").limit(limit)
 
 
-def coupling_asymmetry(citations: DataFrame, least: int = 2, few: int = 3, most: int = 200, limit: int = 200) -> DataFrame:
-    """Pairs that share references, by how unequal the shared part is; references with more than
-    ``most`` citers and sources with fewer than ``few`` references take no part."""
+def _shared_references(citations: DataFrame, least: int, few: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, weight) by shared references, unresolved ones included, and (source, refs); references
+    with more than ``most`` citers and sources with fewer than ``few`` references take no part."""
     refs = citations.select("source", F.coalesce(F.col("target").cast("string"), F.col("doi")).alias("ref")).distinct()
     size = refs.groupBy("source").agg(F.count("*").alias("refs")).where(F.col("refs") >= few)
     hot = refs.groupBy("ref").agg(F.count("*").alias("citers")).where((F.col("citers") >= 2) & (F.col("citers") <= most))
     used = refs.join(hot.select("ref"), "ref", "left_semi").join(size.select("source"), "source", "left_semi")
-    pairs = pair_counts(used, "ref", "source", least)
+    return pair_counts(used, "ref", "source", least), size
+
+
+def shared_foundations(citations: DataFrame, least: int = 3, few: int = 5, most: int = 200, top: int = 400, links: int = 2000) -> DataFrame:
+    """The strongest pairs by shared references among the ``top`` articles by the sum of theirs, with their Jaccard index."""
+    pairs, size = _shared_references(citations, least, few, most)
+    strength = pairs.select(F.explode(F.array("a", "b")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("s")).orderBy(F.desc("s"), "id").limit(top)
+    kept = pairs.join(strength.select(F.col("id").alias("a")), "a", "left_semi").join(strength.select(F.col("id").alias("b")), "b", "left_semi")
+    kept = kept.orderBy(F.desc("weight"), "a", "b").limit(links)
+    a, b = (size.select(F.col("source").alias(c), F.col("refs").alias(f"refs_{c}")) for c in "ab")
+    share = F.round(F.col("weight") / (F.col("refs_a") + F.col("refs_b") - F.col("weight")), 6)
+    return kept.join(a, "a").join(b, "b").select("a", "b", "weight", share.alias("jaccard"))
+
+
+def coupling_asymmetry(citations: DataFrame, least: int = 2, few: int = 3, most: int = 200, limit: int = 200) -> DataFrame:
+    """Pairs that share references, by how unequal the shared part is."""
+    pairs, size = _shared_references(citations, least, few, most)
     a = size.select(F.col("source").alias("a"), F.col("refs").alias("refs_a"))
     b = size.select(F.col("source").alias("b"), F.col("refs").alias("refs_b"))
     gap = F.round(F.abs(F.col("weight") / F.col("refs_a") - F.col("weight") / F.col("refs_b")), 6)
@@ -300,3 +324,32 @@ def coverage_by_journal(articles: DataFrame, citations: DataFrame) -> DataFrame:
     inbound = c.where("tj is not null").groupBy(F.col("tj").alias("journal")).agg(F.count("*").alias("n_in"), F.countDistinct("target").alias("cited"))
     base = articles.groupBy("journal").agg(F.count("*").alias("articles"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
     return base.join(out, "journal", "left").join(inbound, "journal", "left").na.fill(0)
+
+
+def corpus_totals(articles: DataFrame, citations: DataFrame) -> DataFrame:
+    """One row: articles, citation rows, resolved ones and their percentage, citing and cited articles."""
+    n = articles.agg(F.count("*").alias("articles"), F.countDistinct("journal").alias("journals"))
+    c = citations.agg(F.count("*").alias("citations"), F.count("target").alias("resolved"), F.countDistinct("source").alias("citing"), F.countDistinct("target").alias("cited"))
+    return n.crossJoin(F.broadcast(c)).withColumn("percent", percent(F.col("resolved"), F.col("citations")))  # two rows of one
+
+
+def reference_coverage(articles: DataFrame, citations: DataFrame) -> DataFrame:
+    """Per journal the articles with references and their percentage."""
+    known = citations.select(F.col("source").alias("id"), F.lit(1).alias("has")).distinct()
+    by = articles.join(known, "id", "left").groupBy("journal").agg(F.count("*").alias("articles"), F.count("has").alias("fetched"))
+    return by.withColumn("percent", percent(F.col("fetched"), F.col("articles")))
+
+
+def without_references(articles: DataFrame, citations: DataFrame) -> DataFrame:
+    """Articles whose references are still to be fetched, with their date."""
+    return articles.join(citations.select(F.col("source").alias("id")), "id", "left_anti").select("id", "pub_date", "journal")
+
+
+def outside_counts(citations: DataFrame) -> DataFrame:
+    """Unresolved references per article that has any."""
+    return citations.where("target is null").groupBy("source").agg(F.count("*").alias("n"))
+
+
+def doi_map(rows: DataFrame) -> DataFrame:
+    """(doi, id) by lower-case, trimmed doi; of several rows the last id."""
+    return rows.where("doi is not null").groupBy(F.lower(F.trim("doi")).alias("doi")).agg(F.max("id").alias("id"))

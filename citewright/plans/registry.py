@@ -15,6 +15,7 @@ from citewright.operators import merging as M
 from citewright.operators import records as R
 from citewright.operators import statistics as T
 from citewright.operators.components import connected_components
+from citewright.plans import people, press
 from citewright.plans.tables import GROUPS, Corpus, with_sql
 from citewright.sources import exports as E
 from citewright.sources import works as W
@@ -255,8 +256,8 @@ _add("page_text", lambda c: c.table("pages").select("page_id", V.strip_tags(F.co
      r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as plain from pages""")
 _add("event_props", lambda c: c.table("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n")), "", "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1")
-_add("name_suppression", lambda c: R.suppress(c.authors, c.table("supplier").where("s_suppkey % 10 = 3").select(F.col("s_name").alias("name"), F.concat(F.lit("person-"), F.substring(F.sha2("s_name", 256), 1, 8)).alias("token"))).groupBy("name").agg(F.count("*").alias("n")), "authors",
-     "select case when s_suppkey % 10 = 3 then 'person-' || substr(sha256(s_name), 1, 8) else name end as name, count(*) as n from authors join supplier on s_name = name group by 1")
+_add("name_suppression", lambda c: R.suppress(c.authors, c.table("supplier").where("s_acctbal < 0").select(F.col("s_name").alias("name"), F.concat(F.lit("person-"), F.substring(F.sha2("s_name", 256), 1, 8)).alias("token"))).groupBy("name").agg(F.count("*").alias("n")), "authors",
+     "select case when s_acctbal < 0 then 'person-' || substr(sha256(s_name), 1, 8) else name end as name, count(*) as n from authors join supplier on s_name = name group by 1")
 _add("upsert_ignore", lambda c: R.upsert_ignore(c.table("customer").select("c_custkey", "c_name"), c.table("orders").select(F.col("o_orderkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_name")), "c_custkey", "c_name"), "",
      "select c_custkey, c_name from customer union all select o_orderkey, min(o_orderpriority) from orders where o_orderkey not in (select c_custkey from customer) group by 1")
 # graphs
@@ -309,8 +310,8 @@ _add("stream_latest", lambda c: S.drain(S.latest(S.read_events(c.spark, c.sf_dir
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in _queries.items()}
+    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | people.SQL | press.SQL

@@ -45,6 +45,12 @@ class Corpus:
             F.col("l_orderkey").alias("id"), F.col("s_name").alias("name"), F.col("l_linenumber").alias("pos")
         )
 
+    @cached_property
+    def affiliations(self) -> DataFrame:
+        """id, name and place of each author of an article."""
+        items, suppliers = self.table("lineitem"), self.table("supplier")
+        return items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"]).select(F.col("l_orderkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("place"))
+
     @cached_property
     def tags(self) -> DataFrame:
         items, parts = self.table("lineitem"), self.table("part")
@@ -67,6 +73,20 @@ class Corpus:
         role = F.when(F.col("l_linenumber") == 7, "editor").otherwise("author")
         return items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"]).select(F.col("l_partkey").alias("work"), F.col("s_name").alias("name"), role.alias("role"), F.col("s_nationkey").alias("place")).distinct()
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """``work_authors`` whose place is unknown where the supplier owes money."""
+        owing = self.table("supplier").select(F.col("s_name").alias("name"), (F.col("s_acctbal") < 0).alias("owing"))
+        return self.work_authors.join(owing, "name").withColumn("place", F.when(~F.col("owing"), F.col("place"))).drop("owing")
+
+    @cached_property
+    def votes(self) -> DataFrame:
+        """Events as votes of readers: article, tag, voter, vote, at, seq."""
+        return self.table("events").select(
+            F.get_json_object("props", "$.k").try_cast("long").alias("article"), F.col("event_type").alias("tag"), F.col("user_id").alias("voter"),
+            F.when(F.col("value") >= 20, 1).otherwise(-1).alias("vote"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        )
+
     @cached_property
     def listed(self) -> DataFrame:
         """Works as bibliography entries: their names in order, a date where the year is known."""
@@ -109,6 +129,11 @@ SQL = {
     "citations": """citations as (select l_orderkey as source, case when l_returnflag <> 'R' then l_partkey end as target,
         concat('ref:', l_suppkey) as doi, l_linenumber as ord from lineitem)""",
     "authors": "authors as (select l_orderkey as id, s_name as name, l_linenumber as pos from lineitem join supplier on l_suppkey = s_suppkey)",
+    "affiliations": "affiliations as (select l_orderkey as id, s_name as name, s_nationkey as place from lineitem join supplier on l_suppkey = s_suppkey)",
+    "placed": """placed as (select distinct l_partkey as work, s_name as name, case when l_linenumber = 7 then 'editor' else 'author' end as role,
+        case when s_acctbal >= 0 then s_nationkey end as place from lineitem join supplier on l_suppkey = s_suppkey)""",
+    "votes": """votes as (select try_cast(json_extract_string(props, '$.k') as bigint) as article, event_type as tag, user_id as voter,
+        case when value >= 20 then 1 else -1 end as vote, ts, event_id as seq from events)""",
     "tags": "tags as (select distinct l_orderkey as id, p_name as tag from lineitem join part on l_partkey = p_partkey)",
     "works": """works as (select p_partkey as work, p_type as type, p_name as title, p_brand as journal, y as year, p_partkey % 40 as parent, coalesce(n, 0) as cited_by
         from part left join (select l_partkey as k, count(*) as n, min(year(l_shipdate))::int as y from lineitem group by 1) on k = p_partkey)""",

@@ -49,3 +49,8 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
 def latest(events: DataFrame) -> DataFrame:
     """The last value of each user and kind of event: the newest by time, then by id."""
     return events.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("n"))
+
+
+def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
+    """Events without repeats of ``key``; state is dropped once the watermark has passed."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
