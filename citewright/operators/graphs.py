@@ -9,11 +9,14 @@ from citewright.operators.components import connected_components
 from citewright.session import cut
 
 
-def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, rank) after ``rounds`` updates; nodes without links out spread their rank evenly.
-
-    The link table with its out-degrees is written once; each round is a join and an aggregation,
-    and every second round ends the lineage at a table.
+def pagerank(links: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-11, most: int = 500) -> DataFrame:
+    """(id, rank) once the summed change of ranks in a round is below ``tolerance``, or after exactly
+    ``rounds`` updates where given; nodes without links out spread their rank evenly.
+
+    The link table with its out-degrees is written once; each round is a join and an aggregation
+    that ends at a table, and gives the driver one row: the loose rank and the summed change. Ranks
+    differ from the limit by at most damping / (1 - damping) of the last change in sum. Ranks that
+    still change after ``most`` rounds are an error.
     """
     edges = links.select("source", "target").distinct()
     out = edges.groupBy("source").agg(F.count("*").alias("degree"))
@@ -23,14 +26,20 @@ def pagerank(links: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
-        loose = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")))  # one row
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n)).withColumn("change", F.lit(0.0))
+    lost = F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0))
+    loose = ranks.agg(lost).first()[0]
+    for _ in range(most if rounds is None else rounds):
         given = edges.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
-        ranks = nodes.join(given, "id", "left").crossJoin(loose).select("id", "degree", new.alias("rank"))
-        if k % 2 == 1 or k == rounds - 1:
-            ranks = cut(ranks, "ranks")
+        new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))
+        ranks = ranks.join(given, "id", "left").select("id", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+        ranks = cut(ranks, "ranks")
+        loose, change = ranks.agg(lost, F.sum("change")).first()
+        if rounds is None and change < tolerance:
+            break
+    else:
+        if rounds is None:
+            raise ValueError(f"ranks still change by {change} after {most} rounds")
     return ranks.select("id", "rank")
 
 

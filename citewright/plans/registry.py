@@ -265,6 +265,7 @@ _add("pagerank", lambda c: G.pagerank(C.resolved(c.citations), 5).select("id", F
      ", e as (select distinct source, target from citations where target is not null), d as (select source as id, count(*) as d from e group by 1), n as (select id, d from (select source as id from e union select target from e) left join d using (id)), z as (select count(*)::double as z from n), r0 as (select id, d, 1 / z as r from n, z)"
      + "".join(f", l{k} as (select coalesce(sum(r), 0) as l from r{k - 1} where d is null), g{k} as (select target as id, sum(r / d) as g from e join r{k - 1} on id = source group by 1), r{k} as (select n.id, n.d, 0.15::double / z + 0.85::double * (coalesce(g, 0) + l / z) as r from n left join g{k} using (id), z, l{k})" for k in range(1, 6))
      + " select id, round(r, 10) as rank from r5")
+_add("pagerank_converged", lambda c: G.pagerank(C.resolved(c.citations)).select("id", F.round("rank", 10).alias("rank")))
 _add("components", lambda c: connected_components(C.coupling(c.citations, 2).select("a", "b")), "citations",
      """, p as (select x.source as a, y.source as b from citations x join citations y on x.target = y.target and x.source < y.source group by all having count(*) >= 2), e as (select a, b from p union all select b, a from p),
      r(node, seen) as (select a, a from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as component from r group by 1""", recursive=True)

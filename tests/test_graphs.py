@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citewright.operators import communities as N
 from citewright.operators import graphs as G
 from citewright.operators import statistics as T
+from citewright.plans import registry
 
 LINK = "source long, target long"
 
@@ -48,6 +49,33 @@ def test_betweenness(spark):
     assert part.count() == len(want) and part.where("score < 0").isEmpty()
 
 
+def limit_ranks(links, damping):
+    """PageRank by 500 plain updates."""
+    links, nodes = set(links), sorted({v for e in links for v in e})
+    n, out, rank = len(nodes), defaultdict(list), {v: 1 / len(nodes) for v in nodes}
+    for s, t in links:
+        out[s].append(t)
+    for _ in range(500):
+        new = dict.fromkeys(nodes, (1 - damping) / n + damping * sum(rank[v] for v in nodes if not out[v]) / n)
+        for s in nodes:
+            for t in out[s]:
+                new[t] += damping * rank[s] / len(out[s])
+        rank = new
+    return rank
+
+
+def test_pagerank_converges(spark):
+    links = [(k, k + 1) for k in range(12)] + [(12, 9), (3, 0), (5, 20), (6, 20), (6, 20)]  # a long chain into a slow cycle, an end
+    want = limit_ranks(links, 0.5)
+    got = {r["id"]: r["rank"] for r in G.pagerank(spark.createDataFrame(links, LINK), damping=0.5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 5e-11 for v in want)
+    five = {r["id"]: r["rank"] for r in G.pagerank(spark.createDataFrame(links, LINK), 5, 0.5).collect()}
+    assert max(abs(five[v] - want[v]) for v in want) > 1e-4
+    with pytest.raises(ValueError, match="still change"):
+        G.pagerank(spark.createDataFrame(links, LINK), most=5)
+    assert "pagerank_converged" in registry.queries()
+
+
 def test_cycles_are_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
         G.search_path_counts(spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3)], LINK))
