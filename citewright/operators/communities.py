@@ -33,7 +33,9 @@ def modularity(arcs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> f
 def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tuple[DataFrame, float, float]:
     """Labels after rounds in which half of the nodes, by hash, move to their best neighbour's label.
 
-    A round's table also holds what its starting labels' modularity needs, so that scoring them is
+    Two rounds make a sweep that lets each node move once. The search ends when modularity rises by
+    no more than ``rise`` in three rounds running, which hold a sweep; ``rounds`` without that are an
+    error. A round's table also holds what its starting labels' modularity needs, so that scoring them is
     a sum over that table.
     """
     labels = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "labels")
@@ -41,7 +43,7 @@ def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tupl
     loops = arcs.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
     across = arcs.where("a <> b")
     kept, start, value, worse = labels, None, float("-inf"), 0
-    for k in range(rounds + 1):
+    for k in range(rounds):
         total = labels.groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("size"))
         mine = labels.join(total.select("c", F.col("size").alias("own_size")), "c").select(F.col("id").alias("a"), F.col("c").alias("own"), "k", "own_size")
         near = across.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
@@ -55,7 +57,7 @@ def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tupl
             F.max_by("c", F.struct(gain.alias("gain"), same.alias("same"), -F.col("c"))).alias("best"),
             F.max(F.when(same, F.col("w"))).alias("inside"), F.max(F.when(same, F.col("t"))).alias("t"),
         )
-        turn = F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0
+        turn = F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2
         moved = cut(best.select(F.col("a").alias("id"), "k", "own", "inside", "t", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "labels")
         inside, square = moved.agg(F.sum("inside"), F.sum(F.col("k") * F.col("t"))).first()
         now = (inside + loops) / whole - resolution * square / (whole * whole) if whole else 0.0
@@ -63,18 +65,21 @@ def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tupl
         worse = 0 if now > value + rise else worse + 1
         if now > value:
             kept, value = moved.select("id", F.col("own").alias("c")), now
-        if worse == 2:
+        if worse == 3:
             break
         labels = moved.select("id", "k", "c")
+    else:
+        raise ValueError(f"modularity still rises after {rounds} rounds")
     return kept.select("id", "c"), start, value
 
 
-def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3, rise: float = 1e-4) -> DataFrame:
+def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 1000, levels: int = 100, rise: float = 1e-9) -> DataFrame:
     """(id, c) of ``arcs(a, b, w)``: labels of high modularity, c the smallest node of its community.
 
     Multi-level local moves: every round is joins and aggregations over links and labels, a level
-    ends when modularity rises by no more than ``rise`` in two rounds running, then communities become the nodes of the
-    next level. Deterministic; the best labels found count, so modularity never falls.
+    ends when modularity rises by no more than ``rise`` in three rounds running, then communities become the nodes of the
+    next level, until a level adds no more than ``rise``. ``rounds`` and ``levels`` only bound the search: to reach one is
+    an error. Deterministic; the best labels found count, so modularity never falls.
     """
     arcs = cut(arcs, "arcs")
     member, level = arcs.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")), arcs
@@ -111,3 +116,14 @@ def carried_over(before: DataFrame, after: DataFrame, shared: int = 2, least: fl
     both = x.join(y, "id").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
     found = both.join(na, "a").join(nb, "b").withColumn("jaccard", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
     return found.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+
+
+def over_decades(edges: DataFrame, shared: int = 2, least: float = 0.05) -> DataFrame:
+    """(decade, a, b, shared, jaccard): ``carried_over`` from each decade of ``sy`` to the next one found, by the earlier decade."""
+    edges = cut(edges.where("sy is not null").withColumn("decade", F.floor(F.col("sy") / 10) * 10), "decades")
+    found = sorted(r["decade"] for r in edges.select("decade").distinct().collect())  # one row a decade
+    maps = [communities(undirected(edges.where(F.col("decade") == d))) for d in found] if len(found) > 1 else []
+    out = edges.sparkSession.createDataFrame([], "decade long, a long, b long, shared long, jaccard double")
+    for d, before, after in zip(found, maps, maps[1:]):
+        out = out.unionByName(carried_over(before, after, shared, least).withColumn("decade", F.lit(d).cast("long")))
+    return out

@@ -298,7 +298,7 @@ _add("betweenness", lambda c: G.betweenness(C.network_links(c.articles, c.citati
 _add("communities", lambda c: N.communities(_arcs(c)))
 _add("walls_bridges", lambda c: N.walls_bridges(_arcs(c), N.communities(_arcs(c))))
 _add("two_maps", lambda c: T.agreement(N.communities(_arcs(c)).join(N.communities(N.weighted(C.coupling(c.citations, 2))).withColumnRenamed("c", "k"), "id"), "c", "k"))
-_add("communities_time", lambda c: N.carried_over(*(N.communities(N.undirected(_edges(c).where(F.floor(F.col("sy") / 10) == d))) for d in (199, 200))))
+_add("communities_time", lambda c: N.over_decades(_edges(c)))
 # streams; append mode holds back what a later event could still change, complete mode doesn't
 _add("stream_tumbling", lambda c: S.drain(S.windowed(S.read_events(c.spark, c.sf_dir), "1 day"), "complete"), "",
      "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

@@ -110,6 +110,60 @@ def test_communities(spark):
     assert N.communities(N.undirected(links.limit(0))).isEmpty()
 
 
+def sequential(links):
+    """Labels of the sequential multi-level search, nodes in order."""
+    w = defaultdict(lambda: defaultdict(float))
+    for a, b in links:
+        w[a][b] += 1.0
+        w[b][a] += 1.0
+    member = {v: v for v in w}
+    while True:
+        k, label = {v: sum(w[v].values()) for v in w}, {v: v for v in w}
+        total, whole, any_moved, moved = dict(k), sum(k.values()), False, True
+        while moved:
+            moved = False
+            for v in sorted(w):
+                near = defaultdict(float)
+                for u, x in w[v].items():
+                    if u != v:
+                        near[label[u]] += x
+                total[label[v]] -= k[v]
+                best = max([label[v], *sorted(near)], key=lambda c: near.get(c, 0.0) - k[v] * total[c] / whole + 1e-9 * (c == label[v]))
+                total[best] += k[v]
+                moved, label[v] = moved or best != label[v], best
+            any_moved = any_moved or moved or any(label[v] != v for v in w)
+        if not any_moved:
+            return member
+        member = {v: label[c] for v, c in member.items()}
+        up = defaultdict(lambda: defaultdict(float))
+        for v in w:
+            for u, x in w[v].items():
+                up[label[v]][label[u]] += x
+        w = up
+
+
+def test_communities_end_by_convergence(spark):
+    rng = random.Random(3)  # a ring of 60 groups of 8, some links between others
+    links = [(a, b) for g in range(60) for a in range(8 * g, 8 * g + 8) for b in range(a + 1, 8 * g + 8) if rng.random() < 0.6]
+    links += [(8 * g + 7, (8 * g + 8) % 480) for g in range(60)] + [(rng.randrange(480), rng.randrange(480)) for _ in range(150)]
+    links = sorted({(min(e), max(e)) for e in links if e[0] != e[1]})
+    arcs = N.undirected(spark.createDataFrame(links, LINK)).cache()
+    one = N.modularity(arcs, spark.createDataFrame(list(sequential(links).items()), "id long, c long"))
+    many = N.modularity(arcs, N.communities(arcs))
+    print(f"modularity: sequential {one:.4f}, parallel {many:.4f}")
+    assert many > one - 0.02
+    with pytest.raises(ValueError, match="still rises"):
+        N.communities(arcs, rounds=2)
+
+
+def test_all_decades_are_compared(spark):
+    one, two = cliques(range(6)), cliques(range(10, 16))
+    rows = [(a, b, y) for y, links in ((1975, one), (1988, one), (2003, one + two), (2011, two)) for a, b in links] + [(1, 2, None)]
+    edges = spark.createDataFrame(rows, LINK + ", sy int")
+    assert {tuple(r) for r in N.over_decades(edges).collect()} == {(1970, 0, 0, 6, 1.0), (1980, 0, 0, 6, 1.0), (2000, 10, 10, 6, 1.0)}
+    assert N.over_decades(edges.where("sy < 1980")).isEmpty()
+
+
 def test_window_metrics(spark):
     rows = [(1, 2, 2000, 2000), (2, 3, 2000, 2000), (3, 1, 2000, 2000), (4, 1, 2000, 2000), (9, 1, 2003, 2000), (9, 1, 2003, 2000)]
     got = [tuple(r) for r in G.window_metrics(spark.createDataFrame(rows, LINK + ", sy int, ty int"), 2).orderBy("window").collect()]
