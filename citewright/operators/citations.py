@@ -97,6 +97,13 @@ def edge_table(articles: DataFrame, citations: DataFrame, groups: dict[str, str]
     return resolved(citations).join(s, "source").join(t, "target")
 
 
+def boundary_degrees(edges: DataFrame) -> DataFrame:
+    """(id, g, boundary): distinct neighbours in another field group, of nodes whose own group isn't OTHER; 0 for the others."""
+    ends = edges.where("source <> target").select("source", "sg", "target", "tg")
+    ends = ends.union(ends.select("target", "tg", "source", "sg")).toDF("id", "g", "other", "og").distinct()
+    return ends.groupBy("id", "g").agg(F.count(F.when((F.col("g") != F.col("og")) & (F.col("g") != "OTHER"), 1)).alias("boundary"))
+
+
 def journal_flow(edges: DataFrame, least: int = 1) -> DataFrame:
     return edges.groupBy("sj", "tj").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

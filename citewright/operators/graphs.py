@@ -150,6 +150,14 @@ def betweenness(links: DataFrame, pivots: int | None = None) -> DataFrame:
     return nodes.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
 
 
+def undirected_betweenness(links: DataFrame, pivots: int = 256, exact: int = 512) -> DataFrame:
+    """``betweenness`` over all links without direction: from all nodes of up to ``exact``, else from ``pivots`` chosen by hash."""
+    both = links.select("source", "target").union(links.select("target", "source")).where("source <> target").distinct()
+    both = cut(both, "both")
+    n = both.select("source").distinct().count()
+    return betweenness(both, None if n <= exact else pivots)
+
+
 def window_metrics(edges: DataFrame, width: int = 1) -> DataFrame:
     """Measures of the network inside each window of publication years, and running totals.
 

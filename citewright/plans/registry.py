@@ -46,6 +46,11 @@ def _spc(c: Corpus) -> DataFrame:
     return G.search_path_counts(_edges(c).where("sy > ty").select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
+def _crossers(edges: DataFrame, top: int = 25) -> DataFrame:
+    scores = G.undirected_betweenness(edges).select("id", F.round("score", 9).alias("score"))
+    return scores.join(C.boundary_degrees(edges), "id").orderBy(F.desc("score"), F.desc("boundary"), "id").limit(top)
+
+
 def _name(c: Corpus) -> str:
     return c.table("supplier").agg(F.max(F.struct("s_suppkey", "s_name"))["s_name"]).first()[0]
 
@@ -294,7 +299,9 @@ _add("window_metrics", lambda c: G.window_metrics(_edges(c)), "edges",
      select w as window, n as nodes, coalesce(m, 0) as links, round(case when n > 1 then 2.0::double * coalesce(m, 0) / (n * (n - 1)) else 0 end, 9) as density, round(2.0::double * coalesce(m, 0) / n, 6) as mean_degree, round(case when t > 0 then 3.0::double * coalesce(q, 0) / t else 0 end, 6) as transitivity,
      (n - coalesce(within, 0) + coalesce(joined, 0))::bigint as components, greatest(coalesce(largest, 0), 1) as largest, (sum(n) over (order by w))::bigint as all_nodes, (sum(coalesce(l, 0)) over (order by w))::bigint as all_links
      from b left join m using (w) left join t using (w) left join q using (w) left join k using (w) left join l using (w)""", recursive=True)
-_add("betweenness", lambda c: G.betweenness(C.network_links(c.articles, c.citations)).select("id", F.round("score", 9).alias("score")))
+_add("betweenness", lambda c: G.betweenness(C.network_links(c.articles, c.citations, 1, 600)).select("id", F.round("score", 9).alias("score")))
+_add("betweenness_all", lambda c: G.undirected_betweenness(C.resolved(c.citations)).select("id", F.round("score", 9).alias("score")))
+_add("border_crossers", lambda c: _crossers(_edges(c)))
 _add("communities", lambda c: N.communities(_arcs(c)))
 _add("walls_bridges", lambda c: N.walls_bridges(_arcs(c), N.communities(_arcs(c))))
 _add("two_maps", lambda c: T.agreement(N.communities(_arcs(c)).join(N.communities(N.weighted(C.coupling(c.citations, 2))).withColumnRenamed("c", "k"), "id"), "c", "k"))

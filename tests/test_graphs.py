@@ -49,6 +49,23 @@ def test_betweenness(spark):
     assert part.count() == len(want) and part.where("score < 0").isEmpty()
 
 
+def test_border_crossers(spark):
+    rng = random.Random(8)
+    group = {v: ("TPC", "RHET_COMP", "OTHER")[v % 3] for v in range(20)}
+    links = [(rng.randrange(20), rng.randrange(20)) for _ in range(36)] + [(4, 4), (1, 2), (2, 1)]
+    edges = spark.createDataFrame([(s, t, group[s], group[t]) for s, t in links], LINK + ", sg string, tg string")
+    near = defaultdict(set)
+    for s, t in links:
+        if s != t:
+            near[s].add(t)
+            near[t].add(s)
+    want = shares([(s, t) for s in near for t in near[s]])
+    got = {r["id"]: r for r in registry._crossers(edges).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v]["score"] - want[v]) < 1e-8 for v in want)
+    assert all(got[v]["boundary"] == sum(group[v] not in ("OTHER", group[u]) for u in near[v]) for v in want)
+    assert {"betweenness_all", "border_crossers"} <= registry.queries().keys()
+
+
 def limit_ranks(links, damping):
     """PageRank by 500 plain updates."""
     links, nodes = set(links), sorted({v for e in links for v in e})
