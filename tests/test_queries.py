@@ -29,3 +29,8 @@ def test_equals_sql(spark, duck, name):
     want = duck.sql(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_slug_reads_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, "-" * 300 + " The Title")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["slug"] for r in registry.queries()["title_slug"](spark, str(tmp_path)).collect()] == ["the-title"]
