@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.session import shared_path
+from citewright.session import expire, shared_path
 
 GROUPS = {"AUTOMOBILE": "TPC", "BUILDING": "TPC", "FURNITURE": "RHET_COMP", "HOUSEHOLD": "RHET_COMP"}
 
@@ -103,6 +103,7 @@ class Corpus:
         date = F.struct(F.array(F.array(F.substring("pub_date", 1, 4).cast("int"))).alias("date-parts"))
         rows = self.listed.select(F.col("doi").alias("DOI"), F.col("url").alias("URL"), F.array("title").alias("title"), F.array("journal").alias("container-title"), "type", name.alias("author"), date.alias("issued"))
         rows.write.json(path)
+        expire(self.spark, path)
         return path
 
     @cached_property

@@ -24,18 +24,22 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+_stand_in: list[str] = []  # the folder of a local session without the setting
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where that setting is absent (tests in local mode) a temporary folder stands in for it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _stand_in:
+        _stand_in.append(tempfile.mkdtemp(prefix="spark-"))
+    return _stand_in[0]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -46,16 +50,28 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The lineage ends at files every executor can read, so a lost executor costs a re-read, and
-    nothing upstream is computed twice.
+    nothing upstream is computed twice. The table goes when the application ends.
     """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
+    expire(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def _located(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    files, where = _located(spark, path)
+    files.delete(where, True)
+
+
+def expire(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver's JVM ends."""
+    files, where = _located(spark, path)
+    files.deleteOnExit(where)
 
 
 def batch_rows(spark: SparkSession, rows: int) -> None:
