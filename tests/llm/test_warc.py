@@ -48,6 +48,55 @@ def test_pushed_predicates_and_skipped_payloads(pages, spark):
     assert reader._wanted({"warc-type": "response"}) and not reader._wanted({"warc-type": "revisit"})
 
 
+class Counted:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, data):
+        import io
+
+        self.file, self.bytes = io.BytesIO(data), 0
+
+    def read(self, n):
+        got = self.file.read(n)
+        self.bytes += len(got)
+        return got
+
+    def seek(self, at):
+        return self.file.seek(at)
+
+
+def test_skipped_payloads_are_not_read():
+    import os
+
+    noise = [os.urandom(100_000).hex() for _ in range(3)]
+    record = "WARC/1.1\r\nWARC-Type: {}\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
+    data = b"".join(warc.member(record.format(t, len(x), x).encode()) for t, x in zip(["response", "revisit", "response"], noise))
+    every, some, heads = Counted(data), Counted(data), Counted(data)
+    assert [b.decode() for _, b in warc.packed_records(every)] == noise and every.bytes == len(data)
+    assert [b.decode() for _, b in warc.packed_records(some, lambda h: h["warc-type"] == "revisit")] == noise[1:2]
+    assert some.bytes < len(data) / 3 + 5000
+    assert len(list(warc.packed_records(heads, payloads=False))) == 3 and heads.bytes < 5000
+    import gzip
+    import io
+
+    assert gzip.decompress(data).decode() == "".join(record.format(t, len(x), x) for t, x in zip(["response", "revisit", "response"], noise))
+    for broken in (data[:-40], data[:120_000] + b"x" + data[120_001:], data[7:]):
+        with pytest.raises(Exception):
+            list(warc.packed_records(io.BytesIO(broken)))
+    assert list(warc.packed_records(io.BytesIO(b""))) == []
+
+
+def test_only_committed_files_are_read(spark, pages):
+    path = shared_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    store, folder = warc._filesystem(path)
+    with store.open_output_stream(f"{folder}/part-of-a-lost-task.warc.gz", compression=None) as out:
+        out.write(b"half a record")
+    assert warc.read_archives(spark, path).count() == 12
+    warc.write_archives(pages.limit(0), path)
+    assert warc.read_archives(spark, path).count() == 12
+
+
 def test_compressed_and_broken_archives(tmp_path):
     import gzip
     import io
