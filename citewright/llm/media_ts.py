@@ -143,10 +143,11 @@ class Stream:
     continuity_errors: int
     pts: list[int]
     random_access: list[int]  #: places in ``pts`` of units that start at a random-access point
+    short: int = 0  #: elementary packets with another length than their header says
 
     def feature(self) -> str:
         span = f"{self.pts[0]}-{self.pts[-1]}" if self.pts else "none"
-        return f"packets={self.packets};pes={self.pes};cc_errors={self.continuity_errors};pts={span};rap={len(self.random_access)}"
+        return f"packets={self.packets};pes={self.pes};cc_errors={self.continuity_errors};pts={span};rap={len(self.random_access)};short={self.short}"
 
 
 def _sections(packets: np.ndarray, pid: int) -> Iterator[bytes]:
@@ -168,8 +169,9 @@ def demux(stream: bytes) -> Stream:
     """The first elementary stream of the first program.
 
     Null packets, packets flagged as errors and single repeats of a packet are passed over. A jump
-    in the continuity counter counts as an error unless the packet flags a discontinuity. A stream
-    without tables, or none at all, has an empty payload; a cut or unsynchronised one is refused.
+    in the continuity counter counts as an error unless the packet flags a discontinuity; so do
+    elementary packets that lack data or have too much of it, by their own length, in ``short``. A
+    stream without tables, or none at all, has an empty payload; a cut or unsynchronised one is refused.
     """
     if len(stream) % PACKET:
         raise ValueError("not a whole number of packets")
@@ -204,7 +206,7 @@ def demux(stream: bytes) -> Stream:
     start = (es[:, 1] & 0x40) > 0
     data_at = 4 + field
     opens = np.flatnonzero(start)
-    pts, random_access = [], []
+    pts, random_access, said = [], [], []
     for n, k in enumerate(opens.tolist()):
         raw, at = es[k].tobytes(), int(data_at[k])
         if raw[at : at + 3] != b"\0\0\1":
@@ -215,10 +217,15 @@ def demux(stream: bytes) -> Stream:
         if flags[k] & 0x40:
             random_access.append(n)
         data_at[k] = at + 9 + raw[at + 8]
+        length = raw[at + 4] << 8 | raw[at + 5]  # 0: not given
+        said.append(length - 3 - raw[at + 8] if length else -1)
+    short = 0
     if len(opens):
         es, data_at = es[opens[0] :], data_at[opens[0] :]
+        held = np.add.reduceat(np.maximum(PACKET - data_at, 0), opens - opens[0])
+        short = int(((held != said) & (np.array(said) >= 0)).sum())
     keep = np.arange(PACKET) >= data_at[:, None]
-    return Stream(es[keep].tobytes() if len(opens) else b"", total, len(opens), errors, pts, random_access)
+    return Stream(es[keep].tobytes() if len(opens) else b"", total, len(opens), errors, pts, random_access, short)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -230,8 +237,9 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media binary): each text's payload stored as a transport stream.
 
-    Null texts count as empty; equal texts get equal media; null ids and repeated rows are kept;
-    other columns are ignored; an empty table gives no rows.
+    Null texts count as empty; a very long text is one stream of as many packets as it needs; equal
+    texts get equal media; null ids and repeated rows are kept; other columns, whatever their names,
+    are ignored; an empty table gives no rows.
     """
     batch_rows(docs.sparkSession, 512)  # bounds the media that a batch holds
     kind = docs.schema[id_col].dataType.simpleString()
@@ -244,18 +252,28 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored streams hold: payload digests, the stream's own, and its timing features."""
+def read_media(media: DataFrame, id_col: str = "doc_id", bytes_col: str = "n_bytes", media_col: str = "media") -> DataFrame:
+    """What the stored streams hold: payload digests, the stream's own, and its timing features.
+
+    A null stream gives null for all that it would hold. A damaged one still gives what is left of
+    its payload, and ``feature`` counts the lost packets (cc_errors) and the elementary packets
+    without their whole length (short); one that is cut or out of step is an error. Repeated rows and
+    null ids are kept; other columns, whatever their names, are ignored; an empty table gives no rows.
+    """
     kind = media.schema[id_col].dataType.simpleString()
     fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in fields.split(", ")]
         for pdf in batches:
             out = []
             for n, stored in zip(pdf["n_bytes"], pdf["media"]):
+                if stored is None:
+                    out.append((None if pd.isna(n) else int(n), *(None,) * 6))
+                    continue
                 s = demux(stored)
                 out.append((n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), s.feature()))
             yield pd.concat([pdf[["id"]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
-    return media.withColumnRenamed(id_col, "id").select("id", "n_bytes", "media").mapInPandas(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)
+    rows = media.select(F.col(id_col).alias("id"), F.col(bytes_col).alias("n_bytes"), F.col(media_col).alias("media"))
+    return rows.mapInPandas(run, f"id {kind}, {fields}").withColumnRenamed("id", id_col)

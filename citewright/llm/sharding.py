@@ -67,10 +67,11 @@ def assign(docs: DataFrame, tree: tuple[Leaf, ...], id_col: str = "doc_id", text
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row.
 
     The law is `key`: the id and the tree decide. size is the text's UTF-8 bytes plus 1; a null text
-    counts as empty. Slots count from 0 without gaps in each shard: rows are numbered inside hash
-    buckets of the id, and the buckets' counts, a table of fixed size, give the offsets. Repeated
-    rows get slots of their own; null ids are placed like one more id; other columns are ignored; an
-    empty table gives no rows.
+    counts as empty, a very long one is one row like any other. Slots count from 0 without gaps in
+    each shard: rows are numbered inside hash buckets of id and text, and the buckets' counts, a
+    table of fixed size, give the offsets. Equal draws go to the child that comes first by name.
+    Repeated rows get slots of their own; null ids are placed like one more id; other columns,
+    whatever their names, are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     placed = docs.select(
@@ -79,12 +80,13 @@ def assign(docs: DataFrame, tree: tuple[Leaf, ...], id_col: str = "doc_id", text
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         shard_of(F.col(id_col), tree).alias("shard"),
         shard_of(F.col(id_col), grown(tree)).alias("grown_shard"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
+    ).withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     offsets = counts.selectExpr("shard", "bucket", "sum(n) over (partition by shard order by bucket) - n as before")
     numbered = placed.selectExpr(
         "*", "row_number() over (partition by shard, bucket order by id, text_crc32, size) - 1 as place"
     )
+    # offsets: at most (shards of the tree + 1) x BUCKETS rows
     return numbered.join(F.broadcast(offsets), ["shard", "bucket"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("before") + F.col("place")).cast("long").alias("slot"), "grown_shard",

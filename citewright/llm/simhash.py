@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citewright.functions.names import unused
 from citewright.operators.components import connected_components
 from citewright.session import batch_rows, cut
 
@@ -46,15 +47,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for each row; the unsigned fingerprint is kept in a signed long."""
+    """(id, h, fp) for each row: a hash of its text, and the unsigned fingerprint in a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = np.fromiter(map(fingerprint, pdf["text"]), np.uint64, len(pdf)).view(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "fp": found})
+            yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "fp": found})
 
     batch_rows(docs.sparkSession, BATCH_ROWS)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, h long, fp long")
 
 
 def _segment(fp: str, i: int):
@@ -156,23 +158,28 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK
     )
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: its id, fingerprint (16 hex digits) and component_id.
-
-    component_id is the smallest id reachable over links of at most 3 differing bits. Null, empty
-    and blank texts have fingerprint zero and link like any other; rows with a null id take part and
-    get the group's smallest id (null if it has none); repeated rows come back repeated; other
-    columns are ignored; an empty table gives no rows.
-    """
-    fps = cut(fingerprints(docs, id_col, text_col), "fingerprints")
+def _grouped(fps: DataFrame) -> DataFrame:
+    """(fp, component_id) for each fingerprint of ``fps(id, h, fp)``."""
     distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     parts = connected_components(near_links(distinct.select("fp")))
     joined = distinct.join(parts, distinct["fp"] == parts["node"], "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("component")
     )
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    groups = cut(joined.join(least, "component").select("fp", "component_id"), "groups")
-    return fps.join(groups, "fp").select(
+    return cut(joined.join(least, "component").select("fp", "component", "component_id"), "groups")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: its id, fingerprint (16 hex digits) and component_id.
+
+    component_id is the smallest id reachable over links of at most 3 differing bits; ids may be of
+    any type that has an order. Null, empty and blank texts have fingerprint zero and link like any
+    other; very long texts are fingerprinted whole; rows with a null id take part and get the group's
+    smallest id (null if it has none); repeated rows come back repeated; other columns, whatever
+    their names, are ignored; an empty table gives no rows.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col), "fingerprints")
+    return fps.join(_grouped(fps), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -180,12 +187,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id.
 
-    Rows with a null id are kept only as the whole of a group without ids, one of them.
+    Rows decide, not ids: of rows that repeat an id, one whose text is in another group stays as that
+    group's smallest. Null ids come after all others; of equal ids in a group the smaller text hash
+    stays, of equal rows any one. Null and blank texts are one group; all columns stay as they are,
+    whatever their names; an empty table stays empty.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"))
-    kept = cut(kept.groupBy("_id").agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(kept.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    if kept.where("_n > 1 or _id is null").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out
+    fps = cut(fingerprints(docs, id_col, text_col), "fingerprints")
+    placed = fps.join(_grouped(fps), "fp")
+    best = placed.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h")).alias("best"))
+    own_id, own_h, mark = unused(["kept_id", "kept_h", "text_h"], docs)
+    kept = cut(best.select(F.col("best.id").alias(own_id), F.col("best.h").alias(own_h)), "kept")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    out = marked.join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_h)), "left_semi")
+    # only where rows repeat both id and text, a second pass picks one of them
+    twice = fps.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    if twice.count():
+        out = out.dropDuplicates([id_col, mark])
+    return out.drop(mark)

@@ -98,8 +98,11 @@ def held_out(id_col: str) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Learn from at most ``sample`` labelled documents outside the held-out fold.
 
-    Null labels are left out; of several labels of one document the largest counts. Without both
-    classes the score is a constant: the training share of label 1 (0 without rows).
+    Null labels are left out; of several labels of one document the largest counts; rows that repeat
+    an id are trained on each. Null texts count as empty, very long ones are read whole. Of n-grams
+    with equal G2 the smaller hash goes first. Other columns, whatever their names, are ignored.
+    Without both classes, as in empty tables, the score is a constant: the training share of label 1
+    (0 without rows).
     """
     spark = docs.sparkSession
     batch_rows(spark, BATCH_ROWS)
@@ -158,17 +161,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"label": (pdf["y"] == 1).astype(float), "i": [x[0] for x in xs], "v": [x[1] for x in xs]})
 
     size = len(chosen)
-    as_vector = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())  # training rows only
-    table = train.mapInPandas(vectors, "label double, i array<int>, v array<double>").select("label", as_vector("i", "v").alias("features")).cache()
-    model = LogisticRegression(maxIter=40, regParam=0.002, standardization=False).fit(table)
-    table.unpersist()
+    as_vector = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())  # at most ``sample`` rows; Spark has no function for sparse vectors
+    entries = cut(train.mapInPandas(vectors, "label double, i array<int>, v array<double>"), "toxic-entries")
+    table = entries.select("label", as_vector("i", "v").alias("features"))
+    model = LogisticRegression(maxIter=100, regParam=0.002, standardization=False).fit(table)
     weights = np.zeros(1 << BITS)
     weights[chosen["gram"].to_numpy()] = model.coefficients.toArray() * ratio
     return ToxicityModel(weights, float(model.intercept))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) per row; null and empty texts get the intercept's score; ids are only passed on."""
+    """(id, score) per row.
+
+    Null and empty texts get the intercept's score, very long ones are read whole; ids, null or
+    repeated, are only passed on; other columns, whatever their names, are ignored; an empty table
+    gives no rows.
+    """
     spark = docs.sparkSession
     batch_rows(spark, BATCH_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -182,7 +190,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more.
+
+    Rows decide, whatever their ids; repeated rows stay or go together; null and empty texts score as
+    the intercept does. All columns stay as they are, whatever their names; an empty table stays empty.
+    """
     batch_rows(docs.sparkSession, BATCH_ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
