@@ -1,9 +1,12 @@
 """Embedding near-duplicates with randomised-rotation binary codes.
 
 A unit vector is rotated at random; the signs are its code, and how far the code's direction lies
-from the vector is a stored correction factor. With it, <code(y), x> / factor(y) estimates the inner
-product of x and y without bias, and the factor bounds the error. Pairs whose bound stays below the
-threshold are dropped, all others are computed exactly in double precision.
+from the vector is a correction factor. Both are stored once for each vector, together with the
+rotated vector in steps of 1/127 of its largest component and the length of what that leaves out.
+<code(y), steps(x)> / factor(y) estimates the inner product of x and y without bias; the factor
+bounds the error of the code, the left-out length that of the steps. Pairs whose bound stays below
+the threshold are dropped on the codes alone. Full vectors are fetched only for members of the pairs
+left, which are then computed exactly in double precision.
 
 Pairs come from hash tables over sign bits of further rotations: two vectors at the threshold share
 a key of k bits with probability (1 - angle / pi) ** k, and the number of tables follows from the
@@ -25,7 +28,7 @@ from citewright.operators.components import connected_components, spanning_fores
 from citewright.session import batch_rows, cut
 
 THRESHOLD = 0.95
-MISS = 1e-4  #: chance to miss a pair that lies exactly at the threshold
+MISS = 1e-6  #: chance to miss a pair that lies exactly at the threshold
 BOUND = 5.0  #: error bound of an estimate, in its standard deviations
 BATCH_ROWS = 10_000
 BLOCK = 1024  #: members of a bucket in one block; larger buckets go as pairs of blocks
@@ -57,25 +60,46 @@ def sign_keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
+CODE = "code binary, steps binary, factor double, scale double, slack double"
+
+
+def encode(unit: np.ndarray) -> pd.DataFrame:
+    """The stored columns ``CODE`` of unit vectors of one length."""
+    dim = unit.shape[1]
+    rotated = unit @ rotation(dim, 0).T
+    signs = np.where(rotated > 0, 1.0, -1.0)
+    scale = np.abs(rotated).max(axis=1) / 127
+    steps = np.rint(rotated / scale[:, None]).astype(np.int8)
+    slack = np.sqrt(np.square(rotated - steps * scale[:, None]).sum(axis=1))
+    packed = np.packbits(rotated > 0, axis=1)
+    factor = np.maximum((signs * rotated).sum(axis=1) / math.sqrt(dim), 1e-6)
+    return pd.DataFrame({"code": [r.tobytes() for r in packed], "steps": [r.tobytes() for r in steps], "factor": factor, "scale": scale, "slack": slack})
+
+
 class Codes:
-    """Codes of unit vectors: signs of the rotated vector and the correction factors."""
+    """Stored codes of vectors of one length, unpacked to compare them."""
 
-    def __init__(self, unit: np.ndarray):
-        dim = unit.shape[1]
-        self.rotated = (unit @ rotation(dim, 0).T).astype(np.float32)
-        self.signs = np.where(self.rotated > 0, 1, -1).astype(np.float32) / np.float32(math.sqrt(dim))
-        self.factor = np.maximum(np.einsum("ij,ij->i", self.signs, self.rotated), 1e-6)
-        self.error = BOUND * np.sqrt(np.maximum(1 - self.factor**2, 0) / self.factor**2 / max(dim - 1, 1))
+    def __init__(self, pdf: pd.DataFrame, dim: int):
+        bits = np.unpackbits(np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1), axis=1, count=dim)
+        self.signs = (bits.astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
+        self.rotated = np.frombuffer(b"".join(pdf["steps"]), np.int8).reshape(len(pdf), dim) * pdf["scale"].to_numpy(np.float32)[:, None]
+        self.factor, self.slack = pdf["factor"].to_numpy(), pdf["slack"].to_numpy()
+        self.error = BOUND * np.sqrt(np.maximum(1 - self.factor**2, 0) / self.factor**2 / max(dim - 1, 1)) + 1e-5
 
     def may_reach(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
         estimate = np.einsum("ij,ij->i", self.signs[b], self.rotated[a]) / self.factor[b]
-        return estimate + self.error[b] >= threshold
+        return estimate + self.error[b] + self.slack[a] / self.factor[b] >= threshold
 
     def block(self, a: slice, b: slice, threshold: float) -> np.ndarray:
-        return (self.rotated[a] @ self.signs[b].T) / self.factor[b] + self.error[b] >= threshold
+        return (self.rotated[a] @ self.signs[b].T + self.slack[a][:, None]) / self.factor[b] + self.error[b] >= threshold
+
 
+GROUP = ["dim", "t", "key", "i", "j"]
+
+
+def _by_group(work):
+    """``work`` on frames of whole groups of one vector length; rows come sorted by ``GROUP``."""
 
-def _compare(bits: int, tables: int, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:
@@ -83,61 +107,30 @@ def _compare(bits: int, tables: int, threshold: float):
                 pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            same = (pdf[["dim", "t", "key", "i", "j"]] == pdf[["dim", "t", "key", "i", "j"]].iloc[-1]).all(axis=1)
+            same = (pdf[GROUP] == pdf[GROUP].iloc[-1]).all(axis=1)
             held, done = pdf[same], pdf[~same]
-            if len(done):
-                yield from _by_dim(done, bits, tables, threshold)
+            for _, part in done.groupby("dim", sort=False):
+                yield work(part.reset_index(drop=True))
         if held is not None and len(held):
-            yield from _by_dim(held, bits, tables, threshold)
+            yield work(held.reset_index(drop=True))
 
     return run
 
 
-def _by_dim(pdf: pd.DataFrame, bits: int, tables: int, threshold: float) -> Iterator[pd.DataFrame]:
-    for _, part in pdf.groupby("dim", sort=False):
-        yield _links(part.reset_index(drop=True), bits, tables, threshold)
-
-
-def _links(pdf: pd.DataFrame, bits: int, tables: int, threshold: float) -> pd.DataFrame:
-    """Per node the partners' rows (kind 0: a, rows), and spanning edges (kind 1: a, b)."""
-    node, n, m, t = (pdf[c].to_numpy() for c in ("node", "n", "m", "t"))
-    unit = units(np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(len(pdf), -1))
-    codes = Codes(unit)
-    group = pdf[["t", "key", "i", "j"]].to_numpy()
+def _pairs(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs inside groups whose bound reaches the threshold; of two blocks only pairs across."""
+    codes = Codes(pdf, int(pdf["dim"].iloc[0]))
+    group, m = pdf[GROUP].to_numpy(), pdf["m"].to_numpy()
     new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
     size = np.diff(np.r_[new, len(pdf)])
     end = np.repeat(new + size, size)
-    cross = group[:, 2] != group[:, 3]
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    tests, hits = 0, 0
-    found_rows, found_a, found_b = np.zeros(len(pdf), np.int64), [], []
-
-    def exact(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal tests, hits
-        fine = ~cross[a] | (m[a] != m[b])
-        a, b = a[fine], b[fine]
-        if not len(a):
-            return
-        tests += len(a)
-        close = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-        a, b = a[close], b[close]
-        if not len(a):
-            return
-        rows, at = np.unique(np.r_[a, b], return_inverse=True)
-        keys = sign_keys(unit[rows], bits, tables)
-        ka, kb = keys[at[: len(a)]], keys[at[len(a) :]]
-        first = (ka == kb).argmax(axis=1) == t[a]  # a pair is this table's if no earlier one has it
-        a, b = a[first], b[first]
-        hits += len(a)
-        np.add.at(found_rows, a, n[b])
-        np.add.at(found_rows, b, n[a])
-        if len(a):
-            x, y = spanning_forest(node[a], node[b])
-            found_a.append(x)
-            found_b.append(y)
-
-    small = np.repeat(size <= 64, size)
-    at, shift = np.flatnonzero(small), 0
+    cross = group[:, 3] != group[:, 4]
+
+    def fine(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = ~cross[a] | (m[a] != m[b])
+        return a[keep], b[keep]
+
+    at, shift = np.flatnonzero(np.repeat(size <= 64, size)), 0
     while True:
         shift += 1
         at = at[at + shift < end[at]]
@@ -146,18 +139,57 @@ def _links(pdf: pd.DataFrame, bits: int, tables: int, threshold: float) -> pd.Da
         for k in range(0, len(at), 100_000):
             a = at[k : k + 100_000]
             a = a[codes.may_reach(a, a + shift, threshold)]
-            exact(a, a + shift)
+            yield fine(a, a + shift)
     for s, z in zip(new[size > 64].tolist(), size[size > 64].tolist()):
         for k in range(s, s + z, 256):
             rows = slice(k, min(k + 256, s + z))
             a, b = np.nonzero(codes.block(rows, slice(s, s + z), threshold))
             a, b = a + k, b + s
-            exact(a[a < b], b[a < b])
-    some = np.flatnonzero(found_rows)
-    a = np.concatenate([node[some], *found_a])
-    b = np.concatenate([found_rows[some], *found_b])
-    kind = np.r_[np.zeros(len(some), np.int32), np.ones(len(a) - len(some), np.int32)]
-    return pd.DataFrame({"kind": kind, "a": a, "b": b})
+            yield fine(a[a < b], b[a < b])
+
+
+def _survivors(threshold: float):
+    """Members of groups that are in some pair whose bound reaches the threshold."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        alive = np.zeros(len(pdf), bool)
+        for a, b in _pairs(pdf, threshold):
+            alive[a] = alive[b] = True
+        return pdf.loc[alive, [*GROUP, "m", "node"]]
+
+    return _by_group(work)
+
+
+def _links(bits: int, tables: int, threshold: float):
+    """Per node the partners' rows (kind 0: a, rows), and spanning edges (kind 1: a, b)."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, n, t = (pdf[c].to_numpy() for c in ("node", "n", "t"))
+        unit = units(np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(len(pdf), -1))
+        found_rows, found_a, found_b = np.zeros(len(pdf), np.int64), [], []
+        for a, b in _pairs(pdf, threshold):
+            close = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+            a, b = a[close], b[close]
+            if not len(a):
+                continue
+            rows, at = np.unique(np.r_[a, b], return_inverse=True)
+            keys = sign_keys(unit[rows], bits, tables)
+            ka, kb = keys[at[: len(a)]], keys[at[len(a) :]]
+            first = (ka == kb).argmax(axis=1) == t[a]  # a pair is this table's if no earlier one has it
+            a, b = a[first], b[first]
+            np.add.at(found_rows, a, n[b])
+            np.add.at(found_rows, b, n[a])
+            if len(a):
+                x, y = spanning_forest(node[a], node[b])
+                found_a.append(x)
+                found_b.append(y)
+        some = np.flatnonzero(found_rows)
+        a = np.concatenate([node[some], *found_a])
+        b = np.concatenate([found_rows[some], *found_b])
+        kind = np.r_[np.zeros(len(some), np.int32), np.ones(len(a) - len(some), np.int32)]
+        return pd.DataFrame({"kind": kind, "a": a, "b": b})
+
+    return _by_group(work)
 
 
 def usable(vector: str) -> F.Column:
@@ -171,9 +203,10 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     n_links counts the other rows at cosine ``threshold`` or more; component_id is the smallest id
     reachable over links. Vectors that are null, empty, zero, or hold null or non-finite components
-    link with nothing, and vectors of different lengths never link. Equal vectors are compared once
-    and count as often as they occur; rows with a null id take part; other columns are ignored; an
-    empty table gives no rows.
+    link with nothing, and vectors of different lengths never link. A cosine of exactly ``threshold``
+    in double precision links. Equal vectors are compared once and count as often as they occur; very
+    long vectors are vectors like any other; rows with a null id take part; ids are cast to long;
+    other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     batch_rows(table.sparkSession, BATCH_ROWS)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -183,27 +216,28 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     total = distinct.count()
     bits, tables = tables_for(total, threshold)
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
                 for k in range(0, len(part), 1000):
-                    own = part.iloc[k : k + 1000]
+                    own = part.iloc[k : k + 1000].reset_index(drop=True)
                     raw = np.stack(own["v"].to_list()).astype(np.float64)
-                    keys = sign_keys(units(raw), bits, tables)
-                    yield pd.DataFrame({
-                        "node": np.repeat(own["node"].to_numpy(), tables), "n": np.repeat(own["n"].to_numpy(), tables), "dim": np.int32(dim),
-                        "t": np.tile(np.arange(tables, dtype=np.int32), len(own)), "key": keys.ravel(), "vector": np.repeat(np.array([r.tobytes() for r in raw], object), tables),
-                    })
-
-    keyed = distinct.select("node", "n", "v").mapInPandas(spread, "node long, n long, dim int, t int, key long, vector binary")
-    keyed = cut(keyed, "keyed")
-    sizes = keyed.groupBy("dim", "t", "key").agg(F.count("*").alias("members")).where("members > 1")
+                    unit = units(raw)
+                    columns = {"node": own["node"], "n": own["n"], "dim": np.int32(dim), "vector": [r.tobytes() for r in raw], "keys": list(sign_keys(unit, bits, tables))}
+                    yield pd.concat([pd.DataFrame(columns), encode(unit)], axis=1)
+
+    codes = distinct.select("node", "n", "v").mapInPandas(stored, f"node long, n long, dim int, vector binary, keys array<long>, {CODE}")
+    codes = cut(codes, "codes")  # one row per vector: its code, factor and keys
+    slim = ["node", "n", "code", "steps", "factor", "scale", "slack"]
+    keyed = codes.select("dim", *slim, F.posexplode("keys").alias("t", "key"))
+    sizes = cut(keyed.groupBy("dim", "t", "key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = keyed.join(sizes, ["dim", "t", "key"]).withColumn("m", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("m", "o")).withColumn("j", F.greatest("m", "o"))
-    by = ["dim", "t", "key", "i", "j"]
-    compared = placed.select(*by, "m", "node", "n", "vector").repartition(*by).sortWithinPartitions(*by)
-    found = cut(compared.mapInPandas(_compare(bits, tables, threshold), "kind int, a long, b long"), "links")
+    compared = placed.select(*GROUP, "m", *slim).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    alive = cut(compared.mapInPandas(_survivors(threshold), "dim int, t int, key long, i int, j int, m int, node long"), "alive")
+    fetched = alive.join(codes.select(*slim, "vector"), "node").select(*GROUP, "m", *slim, "vector").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = cut(fetched.mapInPandas(_links(bits, tables, threshold), "kind int, a long, b long"), "links")
     partners = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("partners"))
     parts = connected_components(found.where("kind = 1").select("a", "b"))
     joined = distinct.select("h", "v", "n", "rep", "node").join(partners, "node", "left").join(parts, "node", "left")

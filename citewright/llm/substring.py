@@ -30,6 +30,7 @@ WINDOW = 20
 FREEZE = 9  #: words of context from which a symbol stays as it is; so nearly all fit in a window
 ROUNDS = 6
 BATCH_WORDS = 600_000
+SALTS = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -248,9 +249,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = texts.withColumn("row", F.col("id").cast("long"))
     texts = texts.select("id", "row", "text").where("row is not null")  # no row lacks one; said here, so that both exchanges of texts are one
     # exact copies first: all windows of a later copy start earlier, so only first copies go on
-    digest = texts.select("row", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
-    firsts = digest.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = digest.join(firsts, "digest").where("row <> first").select("row", F.lit(True).alias("copy"))
+    digest = texts.select("row", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    # a text with very many copies meets its first row in as many tasks as it has salts
+    salted = digest.groupBy("digest", "salt").agg(F.min("row").alias("first"), F.count("*").alias("copies"))
+    firsts = salted.groupBy("digest").agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
+    lines = salted.select("digest", "salt").join(firsts, "digest")
+    copies = digest.join(lines, ["digest", "salt"]).where("row <> first").select("row", F.lit(True).alias("copy"))
     found = symbols(texts.select("row", "text"))
     repeated = found.selectExpr("*", "count(*) over (partition by symbol) as times").where("symbol < 0 or times > 1")
     places = repeated.groupBy("row").agg(F.collect_list("place").alias("places"))

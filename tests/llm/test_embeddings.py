@@ -53,11 +53,29 @@ def test_estimates_are_unbiased_and_bounded():
     x = embeddings.units(rng.standard_normal((1, 64)))
     errors = []
     y = embeddings.units(x + rng.standard_normal((4000, 64)) * 0.05)
-    codes = embeddings.Codes(np.concatenate([x, y]))
+    stored = embeddings.encode(np.concatenate([x, y]))
+    assert stored["code"].map(len).eq(8).all() and stored["steps"].map(len).eq(64).all()
+    codes = embeddings.Codes(stored, 64)
     estimate = (codes.signs[1:] @ codes.rotated[0]) / codes.factor[1:]
     errors = estimate - (y @ x[0])
     assert abs(errors.mean()) < 0.05
-    assert (np.abs(errors) <= codes.error[1:]).all()
+    assert (np.abs(errors) <= codes.error[1:] + codes.slack[0] / codes.factor[1:]).all()
+
+
+def test_recall_at_the_threshold(spark):
+    """A hot group around one direction whose cosines lie on both sides of 0.95, and strangers."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.standard_normal(64) + 0.28 * rng.standard_normal((1500, 64)) * 0.95, rng.standard_normal((1000, 64))]).astype(np.float32)
+    unit = embeddings.units(v.astype(np.float64))
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, 0)
+    assert ((cosine >= 0.945) & (cosine < 0.955)).sum() > 10_000
+    want = (cosine >= 0.95).sum(axis=1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_groups(rows).collect()}
+    lost = int(want.sum() - sum(got.values()))
+    print("links", int(want.sum()), "lost", lost)
+    assert lost <= want.sum() * 1e-5 and all(got[i] <= n for i, n in enumerate(want))
 
 
 def test_empty(spark):
