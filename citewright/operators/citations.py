@@ -58,6 +58,12 @@ def pair_counts(rows: DataFrame, within: str, item: str, least: int) -> DataFram
     return left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
+def strongest(pairs: DataFrame, top: int) -> DataFrame:
+    """The pairs (a, b, weight) among the ``top`` items by the sum of their weights."""
+    strength = pairs.select(F.explode(F.array("a", "b")).alias("n"), "weight").groupBy("n").agg(F.sum("weight").alias("s")).orderBy(F.desc("s"), "n").limit(top)
+    return pairs.join(strength.select(F.col("n").alias("a")), "a", "left_semi").join(strength.select(F.col("n").alias("b")), "b", "left_semi")
+
+
 def cocitation(citations: DataFrame, least: int = 3) -> DataFrame:
     return pair_counts(resolved(citations), "source", "target", least)
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from citewright.session import expire, shared_path
 
 GROUPS = {"AUTOMOBILE": "TPC", "BUILDING": "TPC", "FURNITURE": "RHET_COMP", "HOUSEHOLD": "RHET_COMP"}
+#: Named groups of journals that filters may ask for, in the order of the side bar.
+CLUSTERS = {"makers": ["AUTOMOBILE", "MACHINERY"], "homes": ["FURNITURE", "HOUSEHOLD", "GARDEN"], "sites": ["BUILDING"]}
 
 
 @dataclass
@@ -73,6 +75,43 @@ class Corpus:
         role = F.when(F.col("l_linenumber") == 7, "editor").otherwise("author")
         return items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"]).select(F.col("l_partkey").alias("work"), F.col("s_name").alias("name"), role.alias("role"), F.col("s_nationkey").alias("place")).distinct()
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """Articles with all that listings show: title, authors, tags, identifiers, abstract, when fetched."""
+        orders, customer, items = self.table("orders"), self.table("customer"), self.table("lineitem")
+        parts, suppliers = self.table("part").select("p_partkey", "p_name"), self.table("supplier").select("s_suppkey", "s_name")
+        lines = items.join(parts, items["l_partkey"] == parts["p_partkey"]).join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"])
+        per = lines.groupBy(F.col("l_orderkey").alias("id")).agg(
+            F.min_by("p_name", F.struct("l_linenumber", "p_name")).alias("title"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "s_name"))), lambda x: x["s_name"]), "; ").alias("authors"),
+            F.concat(F.lit("|"), F.array_join(F.sort_array(F.collect_set("p_name")), "|"), F.lit("|")).alias("tags"),
+        )
+        base = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(
+            F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("pub_date"), F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("journal"),
+            F.col("o_orderstatus").alias("source"), F.col("o_orderdate").alias("fetched_at"), F.when(F.col("o_totalprice") >= 50000, F.concat(F.lit("10.1000/A"), "o_orderkey")).alias("doi"),
+            F.concat(F.lit("https://x.example/"), "o_orderkey").alias("url"), F.when(F.col("c_acctbal") >= 0, F.col("o_orderpriority")).alias("abstract"),
+            F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("refs_at"), F.when(F.col("o_orderpriority") < "2", F.lit("gold")).alias("oa_status"),
+            F.floor(F.col("o_totalprice") / 1000).cast("long").alias("cited_globally"),
+        )
+        return base.join(per, "id", "left")
+
+    @cached_property
+    def books(self) -> DataFrame:
+        """Works as books, chapters and front matter by their size, with joined names."""
+        names = lambda role: F.array_join(F.sort_array(F.collect_set(F.when(F.col("role") == role, F.col("name")))), "; ").alias(f"{role}s")
+        people = self.work_authors.groupBy(F.col("work").alias("id")).agg(names("author"), names("editor"))
+        kind = F.when(F.col("p_size") <= 20, "book").when(F.col("p_size") <= 45, "chapter").otherwise("front-matter")
+        parts = self.table("part").select(F.col("p_partkey").alias("id"), kind.alias("record_type"), F.col("p_size").alias("pages"))
+        works = self.works.select(F.col("work").alias("id"), "title", F.col("type").alias("book_type"), F.col("journal").alias("publisher"), "year", "parent", "cited_by", F.concat(F.lit("10.1000/W"), "work").alias("doi"))
+        return works.join(parts, "id").join(people, "id", "left")
+
+    @cached_property
+    def people(self) -> DataFrame:
+        """Suppliers as known people: name, institution (null where they owe money), orcid."""
+        nation, supplier = self.table("nation"), self.table("supplier")
+        return supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(
+            F.col("s_name").alias("name"), F.when(F.col("s_acctbal") >= 0, F.col("n_name")).alias("institution"), F.concat(F.lit("0000-"), "s_suppkey").alias("orcid"))
+
     @cached_property
     def placed(self) -> DataFrame:
         """``work_authors`` whose place is unknown where the supplier owes money."""
@@ -135,6 +174,16 @@ SQL = {
         case when s_acctbal >= 0 then s_nationkey end as place from lineitem join supplier on l_suppkey = s_suppkey)""",
     "votes": """votes as (select try_cast(json_extract_string(props, '$.k') as bigint) as article, event_type as tag, user_id as voter,
         case when value >= 20 then 1 else -1 end as vote, ts, event_id as seq from events)""",
+    "records": """records as (select o_orderkey as id, strftime(o_orderdate, '%Y-%m-%d') as pub_date, year(o_orderdate)::int as year, c_mktsegment as journal, o_orderstatus as source, o_orderdate as fetched_at,
+        case when o_totalprice >= 50000 then concat('10.1000/A', o_orderkey) end as doi, concat('https://x.example/', o_orderkey) as url, case when c_acctbal >= 0 then o_orderpriority end as abstract,
+        case when o_orderstatus <> 'O' then o_orderdate end as refs_at, case when o_orderpriority < '2' then 'gold' end as oa_status, floor(o_totalprice / 1000)::bigint as cited_globally, title, authors, tags
+        from orders join customer on o_custkey = c_custkey left join (select l_orderkey as k, arg_min(p_name, (l_linenumber, p_name)) as title, string_agg(s_name, '; ' order by l_linenumber, s_name) as authors,
+        '|' || array_to_string(list_sort(list(distinct p_name)), '|') || '|' as tags from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey group by 1) on k = o_orderkey)""",
+    "books": """books as (select p_partkey as id, p_name as title, p_type as book_type, p_brand as publisher, y as year, p_partkey % 40 as parent, coalesce(n, 0) as cited_by, concat('10.1000/W', p_partkey) as doi,
+        case when p_size <= 20 then 'book' when p_size <= 45 then 'chapter' else 'front-matter' end as record_type, p_size as pages, authors, editors from part left join
+        (select l_partkey as k, count(*) as n, min(year(l_shipdate))::int as y, coalesce(array_to_string(list_sort(list(distinct s_name) filter (l_linenumber <> 7)), '; '), '') as authors,
+        coalesce(array_to_string(list_sort(list(distinct s_name) filter (l_linenumber = 7)), '; '), '') as editors from lineitem join supplier on l_suppkey = s_suppkey group by 1) on k = p_partkey)""",
+    "people": "people as (select s_name as name, case when s_acctbal >= 0 then n_name end as institution, concat('0000-', s_suppkey) as orcid from supplier join nation on s_nationkey = n_nationkey)",
     "tags": "tags as (select distinct l_orderkey as id, p_name as tag from lineitem join part on l_partkey = p_partkey)",
     "works": """works as (select p_partkey as work, p_type as type, p_name as title, p_brand as journal, y as year, p_partkey % 40 as parent, coalesce(n, 0) as cited_by
         from part left join (select l_partkey as k, count(*) as n, min(year(l_shipdate))::int as y from lineitem group by 1) on k = p_partkey)""",
