@@ -247,30 +247,6 @@ def gini(counts: DataFrame, value: str) -> DataFrame:
     return sums.select(F.round(2 * F.col("s") / (F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n"), 6).alias("gini"), "n", F.col("t").alias("total"))
 
 
-def long_tail(edges: DataFrame, authors: DataFrame, top: int = 50) -> DataFrame:
-    """Most cited articles with the share of their own journal and the breadth of citing authors."""
-    best = edges.groupBy("target").agg(F.count("*").alias("n"), F.sum(F.when(F.col("sj") == F.col("tj"), 1).otherwise(0)).alias("own")).orderBy(F.desc("n"), "target").limit(top)
-    citing = edges.join(best.select("target"), "target", "left_semi").select("target", "source")
-    breadth = citing.join(authors, citing["source"] == authors["id"]).groupBy("target").agg(F.countDistinct("name").alias("citing_authors"))
-    return best.join(breadth, "target", "left").select(F.col("target").alias("id"), "n", F.round(F.col("own") / F.col("n"), 6).alias("own_share"), F.coalesce("citing_authors", F.lit(0)).alias("citing_authors"))
-
-
-def fair_ranking(articles: DataFrame, citations: DataFrame, as_of: int, top: int = 50) -> DataFrame:
-    """Raw rank against the rank by citations per year of life."""
-    n = degrees(articles, citations).where("n_in > 0").join(articles.select("id", "year"), "id")
-    rate = n.where(F.col("year") <= as_of - 2).withColumn("rate", F.col("n_in") / (as_of - F.col("year")))
-    raw = rate.orderBy(F.desc("n_in"), "id").limit(top).select("id", ordinal(F.desc("n_in"), F.col("id")).alias("raw_rank"))
-    fair = rate.orderBy(F.desc("rate"), "id").limit(top).select("id", ordinal(F.desc("rate"), F.col("id")).alias("fair_rank"))
-    kind = F.when(F.col("raw_rank").isNull(), "rises").when(F.col("fair_rank").isNull(), "falls").otherwise("stays")
-    return raw.join(fair, "id", "full_outer").select("id", "raw_rank", "fair_rank", kind.alias("kind"))
-
-
-def shifting_canons(edges: DataFrame, top: int = 25) -> DataFrame:
-    """The most cited targets of each citing year with their rank."""
-    n = edges.groupBy("sy", "target").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", ordinal(F.desc("n"), F.col("target"), by=("sy",))).where(F.col("rank") <= top)
-
-
 def reach(edges: DataFrame, until: int, top: int = 100) -> DataFrame:
     """Yearly and running citations of the most cited articles, with empty years filled."""
     best = edges.groupBy("target").agg(F.count("*").alias("all"), F.min("ty").alias("first")).orderBy(F.desc("all"), "target").limit(top)
@@ -324,12 +300,6 @@ def coupling_asymmetry(citations: DataFrame, least: int = 2, few: int = 3, most:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "refs_a", "refs_b", gap.alias("gap")).orderBy(F.desc("gap"), "a", "b").limit(limit)
 
 
-def sources_sinks(articles: DataFrame, citations: DataFrame, frontier: int) -> DataFrame:
-    n = degrees(articles, citations).join(articles.select("id", "year", "journal"), "id")
-    kind = F.when((F.col("n_in") == 0) & (F.col("n_out") == 0), "isolate").when(F.col("n_in") == 0, F.when(F.col("year") >= frontier, "frontier").otherwise("source")).when(F.col("n_out") == 0, "sink").otherwise("hub")
-    return n.groupBy("journal", kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 def coverage_by_journal(articles: DataFrame, citations: DataFrame) -> DataFrame:
     """Per journal: articles, raw and resolved outbound links, inbound links, links to itself."""
     c = citations.join(articles.select(F.col("id").alias("source"), F.col("journal").alias("sj")), "source").join(articles.select(F.col("id").alias("target"), F.col("journal").alias("tj")), "target", "left")

@@ -72,18 +72,6 @@ def cocitation_partners(authors: DataFrame, edges: DataFrame, name: str, limit:
     return cited.where(F.col("name") != name).join(with_me, "source", "left_semi").groupBy("name").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "name").limit(limit)
 
 
-def lineages(authors: DataFrame, articles: DataFrame, gap: int) -> DataFrame:
-    """Co-authors whose first years lie ``gap`` or more apart: mentor, mentee and joint papers."""
-    first = authors.join(articles.select("id", "pub_date"), "id").groupBy("name").agg(F.min("pub_date").alias("first")).withColumn("first", F.substring("first", 1, 7))
-    pairs = pair_counts(authors.select("id", "name").distinct(), "id", "name", 1)
-    a, b = (first.select(F.col("name").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
-    found = pairs.join(a, "a").join(b, "b")
-    months = lambda c: F.substring(c, 1, 4).cast("int") * 12 + F.substring(c, 6, 2).cast("int")
-    found = found.where(F.abs(months("first_a") - months("first_b")) >= gap)
-    older = F.col("first_a") < F.col("first_b")
-    return found.select(F.when(older, F.col("a")).otherwise(F.col("b")).alias("mentor"), F.when(older, F.col("b")).otherwise(F.col("a")).alias("mentee"), F.col("weight").alias("joint"))
-
-
 def partnerships(authors: DataFrame, articles: DataFrame, least: int) -> DataFrame:
     own = authors.select("id", "name").distinct()
     pairs = own.alias("x").join(own.alias("y"), "id").where("x.name < y.name").select("id", F.col("x.name").alias("a"), F.col("y.name").alias("b"))
@@ -92,18 +80,6 @@ def partnerships(authors: DataFrame, articles: DataFrame, least: int) -> DataFra
     return found.where(F.col("n") >= least).withColumn("kind", kind)
 
 
-def team_sizes(authors: DataFrame, articles: DataFrame) -> DataFrame:
-    """Authors per article by year: mean, upper median and share of single authors."""
-    size = authors.groupBy("id").agg(F.count("*").alias("size")).join(articles.select("id", "year"), "id")
-    by = size.groupBy("year", "size").agg(F.count("*").alias("n"))
-    run = by.withColumn("upto", F.sum("n").over(Window.partitionBy("year").orderBy("size"))).withColumn("all", F.sum("n").over(Window.partitionBy("year")))
-    return run.groupBy("year").agg(
-        F.max("all").alias("articles"), F.round(F.sum(F.col("n") * F.col("size")) / F.max("all"), 6).alias("mean_size"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("size"))).alias("median_size"),
-        F.round(F.sum(F.when(F.col("size") == 1, F.col("n")).otherwise(0)) / F.max("all"), 6).alias("solo_share"),
-    )
-
-
 def overview(works: DataFrame, work_authors: DataFrame) -> DataFrame:
     people = work_authors.agg(F.countDistinct("name").alias("people"))
     counts = works.groupBy("type").agg(F.count("*").alias("works"), F.sum("cited_by").alias("citations"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))

@@ -15,7 +15,7 @@ from citewright.operators import merging as M
 from citewright.operators import records as R
 from citewright.operators import statistics as T
 from citewright.operators.components import connected_components
-from citewright.plans import pages, people, press
+from citewright.plans import chapters, pages, people, press
 from citewright.plans.tables import GROUPS, Corpus, with_sql
 from citewright.sources import exports as E
 from citewright.sources import works as W
@@ -87,10 +87,6 @@ _add("citing_venues", lambda c: R.citing_venues(c.authors, _edges(c), _name(c)),
 _add("cocitation_partners", lambda c: R.cocitation_partners(c.authors, _edges(c), _name(c)), "edges authors",
      f""", w as (select distinct source, name from edges join authors on target = id)
      select name, count(*) as n from w where name <> {_ME} and source in (select source from w where name = {_ME}) group by 1 having count(*) >= 2 order by n desc, name limit 10""")
-_add("lineages", lambda c: R.lineages(c.authors, c.articles, 1), "articles authors",
-     """, f as (select name, substr(min(pub_date), 1, 7) as first, year(cast(min(pub_date) as date)) * 12 + month(cast(min(pub_date) as date)) as m from authors join articles using (id) group by 1),
-     o as (select distinct id, name from authors), p as (select x.name as a, y.name as b, count(*) as n from o x join o y on x.id = y.id and x.name < y.name group by all)
-     select case when g.first < h.first then a else b end as mentor, case when g.first < h.first then b else a end as mentee, n as joint from p join f g on g.name = a join f h on h.name = b where abs(g.m - h.m) >= 1""")
 _add("partnerships", lambda c: R.partnerships(c.authors, c.articles, 2), "articles authors",
      """, o as (select distinct id, name from authors)
      select x.name as a, y.name as b, count(*) as n, max(year) - min(year) as span, count(distinct journal) as journals, case when count(*) = 1 then 'one_shot' when max(year) - min(year) < 3 then 'short_term' else 'persistent' end as kind
@@ -101,9 +97,6 @@ _add("author_cocitation", lambda c: R.author_cocitation(c.authors, C.resolved(c.
      p as (select x.name as a, y.name as b, count(*) as weight from n x join n y on x.source = y.source and x.name < y.name left join j on j.source = x.source and a = x.name and b = y.name where k is null or x.n > k or y.n > k group by all having count(*) >= 2),
      t as (select v from (select a as v, weight from p union all select b, weight from p) group by 1 order by sum(weight) desc, v limit 200)
      select * from p where a in (from t) and b in (from t)""")
-_add("team_sizes", lambda c: R.team_sizes(c.authors, c.articles), "articles authors",
-     """, s as (select id, year, count(*) as size from authors join articles using (id) group by all), r as (select *, row_number() over (partition by year order by size) - 1 as i, count(*) over (partition by year) as n from s)
-     select year, max(n) as articles, round(sum(size)::double / max(n), 6) as mean_size, max(size) filter (i = n // 2) as median_size, round((count(*) filter (size = 1))::double / max(n), 6) as solo_share from r group by 1""")
 # citations
 _add("degrees", lambda c: C.degrees(c.articles, c.citations), "degrees", "from degrees")
 _add("most_cited", lambda c: C.most_cited(c.articles, c.citations), "articles citations", "select target as id, pub_date, journal, count(*) as n_in from citations join articles on id = target group by all order by n_in desc, pub_date desc, id limit 50")
@@ -144,8 +137,6 @@ _add("reading_path", lambda c: C.reading_path(c.citations, 5), "citations",
      select id, sum(score)::bigint as score, count(*) as relations from e where id <> 5 group by 1""")
 # field groups
 _add("braided_flow", lambda c: C.group_flow(_edges(c)), "edges", "select (sy // 10 * 10)::int as decade, sg, tg, count(*) as n from edges group by grouping sets ((1, sg, tg), (sg, tg))")
-_add("sources_sinks", lambda c: C.sources_sinks(c.articles, c.citations, 2001), "degrees",
-     "select journal, case when n_in = 0 and n_out = 0 then 'isolate' when n_in = 0 then case when year >= 2001 then 'frontier' else 'source' end when n_out = 0 then 'sink' else 'hub' end as kind, count(*) as n from degrees join articles using (id) group by all")
 _add("delay_stats", lambda c: C.delays(_edges(c)), "edges",
      """, r as (select sg, tg, sy - ty as d, row_number() over (partition by sg, tg order by sy - ty) - 1 as i, count(*) over (partition by sg, tg) as n from edges where sy >= ty)
      select sg, tg, count(*) as n, round(avg(d), 6) as mean, max(d) filter (i = floor(n * 0.25)) as p25, max(d) filter (i = floor(n * 0.5)) as median, max(d) filter (i = floor(n * 0.75)) as p75, round(stddev_pop(d), 6) as sd from r group by sg, tg""")
@@ -157,16 +148,6 @@ _add("lorenz", lambda c: C.lorenz(C.degrees(c.articles, c.citations), "n_in"), "
      select s::int as step, round(r.t::double / z.t, 6) as share from (select unnest(range(1, 101)) as s), z, r where r.i = z.n * s // 100""")
 _add("gini", lambda c: C.gini(C.degrees(c.articles, c.citations), "n_in"), "degrees",
      ", r as (select n_in, row_number() over (order by n_in, id) as i from degrees) select round(2.0::double * sum(i * n_in) / (count(*)::double * sum(n_in)) - (count(*) + 1)::double / count(*), 6) as gini, count(*) as n, sum(n_in)::bigint as total from r")
-_add("long_tail", lambda c: C.long_tail(_edges(c), c.authors), "edges authors",
-     """, b as (select target, count(*) as n, sum((sj = tj)::int) as own from edges group by 1 order by n desc, target limit 50),
-     a as (select target, count(distinct name) as k from edges join authors on id = source where target in (select target from b) group by 1)
-     select target as id, n, round(own::double / n, 6) as own_share, coalesce(k, 0) as citing_authors from b left join a using (target)""")
-_add("fair_ranking", lambda c: C.fair_ranking(c.articles, c.citations, 2003), "degrees",
-     """, r as (select id, n_in, n_in::double / (2003 - year) as rate from degrees join articles using (id) where n_in > 0 and year <= 2001),
-     x as (select id, row_number() over (order by n_in desc, id)::int as raw_rank from r order by raw_rank limit 50), y as (select id, row_number() over (order by rate desc, id)::int as fair_rank from r order by fair_rank limit 50)
-     select id, raw_rank, fair_rank, case when raw_rank is null then 'rises' when fair_rank is null then 'falls' else 'stays' end as kind from x full join y using (id)""")
-_add("shifting_canons", lambda c: C.shifting_canons(_edges(c)), "edges",
-     ", n as (select sy, target, count(*) as n from edges group by all) select * from (select *, row_number() over (partition by sy order by n desc, target)::int as rank from n) where rank <= 25")
 _add("reach_series", lambda c: C.reach(_edges(c), 2001), "edges",
      """, b as (select target, min(ty) as f from edges group by 1 order by count(*) desc, target limit 100), y as (select target, unnest(range(f, 2002))::int as sy from b),
      n as (select target, sy, count(*) as n from edges group by all)
@@ -318,8 +299,8 @@ _add("stream_latest", lambda c: S.drain(S.latest(S.read_events(c.spark, c.sf_dir
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES).items()}
+    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | people.SQL | press.SQL | pages.SQL
+    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL
