@@ -43,32 +43,9 @@ def norm_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def strip_tags(html: Column) -> Column:
-    """Text of a page: scripts and styles go, tags become spaces, white space collapses."""
-    plain = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    plain = F.regexp_replace(plain, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
-
-
-def auto_tags(text: Column, vocabulary: dict[str, list[str]]) -> Column:
-    """Tags whose phrases occur, as |a|b| in the vocabulary's order, or null.
-
-    Single words match between characters that are no letters or digits of any script, phrases with
-    other characters anywhere.
-    """
-    found = []
-    for tag, phrases in vocabulary.items():
-        parts = [rf"(^|[^\p{{L}}\p{{N}}_]){p}($|[^\p{{L}}\p{{N}}_])" if p.isalnum() else p for p in phrases]
-        found.append(F.when(F.lower(text).rlike("|".join(parts)), F.lit(tag)))
-    tags = F.array_compact(F.array(*found))
-    return F.when(F.size(tags) > 0, F.concat(F.lit("|"), F.array_join(tags, "|"), F.lit("|")))
-
-
 def normal_tag(text: Column) -> Column:
-    """A reader's tag: bars and white space become single spaces, control and angle characters go, lower case."""
-    plain = F.regexp_replace(F.translate(text, "|\t\n\r", "    "), r"[\x00-\x1f\x7f<>]", "")
+    """A reader's tag: bars become spaces, control and angle characters go, single spaces, lower case."""
+    plain = F.regexp_replace(F.translate(text, "|", " "), r"[\x00-\x1f\x7f<>]", "")  # fixed: the characters that tags never hold
     return F.lower(F.trim(F.regexp_replace(plain, " +", " ")))
 
 

@@ -113,7 +113,7 @@ SQL = {
         count(distinct source) as citing, count(distinct target) as cited, round(100.0::double * count(target) / count(*), 1) as percent from citations"""),
     "reference_coverage": with_sql("articles citations", ", k as (select distinct source as id, 1 as has from citations) select journal, count(*) as articles, count(has) as fetched, round(100.0::double * count(has) / count(*), 1) as percent from articles left join k using (id) group by 1"),
     "period_labels": with_sql("articles", "select strftime(cast(pub_date as date), '%B %Y') as period, count(*) as n from articles group by 1"),
-    "normal_tags": r"select conv_id, turn, lower(trim(regexp_replace(regexp_replace(translate(text, '|' || chr(9) || chr(10) || chr(13), '    '), '[\x00-\x1f\x7f<>]', '', 'g'), ' +', ' ', 'g'))) as tag from conversations",
+    "normal_tags": r"select conv_id, turn, lower(trim(regexp_replace(regexp_replace(replace(text, '|', ' '), '[\x00-\x1f\x7f<>]', '', 'g'), ' +', ' ', 'g'))) as tag from conversations",
     "reference_keys": "select doc_id, 'ref:' || substr(md5(text), 1, 12) as key, 'raw:' || substr(sha256(text), 1, 16) as doi from documents",
     "stream_once": "select event_id, event_type, value from events",
 }

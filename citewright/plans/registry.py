@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewright.functions import cleaning as K
 from citewright.functions import values as V
 from citewright.operators import citations as C
 from citewright.operators import communities as N
@@ -231,16 +232,18 @@ _add("match_cascade", lambda c: M.match_cascade(c.titled, "src6"), "",
      select m[2] as canonical, id as duplicate, m[1] as stage from m union all select canonical, id, 9 from r join g using (t, y) where id <> canonical""")
 _add("decoded_abstract", lambda c: c.inverted.select("item_id", W.decoded_abstract(F.col("index")).alias("text")), "", r"select item_id, array_to_string(regexp_extract_all(text, '[^\s]+'), ' ') as text from benchmark")
 # texts
-_add("auto_tag", lambda c: c.table("documents").select("doc_id", V.auto_tags(F.col("text"), VOCABULARY).alias("tags")), "",
+_add("auto_tag", lambda c: c.table("documents").select("doc_id", K.vocabulary_tags(F.col("text"), VOCABULARY).alias("tags")), "",
      r"""select doc_id, case when len(t) > 0 then '|' || array_to_string(t, '|') || '|' end as tags from (select doc_id, list_filter([
      case when regexp_matches(lower(text), 'on the|(^|[^\p{L}\p{N}_])road($|[^\p{L}\p{N}_])') then 'travel' end, case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])tion($|[^\p{L}\p{N}_])') then 'science' end,
      case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])he($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])she($|[^\p{L}\p{N}_])') then 'people' end, case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])where($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])here($|[^\p{L}\p{N}_])') then 'place' end], lambda x: x is not null) as t from documents)""")
 _add("title_slug", lambda c: c.table("documents").select("doc_id", V.slug(F.col("text")).alias("slug")), "",
      "select doc_id, rtrim(substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') as slug from documents")
 _add("title_norm", lambda c: c.table("benchmark").select("item_id", V.norm_title(F.col("text")).alias("title")), "", "select item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as title from benchmark")
-_add("page_text", lambda c: c.table("pages").select("page_id", V.strip_tags(F.col("html")).alias("plain")), "",
-     r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'),
-     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as plain from pages""")
+_ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&"))  # those that the pages hold
+_PLAIN = "regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
+for _entity, _char in _ENTITIES:
+    _PLAIN = f"regexp_replace({_PLAIN}, '&{_entity};?', '{_char}', 'g')"
+_add("page_text", lambda c: c.table("pages").select("page_id", K.strip_tags(F.col("html")).alias("plain")), "", rf"select page_id, trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g')) as plain from pages")
 _add("event_props", lambda c: c.table("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n")), "", "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1")
 _add("name_suppression", lambda c: R.suppress(c.authors, c.table("supplier").where("s_acctbal < 0").select(F.col("s_name").alias("name"), F.concat(F.lit("person-"), F.substring(F.sha2("s_name", 256), 1, 8)).alias("token"))).groupBy("name").agg(F.count("*").alias("n")), "authors",
      "select case when s_acctbal < 0 then 'person-' || substr(sha256(s_name), 1, 8) else name end as name, count(*) as n from authors join supplier on s_name = name group by 1")

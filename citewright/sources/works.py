@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from citewright.functions.values import norm_title, strip_tags
+from citewright.functions.cleaning import clean_title, match_key, strip_tags
+from citewright.functions.values import reference_key
 
 _DATE = "struct<`date-parts`: array<array<int>>>"
 WORK = (
@@ -41,7 +42,7 @@ def names(people: Column) -> Column:
 
 def full_title(title: Column, subtitle: Column) -> Column:
     """Title and subtitle, unless the title already holds it."""
-    title, subtitle = empty_to_null(strip_tags(title)), empty_to_null(strip_tags(subtitle))
+    title, subtitle = empty_to_null(clean_title(title)), empty_to_null(clean_title(subtitle))
     add = subtitle.isNotNull() & ~F.contains(F.lower(title), F.lower(subtitle))
     return F.when(add, F.concat(title, F.lit(": "), subtitle)).otherwise(title)
 
@@ -70,18 +71,41 @@ def references(works: DataFrame) -> DataFrame:
     one, else a key from the text's hash stands in."""
     one = works.select(F.col("doi").alias("source_doi"), F.posexplode("reference").alias("ord", "r"))
     text = F.coalesce(F.col("r.unstructured"), F.col("r.article-title"))
-    doi = F.coalesce(clean_doi(F.col("r.DOI")), doi_in(text), ref_key(text))
+    doi = F.coalesce(clean_doi(F.col("r.DOI")), doi_in(text), reference_key(text))
     return one.select("source_doi", "ord", doi.alias("doi"), F.coalesce(F.col("r.article-title"), quoted_title(text)).alias("title"))
 
 
+ANCHOR = 15  #: characters that a title must have to be looked for, and by which containment is searched
+
+
 def resolve(refs: DataFrame, articles: DataFrame) -> DataFrame:
-    """``refs`` with target: the article of the DOI, else the one whose normalised title of over 15
-    characters is the reference's; of several articles the largest id."""
+    """``refs`` with target: the article of the DOI, else the one whose title is the reference's, else
+    one whose title holds the reference's or is held by it.
+
+    Titles are compared by ``match_key`` and need ``ANCHOR`` characters or more (articles' more). Of
+    several articles with a DOI or title the largest id counts, of several by containment the smallest.
+    """
     by_doi = articles.groupBy(clean_doi(F.col("doi")).alias("doi")).agg(F.max("id").alias("_d")).where("doi is not null")
-    title = norm_title(F.col("title"))
-    by_title = articles.groupBy(title.alias("_t")).agg(F.max("id").alias("_i")).where(F.length("_t") > 15)
-    found = refs.join(by_doi, "doi", "left").withColumn("_t", title).join(by_title, "_t", "left")
-    return found.withColumn("target", F.coalesce("_d", "_i")).drop("_t", "_d", "_i")
+    known = articles.groupBy(match_key(F.col("title")).alias("_t")).agg(F.max("id").alias("_i")).where(F.length("_t") > ANCHOR)
+    asked = refs.withColumn("_t", match_key(F.col("title"))).withColumn("_t", F.when(F.length("_t") >= ANCHOR, F.col("_t")))
+    found = asked.join(by_doi, "doi", "left").join(known, "_t", "left")
+    near = contained(found.where("_d is null and _i is null and _t is not null").select("_t").distinct(), known)
+    return found.join(near, "_t", "left").withColumn("target", F.coalesce("_d", "_i", "_n")).drop("_t", "_d", "_i", "_n")
+
+
+def contained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(_t, _n): for titles ``asked(_t)`` the smallest id of ``known(_t, _i)`` that contains it or is contained.
+
+    A text that contains another holds its first ``ANCHOR`` characters somewhere: pairs come from joins
+    of those with all stretches of that length, and only they are compared.
+    """
+    places = F.sequence(F.lit(1), F.length("_t") - ANCHOR + 1)
+    stretches = F.array_distinct(F.transform(places, lambda k: F.substr(F.col("_t"), k, F.lit(ANCHOR))))
+    start = F.substring("_t", 1, ANCHOR).alias("_a")
+    other = lambda rows: rows.withColumnRenamed("_t", "_o")
+    inside = asked.select("_t", start).join(other(known.select("_t", "_i", F.explode(stretches).alias("_a"))), "_a").where(F.contains("_o", "_t"))
+    around = asked.select("_t", F.explode(stretches).alias("_a")).join(other(known.select("_t", "_i", start)), "_a").where(F.contains("_t", "_o"))
+    return inside.select("_t", "_i").union(around.select("_t", "_i")).groupBy("_t").agg(F.min("_i").alias("_n"))
 
 
 def clean_doi(doi: Column) -> Column:
@@ -89,13 +113,11 @@ def clean_doi(doi: Column) -> Column:
 
 
 def doi_in(text: Column) -> Column:
-    """The first DOI of a text, in lower case without full stops at its end."""
-    found = F.regexp_extract(text, r"(10\.\d{4,}/[^\s,;\"'<>]+)", 1)
-    return empty_to_null(F.lower(F.regexp_replace(found, r"\.+$", "")))
-
-
-def ref_key(text: Column) -> Column:
-    return F.concat(F.lit("ref:"), F.substring(F.md5(text), 1, 12))
+    """The first DOI of a text, in lower case without full stops at its end: an entry between blanks,
+    quotes, commas, semicolons and angle brackets that has a registrant's number and a slash."""
+    entries = F.split(F.regexp_replace(text, r"10\.([0-9]{4,})/", "\n10.$1/"), r"[\s,;\"'<>]+")
+    found = F.try_element_at(F.filter(entries, lambda e: e.rlike(r"^10\.[0-9]{4,}/.")), F.lit(1))
+    return empty_to_null(F.lower(F.rtrim(found, F.lit("."))))
 
 
 def quoted_title(text: Column) -> Column:
@@ -151,5 +173,76 @@ def decoded_abstract(index: Column) -> Column:
     return empty_to_null(F.array_join(F.transform(F.array_sort(places), lambda x: x["w"]), " "))
 
 
+OPEN_WORK = (
+    "id string, doi string, abstract_inverted_index map<string, array<int>>, cited_by_count long, open_access struct<oa_status: string, oa_url: string>, best_oa_location struct<pdf_url: string, landing_page_url: string>, "
+    "authorships array<struct<author: struct<id: string, display_name: string, orcid: string>, author_position: string, raw_affiliation_strings: array<string>, "
+    "institutions: array<struct<id: string, ror: string, display_name: string, country_code: string, type: string>>>>"
+)
+POST = "id long, link string, date string, date_gmt string, title struct<rendered: string>, excerpt struct<rendered: string, protected: boolean>, content struct<protected: boolean>, _embedded struct<author: array<struct<name: string>>>"
+ENTRY = "title string, link array<struct<_href: string, _rel: string>>, published string, updated string, author array<struct<name: string>>, summary string, content string"
+
+
+def open_works(spark: SparkSession, path: str) -> DataFrame:
+    """Works of an open index (JSON lines): work, doi, abstract, oa_status, oa_url, cited_by, authorships."""
+    rows = spark.read.schema(OPEN_WORK).json(path)
+    link = F.coalesce(empty_to_null(F.col("open_access.oa_url")), empty_to_null(F.col("best_oa_location.pdf_url")), empty_to_null(F.col("best_oa_location.landing_page_url")))
+    return rows.select(
+        F.col("id").alias("work"), clean_doi(F.regexp_replace("doi", "^https?://(dx[.])?doi[.]org/", "")).alias("doi"), decoded_abstract(F.col("abstract_inverted_index")).alias("abstract"),
+        empty_to_null(F.col("open_access.oa_status")).alias("oa_status"), link.alias("oa_url"), F.col("cited_by_count").alias("cited_by"), "authorships",
+    )
+
+
+def authorships(works: DataFrame) -> DataFrame:
+    """(work, doi, author, name, orcid, position, institution, place, ror, country, kind, raw): a row per
+    author and named institution, one without for authors that have none."""
+    one = works.select("work", "doi", F.explode("authorships").alias("a"))
+    named = F.filter("a.institutions", lambda i: F.coalesce(i["display_name"], F.lit("")) != "")
+    none = F.coalesce(F.size("a.institutions"), F.lit(0)) <= 0
+    rows = one.withColumn("none", none).withColumn("i", F.explode_outer(named)).where(F.col("i").isNotNull() | F.col("none"))
+    return rows.select(
+        "work", "doi", F.col("a.author.id").alias("author"), F.coalesce("a.author.display_name", F.lit("")).alias("name"), F.regexp_replace("a.author.orcid", "^https?://orcid[.]org/", "").alias("orcid"),
+        F.col("a.author_position").alias("position"), F.col("i.id").alias("institution"), F.col("i.display_name").alias("place"), F.col("i.ror").alias("ror"), F.col("i.country_code").alias("country"), F.col("i.type").alias("kind"),
+        empty_to_null(F.array_join("a.raw_affiliation_strings", "; ")).alias("raw"),
+    )
+
+
+def open_links(spark: SparkSession, path: str) -> DataFrame:
+    """(doi, oa_url) of an open-access lookup (JSON lines): the best place's file, else its page, else nothing."""
+    rows = spark.read.schema("doi string, best_oa_location struct<url_for_pdf: string, url: string>").json(path)
+    return rows.select(clean_doi(F.col("doi")).alias("doi"), F.coalesce(empty_to_null(F.col("best_oa_location.url_for_pdf")), empty_to_null(F.col("best_oa_location.url")), F.lit("")).alias("oa_url"))
+
+
+def paper_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(doi, paper, citations) of a paper index (JSON lines)."""
+    rows = spark.read.schema("paperId string, citationCount long, externalIds struct<DOI: string>").json(path)
+    return rows.select(clean_doi(F.col("externalIds.DOI")).alias("doi"), F.coalesce("paperId", F.lit("")).alias("paper"), F.coalesce("citationCount", F.lit(0)).alias("citations"))
+
+
+def blog_posts(spark: SparkSession, path: str, journal: str, since: str | None = None) -> DataFrame:
+    """Posts of a blog's interface (JSON arrays, a page a file); protected posts and those without title or link go."""
+    rows = spark.read.schema(POST).json(path, multiLine=True)
+    guarded = F.coalesce(F.col("content.protected"), F.lit(False)) | F.coalesce(F.col("excerpt.protected"), F.lit(False))
+    date = F.coalesce(empty_to_null(F.col("date_gmt")), empty_to_null(F.col("date")))
+    plain = strip_tags(F.col("excerpt.rendered"))
+    rows = rows.where(~guarded).select(
+        F.lit(None).cast("string").alias("doi"), empty_to_null(strip_tags(F.col("title.rendered"))).alias("title"),
+        empty_to_null(F.array_join(F.filter(F.transform("_embedded.author", lambda a: F.trim(a["name"])), lambda n: n != ""), "; ")).alias("authors"),
+        F.when(F.length(plain) >= 80, plain).alias("abstract"), F.substring(date, 1, 10).alias("pub_date"), F.lit(journal).alias("journal"), empty_to_null(F.col("link")).alias("url"),
+    )
+    rows = rows.where("title is not null and url is not null")
+    return rows if since is None else rows.where(F.col("pub_date") >= since)
+
+
+def atom_entries(spark: SparkSession, path: str, journal: str) -> DataFrame:
+    """Entries of Atom feeds (XML files)."""
+    rows = spark.read.format("xml").options(rowTag="entry", ignoreNamespace="true").schema(ENTRY).load(path)
+    links = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    url = F.coalesce(F.try_element_at(links, F.lit(1))["_href"], F.try_element_at(F.col("link"), F.lit(1))["_href"])
+    return rows.select(
+        doi_in(url).alias("doi"), empty_to_null(strip_tags(F.col("title"))).alias("title"), empty_to_null(F.array_join(F.transform("author", lambda a: F.trim(a["name"])), "; ")).alias("authors"),
+        short_abstract(F.coalesce("summary", "content")).alias("abstract"), F.coalesce(iso_date(F.col("published")), iso_date(F.col("updated"))).alias("pub_date"), F.lit(journal).alias("journal"), F.trim(url).alias("url"),
+    )
+
+
 def _nested(ddl: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (part.split(" ") for part in ddl.split(", ")))

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from citewright.functions import cleaning as K
 from citewright.functions import values as V
 from citewright.operators import citations as C
 from citewright.operators import graphs as G
@@ -10,7 +11,7 @@ from citewright.operators.components import connected_components, spanning_fores
 def test_values(spark):
     row = spark.sql("select '2014' as a, '19xx-01' as b, ' -12abc' as c, 'x' as d, cast(null as string) as e").select(
         V.year_of(F.col("a")), V.year_of(F.col("b")), V.leading_int(F.col("c")), V.leading_int(F.col("d")), V.leading_int(F.col("e")),
-        V.split_list(F.lit("a; ;b;")), V.slug(F.lit("  Hello, World! ")), V.strip_tags(F.lit("<p>a &amp; b<script>x</script></p>")), V.auto_tags(F.lit("The genre theory"), {"t": ["genre"], "u": ["other"]}),
+        V.split_list(F.lit("a; ;b;")), V.slug(F.lit("  Hello, World! ")), K.strip_tags(F.lit("<p>a &amp; b<script>x</script></p>")), K.vocabulary_tags(F.lit("The genre theory"), {"t": ["genre"], "u": ["other"]}),
     ).first()
     assert tuple(row) == (2014, None, -12, 0, None, ["a", "b"], "hello-world", "a & b", "|t|")
 
