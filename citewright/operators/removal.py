@@ -34,7 +34,7 @@ def name_hash(name: Column, salt: str) -> Column:
 
 def shown(authors: Column) -> Column:
     """A ;-list for readers: tokens as the phrase that stands for them."""
-    parts = F.filter(F.transform(F.split(authors, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(authors, ";"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.transform(parts, lambda x: F.when(is_token(x), SHOWN).otherwise(x)), "; ")
 
 

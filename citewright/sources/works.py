@@ -138,7 +138,7 @@ def oai_records(spark: SparkSession, path: str, journal: str) -> DataFrame:
     doi = first(F.filter(F.transform("identifier", doi_in), lambda d: d.isNotNull()))
     url = first(F.filter("identifier", lambda x: x.startswith("http")))
     rows = rows.select(
-        doi.alias("doi"), empty_to_null(strip_tags(F.col("title"))).alias("title"), empty_to_null(F.array_join(F.transform("creator", F.trim), "; ")).alias("authors"),
+        doi.alias("doi"), empty_to_null(strip_tags(F.col("title"))).alias("title"), empty_to_null(F.array_join(F.transform("creator", lambda x: F.trim(x)), "; ")).alias("authors"),
         short_abstract(first(F.col("description"))).alias("abstract"), iso_date(first(F.col("date"))).alias("pub_date"), F.lit(journal).alias("journal"), url.alias("url"),
     )
     return rows.where("title is not null and authors is not null")
@@ -148,7 +148,7 @@ def feed_items(spark: SparkSession, path: str, journal: str) -> DataFrame:
     """Items of RSS feeds (XML files)."""
     rows = spark.read.format("xml").options(rowTag="item", ignoreNamespace="true").schema(ITEM).load(path)
     return rows.select(
-        doi_in(F.col("link")).alias("doi"), empty_to_null(strip_tags(F.col("title"))).alias("title"), empty_to_null(F.array_join(F.transform("creator", F.trim), "; ")).alias("authors"),
+        doi_in(F.col("link")).alias("doi"), empty_to_null(strip_tags(F.col("title"))).alias("title"), empty_to_null(F.array_join(F.transform("creator", lambda x: F.trim(x)), "; ")).alias("authors"),
         short_abstract(F.col("description")).alias("abstract"), iso_date(F.col("pubDate")).alias("pub_date"), F.lit(journal).alias("journal"), F.trim("link").alias("url"),
     )
 
