@@ -51,11 +51,27 @@ def network_links(articles: DataFrame, citations: DataFrame, least: int = 5, mos
     return induced(resolved(citations), top_nodes(articles, citations, least, most)).distinct()
 
 
-def pair_counts(rows: DataFrame, within: str, item: str, least: int) -> DataFrame:
-    """(a, b, weight) of items that share ``within``, each pair once, counted by rows."""
-    left = rows.select(F.col(within).alias("k"), F.col(item).alias("a"))
-    right = rows.select(F.col(within).alias("k"), F.col(item).alias("b"))
-    return left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+BLOCK = 2000  #: rows of one key that are paired in one piece; larger keys go as pairs of blocks
+
+
+def pair_counts(rows: DataFrame, within: str, item: str, least: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, weight) of items that share ``within``, each pair once, counted by rows.
+
+    A key with more than ``block`` rows is cut into blocks by its items' hashes, and each pair of blocks
+    is a key of its own, so that a key with very many rows is spread over as many tasks as it needs.
+    """
+    rows = rows.select(F.col(within).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null")
+    large = rows.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    keys = ["k"]
+    if not large.isEmpty():
+        mine = F.pmod(F.xxhash64("x"), F.coalesce("blocks", F.lit(1))).cast("int")
+        rows = rows.join(large, "k", "left").withColumn("m", mine)
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        rows = rows.select("k", "x", "m", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
+        keys = ["k", "i", "j"]
+    left, right = (rows.select(*keys, F.col("x").alias(c), *([F.col("m").alias(f"m{c}")] if len(keys) > 1 else [])) for c in "ab")
+    pairs = left.join(right, keys).where("a < b" if len(keys) == 1 else "a < b and (i = j or ma <> mb)")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
 def strongest(pairs: DataFrame, top: int) -> DataFrame:
@@ -210,12 +226,16 @@ def group_flow(edges: DataFrame) -> DataFrame:
 
 
 def delays(edges: DataFrame) -> DataFrame:
-    """Delay statistics of each direction between groups; percentiles by index into the sorted ages."""
-    ages = edges.withColumn("d", F.col("sy") - F.col("ty")).where("d >= 0")
+    """Delay statistics of each direction between groups; percentiles by index into the sorted ages.
+
+    All of it comes from counts by age, a few rows for each direction.
+    """
+    by = edges.withColumn("d", F.col("sy") - F.col("ty")).where("d >= 0").groupBy("sg", "tg", "d").agg(F.count("*").alias("k"))
     w = Window.partitionBy("sg", "tg")
-    at = ages.withColumn("i", ordinal(F.col("d"), by=("sg", "tg")) - 1).withColumn("n", F.count("*").over(w))
-    pick = lambda k: F.max(F.when(F.col("i") == F.floor(F.col("n") * k), F.col("d")))
-    return at.groupBy("sg", "tg").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), F.round(F.stddev_pop("d"), 6).alias("sd"))
+    at = by.withColumn("upto", F.sum("k").over(w.orderBy("d"))).withColumn("n", F.sum("k").over(w)).withColumn("mean", F.sum(F.col("k") * F.col("d")).over(w) / F.col("n"))
+    pick = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("d")))
+    spread = F.sqrt(F.sum(F.col("k") * F.pow(F.col("d") - F.col("mean"), 2)) / F.max("n"))
+    return at.groupBy("sg", "tg").agg(F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), F.round(spread, 6).alias("sd"))
 
 
 def reciprocity(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citewright.functions.names import unused
 from citewright.functions.values import norm_title, ordinal
 
 REVIEW = r"(?i)^(book )?review( essay)?:?\s+"  # fixed: the prefixes that harvests disagree on
@@ -73,18 +74,21 @@ def filled(columns: list[str]):
 def apply_merges(rows: DataFrame, merges: DataFrame, fill: list[str]) -> DataFrame:
     """``rows`` without duplicates; empty ``fill`` columns of canonical rows take the value of the
     duplicate with the smallest id that has one."""
-    gone = merges.select(F.col("duplicate").alias("id"), "canonical")
+    into, *new = unused(["into", *(f"new_{c}" for c in fill)], rows)
+    gone = merges.select(F.col("duplicate").alias("id"), F.col("canonical").alias(into))
     value = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))
-    given = rows.join(gone, "id").groupBy("canonical").agg(*(F.min_by(value(c), F.when(value(c).isNotNull(), F.col("id"))).alias(f"_{c}") for c in fill))
-    kept = rows.join(gone.select("id"), "id", "left_anti").join(given.withColumnRenamed("canonical", "id"), "id", "left")
-    return kept.select(*(F.coalesce(value(c), f"_{c}", c).alias(c) if c in fill else c for c in rows.columns))
+    given = rows.join(gone, "id").groupBy(into).agg(*(F.min_by(value(c), F.when(value(c).isNotNull(), F.col("id"))).alias(m) for c, m in zip(fill, new)))
+    kept = rows.join(gone.select("id"), "id", "left_anti").join(given.withColumnRenamed(into, "id"), "id", "left")
+    names = dict(zip(fill, new))
+    return kept.select(*(F.coalesce(value(c), names[c], c).alias(c) if c in names else c for c in rows.columns))
 
 
 def repoint(citations: DataFrame, merges: DataFrame) -> DataFrame:
     """Links of duplicates moved to their canonical rows, on both ends."""
     for end in ("source", "target"):
-        moved = merges.select(F.col("duplicate").alias(end), F.col("canonical").alias("_to"))
-        citations = citations.join(moved, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        (to,) = unused(["moved_to"], citations)
+        moved = merges.select(F.col("duplicate").alias(end), F.col("canonical").alias(to))
+        citations = citations.join(moved, end, "left").withColumn(end, F.coalesce(to, end)).drop(to)
     return citations
 
 
@@ -92,7 +96,9 @@ def upsert_fill(target: DataFrame, batch: DataFrame, key: str, fill: list[str])
     """``target`` with rows of new keys added and, for known keys, only empty ``fill`` columns taken
     from the batch. Of equal keys in the batch the one with the smallest other values counts."""
     others = [c for c in target.columns if c != key]
-    fresh = batch.withColumn("_n", ordinal(*(F.col(c) for c in others), by=(key,))).where("_n = 1").select(key, *(F.col(c).alias(f"_{c}") for c in others))
-    both = target.withColumn("_known", F.lit(True)).join(fresh, key, "full_outer")
-    pick = lambda c: F.when(F.col("_known"), F.coalesce(c, f"_{c}") if c in fill else F.col(c)).otherwise(F.col(f"_{c}"))
+    n, known, *new = unused(["n", "known", *(f"new_{c}" for c in others)], target, batch)
+    names = dict(zip(others, new))
+    fresh = batch.withColumn(n, ordinal(*(F.col(c) for c in others), by=(key,))).where(F.col(n) == 1).select(key, *(F.col(c).alias(names[c]) for c in others))
+    both = target.withColumn(known, F.lit(True)).join(fresh, key, "full_outer")
+    pick = lambda c: F.when(F.col(known), F.coalesce(c, names[c]) if c in fill else F.col(c)).otherwise(F.col(names[c]))
     return both.select(*(pick(c).alias(c) if c != key else c for c in target.columns))

@@ -8,8 +8,10 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewright.functions.names import unused
 from citewright.functions.values import ordinal
 from citewright.operators.citations import by_year_text, pair_counts
+from citewright.operators.removal import normal_name
 
 
 def article_page(articles: DataFrame, limit: int = 50, offset: int = 0, **ranges) -> DataFrame:
@@ -122,23 +124,27 @@ def crossover(work_authors: DataFrame, works: DataFrame, first: str, second: str
 
 
 def citations_by_age(works: DataFrame) -> DataFrame:
-    """Per year the upper median of citations, the mean and the number of works."""
-    at = works.where("year is not null").withColumn("i", ordinal(F.col("cited_by"), F.col("work"), by=("year",)) - 1).withColumn("n", F.count("*").over(Window.partitionBy("year")))
-    return at.groupBy("year").agg(F.max("n").alias("n"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("cited_by"))).alias("median"), F.round(F.avg("cited_by"), 6).alias("mean"))
+    """Per year the upper median of citations, the mean and the number of works, from counts by value."""
+    by = works.where("year is not null").groupBy("year", "cited_by").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("year")
+    at = by.withColumn("upto", F.sum("k").over(w.orderBy("cited_by"))).withColumn("n", F.sum("k").over(w))
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("cited_by")))
+    return at.groupBy("year").agg(F.max("n").alias("n"), median.alias("median"), F.round(F.sum(F.col("k") * F.col("cited_by")) / F.max("n"), 6).alias("mean"))
 
 
 def upsert_ignore(target: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """``target`` with the rows of ``batch`` whose key is new; of equal keys the first by ``order``."""
-    fresh = batch.join(target.select(key), key, "left_anti").withColumn("_n", ordinal(F.col(order), by=(key,))).where("_n = 1").drop("_n")
+    (n,) = unused(["n"], target, batch)
+    fresh = batch.join(target.select(key), key, "left_anti").withColumn(n, ordinal(F.col(order), by=(key,))).where(F.col(n) == 1).drop(n)
     return target.unionByName(fresh)
 
 
 def suppress(authors: DataFrame, ledger: DataFrame) -> DataFrame:
     """``authors`` with names of the ledger (name, token) replaced by their tokens, by normalised name."""
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    tokens = ledger.groupBy(norm(F.col("name")).alias("_norm")).agg(F.min("token").alias("_token"))
-    found = authors.withColumn("_norm", norm(F.col("name"))).join(tokens, "_norm", "left")
-    return found.withColumn("name", F.coalesce("_token", "name")).drop("_norm", "_token")
+    norm, token = unused(["norm", "new_token"], authors)
+    tokens = ledger.groupBy(normal_name(F.col("name")).alias(norm)).agg(F.min("token").alias(token))
+    found = authors.withColumn(norm, normal_name(F.col("name"))).join(tokens, norm, "left")
+    return found.withColumn("name", F.coalesce(token, "name")).drop(norm, token)
 
 
 def author_cocitation(authors: DataFrame, links: DataFrame, least: int = 3, top: int = 200) -> DataFrame:

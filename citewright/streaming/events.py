@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from citewright.session import shared_path
+from citewright.session import expire, shared_path
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,19 +21,32 @@ def _folder(spark: SparkSession, sf_dir: str) -> str:
     return f"{sf_dir}/events.parquet" if fs.getFileStatus(where).isDirectory() else f"{sf_dir}/events*.parquet"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all that is there, into a table in the shared folder, and read that."""
+def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run the stream over all that is there, into a table in the shared folder, and read that.
+
+    append: rows that no later event can change. update: each batch's changed rows; of rows with equal
+    ``keys`` the one of the last batch counts, and state that the watermark has passed is dropped.
+    complete: all rows after each batch, state of everything stays. A batch that runs again writes the
+    same part again.
+    """
     spark = stream.sparkSession
     out, state = shared_path(spark, "stream"), shared_path(spark, "stream-state")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     else:
-        def write(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        def write(batch: DataFrame, number: int) -> None:
+            part = f"{out}/batch={number}" if mode == "update" else out
+            batch.write.mode("overwrite").parquet(part)
 
         query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    expire(spark, out)
+    expire(spark, state)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    found = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return last.select("row.*")
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

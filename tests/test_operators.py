@@ -43,3 +43,37 @@ def test_delayed_recognition_skips_earlier_citations(spark):
 def test_year_text_filter_drops_bare_years(spark):
     articles = spark.createDataFrame([(1, "2014", "j"), (2, "2014-02-01", "j")], "id long, pub_date string, journal string")
     assert [r["id"] for r in C.by_year_text(articles, 2014, 2014).collect()] == [2]
+
+
+def test_pairs_of_large_keys(spark):
+    rows = [("hot", i % 57) for i in range(80)] + [("k", 3), ("k", 5), ("k", 5), (None, 1), ("k", None)]
+    table = spark.createDataFrame(rows, "k string, x long")
+    whole = {tuple(r) for r in C.pair_counts(table, "k", "x", 2).collect()}
+    assert {tuple(r) for r in C.pair_counts(table, "k", "x", 2, block=7).collect()} == whole and (3, 5, 6) in whole
+
+
+def test_late_events_and_several_batches(spark, tmp_path):
+    """Three files are three batches; an event two days late is dropped, one within the hour counts.
+
+    Spark compares late events with the watermark of the batch before, so they come in the third one.
+    """
+    import os
+    from datetime import datetime
+
+    from citewright.streaming import events as S
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    day = lambda d, h=0, m=0: datetime(2024, 1, d, h, m)
+    files = [[(1, day(1, 1), 1, "a", 1.0), (2, day(3, 1), 1, "a", 1.0)], [(4, day(3, 0, 30), 1, "a", 2.0), (2, day(3, 1), 1, "a", 1.0)], [(3, day(1, 2), 1, "a", 5.0), (5, day(3, 2), 1, "a", 4.0)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for f in os.listdir(f"{tmp_path}/in"):
+            if f.endswith(".parquet") and not f.startswith("t"):
+                os.rename(f"{tmp_path}/in/{f}", f"{tmp_path}/in/t{k}.parquet")
+                os.utime(f"{tmp_path}/in/t{k}.parquet", (1_700_000_000 + k * 100, 1_700_000_000 + k * 100))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r["start"].day: (r["n"], r["total"]) for r in S.drain(S.windowed(stream(), "1 day"), "update", ["start", "event_type"]).collect()}
+    assert got == {1: (1, 1.0), 3: (4, 8.0)}
+    assert sorted(r["event_id"] for r in S.drain(S.once(stream())).collect()) == [1, 2, 4, 5]
+    (last,) = S.drain(S.latest(stream()), "update", ["user_id", "event_type"]).collect()
+    assert (last["value"], last["n"]) == (4.0, 6)
