@@ -43,7 +43,8 @@ def copresence(works: DataFrame, people: DataFrame, least: int = 1, top: int = 1
 
 
 def editor_network(works: DataFrame, people: DataFrame, top: int = 220, least: int = 1) -> DataFrame:
-    """(editor, author, weight): collections of an editor that an author has a part in, for the ``top`` authors by such links.
+    """(editor, author, weight): collections of an editor that an author has a part in, for the ``top``
+    authors by such links and for all authors who are editors themselves.
 
     Authors are ranked before pairs are formed: an author's links are the editors of each of their
     collections, without the author.
@@ -55,7 +56,8 @@ def editor_network(works: DataFrame, people: DataFrame, top: int = 220, least: i
     own = led.select("parent", F.col("editor").alias("author"), F.lit(1).alias("own"))
     links = held.join(size, "parent").join(own, ["parent", "author"], "left").groupBy("author").agg(F.sum(F.col("editors") - F.coalesce("own", F.lit(0))).alias("links"))
     best = links.orderBy(F.desc("links"), "author").limit(top).where(F.col("links") >= least)
-    return held.join(best.select("author"), "author", "left_semi").join(led, "parent").where("editor <> author").groupBy("editor", "author").agg(F.count("*").alias("weight"))
+    shown = best.select("author").union(led.select("editor")).distinct()
+    return held.join(shown, "author", "left_semi").join(led, "parent").where("editor <> author").groupBy("editor", "author").agg(F.count("*").alias("weight"))
 
 
 def coauthorship(people: DataFrame, least_works: int = 2, top: int = 160) -> DataFrame:

@@ -101,7 +101,7 @@ _LISTS = "select l_orderkey as id, string_agg({}, '; ' order by l_linenumber, s_
 SQL = {
     "match_keys": "select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '<[^>]+>', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))) as key from documents where text is not null",
     "institution_names": "select n_name || ' University' as place from nation",
-    "listed_authors": with_sql("records", "select authors, count(*) as n from records where authors is not null group by 1"),
+    "listed_authors": with_sql("records", "select case when len(replace(authors, '; ', ' and ') || ', Editors') <= 300 then authors end as authors, count(*) as n from records where authors is not null group by 1"),
     "inverted_authors": with_sql("people", r"select name, regexp_replace('Ann B. ' || institution, '\d+$', '') || '; Roe C. Lee' as authors from people where institution is not null"),
     "season_dates": with_sql("records", """, s as (select source, year, case when month(fetched_at) < 4 then '01' when month(fetched_at) < 7 then '04' when month(fetched_at) < 10 then '06' when source = 'F' then '09' end as m from records)
         select (case when source <> 'O' then year else year - 4 + coalesce((m in ('04', '06'))::int, 0) end)::varchar || '-' || coalesce(m, '01') as date, count(*) as n from (select source, year, m from s) group by 1"""),

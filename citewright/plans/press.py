@@ -41,7 +41,7 @@ SQL = {
     "copresence_links": with_sql("works work_authors", f"""{_AUTHORS}, h as (select distinct parent, name from au join works using (work)), k as (select name from h group by 1 order by count(*) desc, name limit 180)
         select x.name as a, y.name as b, count(*) as weight from h x join h y on x.parent = y.parent and x.name < y.name where x.name in (from k) and y.name in (from k) group by all"""),
     "editor_network_links": with_sql("works work_authors", f"""{_AUTHORS}, h as (select distinct parent, name as author from au join works using (work)), l as (select distinct parent, name as editor from work_authors join works using (work) where role = 'editor'),
-        p as (select editor, author, count(*) as weight from h join l using (parent) where editor <> author group by all), k as (select author from p group by 1 order by sum(weight) desc, author limit 220) select * from p where author in (from k)"""),
+        p as (select editor, author, count(*) as weight from h join l using (parent) where editor <> author group by all), k as (select author from p group by 1 order by sum(weight) desc, author limit 220) select * from p where author in (from k) or author in (select editor from l)"""),
     "press_coauthorship": with_sql("work_authors", f"""{_AUTHORS}, k as (select name from au group by 1 having count(*) >= 2 order by count(*) desc, name limit 160), r as (select * from au where name in (from k))
         select x.name as a, y.name as b, count(*) as weight from r x join r y on x.work = y.work and x.name < y.name group by all"""),
     "press_place_decades": with_sql("works placed", _TOP_PLACES.format(8) + " select place, (year // 10 * 10)::int as decade, count(distinct work) as works from placed join works using (work) where year is not null and place in (from t) group by all"),

@@ -198,3 +198,16 @@ def test_statistics(spark):
     assert T.spearman(rows.limit(0), "a", "b").first()["rho"] is None
     assert T.mann_whitney(rows.where("g = 'x'"), "a", "g", "x", "y").first()["p"] is None
     assert T.agreement(rows.limit(0), "g", "b").first()["nmi"] is None
+
+
+def test_central_articles_and_profiles(spark):
+    from citewright.operators import chapters as H
+
+    ranks = spark.createDataFrame([(1, 0.2), (2, 0.8), (3, 0.4)], "id long, rank double")
+    between = spark.createDataFrame([(1, 6.0), (2, 3.0)], "id long, score double")
+    assert {tuple(r) for r in H.centrality(ranks, between).collect()} == {(1, 0.25, 1.0), (2, 1.0, 0.5), (3, 0.5, 0.0)}
+    assert {r["betweenness"] for r in H.centrality(ranks, between.withColumn("score", F.lit(0.0))).collect()} == {0.0}
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id long, c long")
+    articles = spark.createDataFrame([(1, "K"), (2, "J"), (3, "J"), (4, "J")], "id long, journal string")
+    counts = spark.createDataFrame([(2, 5), (3, 5), (4, 9)], "id long, n_in long")
+    assert [tuple(r) for r in H.community_profiles(members, articles, counts).collect()] == [(1, 3, "J", 2, 2)]
