@@ -46,14 +46,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", compression: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     The lineage ends at files every executor can read, so a lost executor costs a re-read, and
     nothing upstream is computed twice. The table goes when the application ends.
     """
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     expire(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
