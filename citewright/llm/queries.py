@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citewright.llm import bpe, embeddings, media_ts, mixing, pii, sharding, simhash, substring, toxicity, warc
+from citewright.session import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")  # the vocabulary and ranks of byte_bpe_50k.tiktoken
 SHARDS = 8
@@ -37,7 +38,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_ts.read_media(media_ts.with_media(_table(spark, sf_dir, "documents")))
+    stored = cut(media_ts.with_media(_table(spark, sf_dir, "documents")), "media", "zstd")  # a media table in the shared folder
+    return media_ts.read_media(stored)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
