@@ -121,8 +121,8 @@ def long_tail(edges: DataFrame, authors: DataFrame, top: int = 50) -> DataFrame:
     m = F.col("citing_authors")
     g = F.coalesce(2 * F.col("s") / (m * F.col("t")) - (m + 1) / m, F.lit(0.0))
     rows = best.join(spread, "target", "left").select("*", (F.col("own") / F.col("n")).alias("share"), g.alias("g"), F.coalesce(m, F.lit(0)).alias("people"))
-    vote = lambda low, high: F.when(low, 1).otherwise(0) - F.when(high, 1).otherwise(0)
     people, share, gini = F.col("people"), F.col("share"), F.col("g")
+    # fixed: the limits of the three measures
     broad = [people >= 30, share < 0.3, gini < 0.3]
     narrow = [people < 15, share > 0.5, gini > 0.5]
     count = lambda tests: reduce(lambda a, b: a + b, (F.when(t, 1).otherwise(0) for t in tests))
@@ -164,6 +164,7 @@ def reach_patterns(edges: DataFrame, as_of: int, top: int = 100) -> DataFrame:
     age = F.col("sy") - F.col("year")
     sums = by.join(best, "target").groupBy("target").agg(F.sum("n").alias("total"), F.max_by("sy", F.struct(F.col("n"), -F.col("sy"))).alias("peak"), F.max("n").alias("peak_n"), F.sum(F.when(age < 3, F.col("n")).otherwise(0)).alias("early"))
     rows = best.join(sums, "target", "left").select("target", "year", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("peak", "year").alias("peak_year"), F.coalesce("peak_n", F.lit(0)).alias("peak_count"), F.coalesce("early", F.lit(0)).alias("early"))
+    # fixed: the patterns and their limits
     lived, total, peak = as_of - F.col("year"), F.col("total"), F.col("peak_count")
     pattern = (
         F.when(total < 5, "too_few").when(lived <= 4, "too_recent").when(F.col("early") >= 0.6 * total, "front_loaded")

@@ -189,6 +189,7 @@ def princes(beauties: DataFrame, edges: DataFrame, authors: DataFrame) -> DataFr
     found = edges.join(woke, "target").where(F.col("sy") >= F.col("awakening") - 1).join(first, "source", "left")
     found = found.groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("sj").alias("journals"), F.countDistinct("first").alias("firsts"))
     n, journals = F.coalesce("n", F.lit(0)), F.coalesce("journals", F.lit(0))
+    # fixed: the kinds and their limits
     kind = (
         F.when(n == 0, "no_data").when(n == 1, "single_catalyst").when(journals == 1, "journal_specific").when(F.col("firsts") == 1, "individual_rediscovery")
         .when((journals >= 4) & (n >= 8), "broad_trend").otherwise("subfield_revival")
