@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm import bpe, embeddings, media_ts, mixing, pii, sharding, simhash, substring, toxicity, warc
+from citewright.llm import bpe, embeddings, filter_audit, media_ts, mixing, pii, sharding, simhash, substring, toxicity, warc
 from citewright.session import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")  # the vocabulary and ranks of byte_bpe_50k.tiktoken
@@ -66,8 +66,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_table(spark, sf_dir, "documents"))
 
 
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_pii, op3_sharding, op4_bpe, op5_media, op6_substring, op7_toxicity, op8_warc, op9_embeddings, op10_mixing)
+    own = (op1_simhash, op2_pii, op3_sharding, op4_bpe, op5_media, op6_substring, op7_toxicity, op8_warc, op9_embeddings, op10_mixing, op13_audit)
     return {f.__name__: f for f in own}
 
 
@@ -83,6 +87,28 @@ def oracle_sql() -> dict[str, str]:
             select d.doc_id, len(w) as n_words, coalesce(len(g), 0) as n_removed,
                    sha256(array_to_string(list_filter(w, lambda x, i: g is null or not list_contains(g, i)), ' ')) as kept_sha256
             from docs d left join cuts c using (doc_id)""",
+        "op13_audit": r"""
+            with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, min(doc_id) over (partition by coalesce(text, '')) as f from documents),
+            w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
+            marks as (select part, quality = 1 as good, toxic = 1 as tox,
+                    concat(case when len(ws) < 200 then 'A' end, case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' end,
+                        case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) then 'C' end,
+                        case when regexp_matches(t, '[#$%&*|]') then 'D' end, case when doc_id > f then 'E' end) as bad
+                from w left join labels using (doc_id)),
+            kinds as (select part, bad, count(*) as n, count(*) filter (good) as g, count(*) filter (tox) as x from marks group by all),
+            letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+            orders as (select a.l || b.l || c.l || d.l || e.l as o from letters a, letters b, letters c, letters d, letters e
+                where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+            ends as (select *, (select min(instr(o, l)) from letters where contains(bad, l)) as gone from kinds, orders),
+            s as (select part, o as filter_order, k::int as step, substr(o, k, 1) as l,
+                    sum(n) filter (gone is null or gone > k) as kept, sum(n) filter (gone = k) as removed,
+                    sum(n) filter (gone < k and contains(bad, substr(o, k, 1))) as redundant, sum(n) filter (bad = substr(o, k, 1)) as uniq,
+                    sum(g) filter (gone = k) as good, sum(x) filter (gone = k) as tox
+                from ends, (select unnest(range(1, 6)) as k) group by part, o, k)
+            select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+                coalesce(uniq, 0)::bigint as unique_fails, coalesce(good, 0)::bigint as good_lost, coalesce(tox, 0)::bigint as toxic_lost,
+                coalesce(sum(removed) over (partition by part, l), 0)::bigint as shapley
+            from s""",
         "op8_warc": """
             with p as (select page_id, coalesce(html, '') as h from pages),
             q as (select page_id, strlen(h) as n, sha256(h) as d, min(page_id) over (partition by h) as f from p)
