@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm import bpe, embeddings, filter_audit, media_ts, mixing, pii, sharding, simhash, substring, toxicity, warc
+from citewright.llm import backtrack, bpe, embeddings, filter_audit, media_ts, mixing, pii, sharding, simhash, substring, toxicity, warc
 from citewright.session import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")  # the vocabulary and ranks of byte_bpe_50k.tiktoken
@@ -66,12 +66,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_table(spark, sf_dir, "documents"))
 
 
+def op11_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtrack.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_pii, op3_sharding, op4_bpe, op5_media, op6_substring, op7_toxicity, op8_warc, op9_embeddings, op10_mixing, op13_audit)
+    own = (op1_simhash, op2_pii, op3_sharding, op4_bpe, op5_media, op6_substring, op7_toxicity, op8_warc, op9_embeddings, op10_mixing, op11_backtrack, op13_audit)
     return {f.__name__: f for f in own}
 
 
