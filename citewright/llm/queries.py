@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citewright.llm import backtrack, bpe, embeddings, filter_audit, media_ts, mixing, pii, sharding, simhash, substring, toxicity, warc
+from citewright.llm import backtrack, bpe, embeddings, filter_audit, lexical, media_ts, mixing, pii, sharding, simhash, substring, toxicity, warc
 from citewright.session import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")  # the vocabulary and ranks of byte_bpe_50k.tiktoken
@@ -70,12 +70,16 @@ def op11_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtrack.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_pii, op3_sharding, op4_bpe, op5_media, op6_substring, op7_toxicity, op8_warc, op9_embeddings, op10_mixing, op11_backtrack, op13_audit)
+    own = (op1_simhash, op2_pii, op3_sharding, op4_bpe, op5_media, op6_substring, op7_toxicity, op8_warc, op9_embeddings, op10_mixing, op11_backtrack, op12_lexical, op13_audit)
     return {f.__name__: f for f in own}
 
 
@@ -91,6 +95,17 @@ def oracle_sql() -> dict[str, str]:
             select d.doc_id, len(w) as n_words, coalesce(len(g), 0) as n_removed,
                    sha256(array_to_string(list_filter(w, lambda x, i: g is null or not list_contains(g, i)), ' ')) as kept_sha256
             from docs d left join cuts c using (doc_id)""",
+        "op12_lexical": r"""
+            with words as (select 'd' as k, doc_id as id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents
+                union all select 'i', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) from benchmark),
+            tf as (select id, t, count(*) as tf from words where k = 'd' group by all),
+            n as (select id, sum(tf)::bigint as n from tf group by id),
+            corpus as (select count(*) as big_n, sum(n)::bigint as l from n),
+            m as (select id, 25 + (75 * n * big_n) // l as m, big_n from n, corpus),
+            w as (select t, floor(1000 * ln((2 * any_value(big_n) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, corpus group by t),
+            s as (select i.id as item_id, d.id as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+                from words i join tf d on i.t = d.t join w on w.t = d.t join m on m.id = d.id where i.k = 'i' group by all having score > 0)
+            select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s) where rank <= 10""",
         "op13_audit": r"""
             with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, min(doc_id) over (partition by coalesce(text, '')) as f from documents),
             w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
