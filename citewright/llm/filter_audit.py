@@ -18,7 +18,7 @@ from fractions import Fraction
 from itertools import permutations
 from math import comb, factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
@@ -71,11 +71,10 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     copies = by_id.groupBy("digest", F.col("id").isNotNull().alias("known"), *kind).agg(F.sum("n").alias("n"), F.min(F.struct("id", "n")).alias("least"))
-    # By now a digest has at most a row for each part and label: the languages of one text.
-    first = copies.where("known").groupBy(F.col("digest").alias("of")).agg(F.min("least.id").alias("first"))
-    marked = copies.join(first, F.col("digest") == F.col("of"), "left").withColumn(
-        "later", F.when(F.col("known"), F.col("n") - F.when(F.col("least.id") == F.col("first"), F.col("least.n")).otherwise(0)).otherwise(0)
-    )
+    # By now a digest has at most a row for each part and label, the languages of one text: small windows.
+    first = F.min("least.id").over(Window.partitionBy("digest"))
+    own = F.when(F.col("least.id") == F.col("first"), F.col("least.n")).otherwise(0)
+    marked = copies.withColumn("first", first).withColumn("later", F.when(F.col("known"), F.col("n") - own).otherwise(0))
     both = F.array(
         F.struct(F.col("failed"), (F.col("n") - F.col("later")).alias("n")),
         F.struct((F.col("failed") + REPEAT).alias("failed"), F.col("later").alias("n")),
