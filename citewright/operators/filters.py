@@ -2,56 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citewright.functions.names import unused
 from citewright.functions.values import leading_int
-
-_TERM = re.compile(r'"[^"]*"\*?|\S+')
-
-
-def words_of(*texts: Column) -> Column:
-    """The texts' words in lower case between single spaces, one space at both ends."""
-    plain = F.lower(F.concat_ws(" ", *texts))
-    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "), F.lit(" "))
-
-
-def _holds(words: Column, term: str) -> Column:
-    prefix = term.endswith("*")
-    needle = " ".join(re.findall(r"[^\W_]+", term.lower()))
-    return F.contains(words, F.lit(f" {needle}" if prefix else f" {needle} ")) if needle else F.lit(False)
-
-
-def matches(query: str, *texts: Column) -> Column:
-    """Whether the texts hold what ``query`` asks for.
-
-    Plain words ask for a word that starts with each of them. A query with quotes, an asterisk or AND,
-    OR, NOT between blanks is taken as it is: quoted phrases, whole words, prefixes with an asterisk;
-    NOT binds closest, then AND (or nothing), then OR.
-    """
-    words = words_of(*texts)
-    if not query.strip():
-        return F.lit(False)
-    if not any(mark in query for mark in ('"', "*", " AND ", " OR ", " NOT ")):
-        return reduce(and_, (_holds(words, f"{w}*") for w in query.split()))
-    either, every, negate = [], [], False
-    for term in [*_TERM.findall(query), "OR"]:
-        if term == "OR":
-            if every:
-                either.append(reduce(and_, every))
-            every = []
-        elif term == "NOT":
-            negate = True
-        elif term != "AND":
-            every.append(~_holds(words, term) if negate else _holds(words, term))
-            negate = False
-    return reduce(or_, either) if either else F.lit(False)
+from citewright.operators.search import matches
 
 
 def has_tag(tags: Column, tag: str) -> Column:
@@ -86,7 +44,7 @@ class Filter:
     def apply(self, articles: DataFrame, texts: tuple[str, ...] = ("title", "authors", "abstract"), clusters: dict[str, list[str]] | None = None, approved: DataFrame | None = None) -> DataFrame:
         """The rows of ``articles`` that pass; ``approved(article, tag)`` are readers' tags that count too."""
         if self.query:
-            articles = articles.where(matches(self.query, *(F.col(t) for t in texts)))
+            articles = articles.where(matches(self.query, **{t: F.col(t) for t in texts}))
         journals = self.journals or (tuple((clusters or {}).get(self.cluster, ())) if self.cluster else None)
         if journals is not None:
             articles = articles.where(F.col("journal").isin(list(journals)))

@@ -8,7 +8,8 @@ from citewright.operators import citations as C
 from citewright.operators import coverage as K
 from citewright.operators import pages as P
 from citewright.operators import records as R
-from citewright.operators.filters import Filter, citations_within, matches
+from citewright.operators.filters import Filter, citations_within
+from citewright.operators.search import matches
 from citewright.plans.tables import CLUSTERS, with_sql
 
 NAME = "Supplier#000000003"
@@ -100,7 +101,7 @@ def _tag_states(c):
 
 
 _FTS = "(' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', title, authors, abstract)), '[a-z0-9]+'), ' ') || ' ')"
-_DOC = "(' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ')"
+_DOC = "(' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' ') || ' ')"
 _KEPT = f"{_FTS} like '% widget%' and {_FTS} like '% co%' and journal in ('BUILDING', 'MACHINERY', 'FURNITURE') and source = 'F' and pub_date >= '1996-01-01' and pub_date <= '2000-12-31'"
 _MAKERS = "journal in (" + ", ".join(f"'{j}'" for j in CLUSTERS["makers"]) + ")"
 _LINKS = ", l as (select source, target from citations where target is not null and source in (from k) and target in (from k))"

@@ -16,7 +16,7 @@ from citewright.operators import merging as M
 from citewright.operators import records as R
 from citewright.operators import statistics as T
 from citewright.operators.components import connected_components
-from citewright.plans import chapters, cleaning, pages, people, press, upkeep
+from citewright.plans import chapters, cleaning, pages, people, press, search, upkeep
 from citewright.plans.tables import GROUPS, Corpus, with_sql
 from citewright.sources import exports as E
 from citewright.sources import works as W
@@ -302,8 +302,8 @@ _add("stream_latest", lambda c: S.drain(S.latest(S.read_events(c.spark, c.sf_dir
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES).items()}
+    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES | search.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL
+    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL | search.SQL

@@ -11,7 +11,8 @@ from citewright.functions.names import unused
 from citewright.operators import chapters as H
 from citewright.operators import pages as P
 from citewright.operators import removal as D
-from citewright.operators.filters import Filter, matches
+from citewright.operators.filters import Filter
+from citewright.operators.search import matches
 from citewright.sources import works as W
 
 
