@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citewright.functions.values import ordinal
 from citewright.operators.citations import degrees
-from citewright.operators.graphs import main_path, search_path_counts
+from citewright.operators.dags import main_paths, path_counts, without_cycles
 
 FRONTIER = 2021  # fixed: sinks from this year on may still get their references cited
 # Fixed: generations of citing articles, and decades of main paths, from a first year to before a last one.
@@ -62,13 +62,15 @@ def traditions(grouped: DataFrame) -> DataFrame:
 def currents(edges: DataFrame, windows=DECADES) -> DataFrame:
     """The main path of each window from links whose both ends lie in it: (window, step, source, target, spc).
 
-    Links run from the cited to the citing article; those to the same year are left out, so there is no cycle.
+    Links run from the cited to the citing article. All windows, which may overlap, go through the same
+    rounds: a node is a window and an id. Links without both years lie in no window.
     """
-    paths = []
-    for label, first, end in windows:
-        inside = edges.where(f"ty >= {first} and sy < {end} and sy > ty").select(F.col("target").alias("source"), F.col("source").alias("target"))
-        paths.append(main_path(search_path_counts(inside)).select(F.lit(label).alias("window"), "*"))
-    return reduce(DataFrame.union, paths)
+    inside = F.array_compact(F.array(*(F.when(F.col("sy").between(first, end - 1) & F.col("ty").between(first, end - 1), F.lit(label)) for label, first, end in windows)))
+    placed = edges.select("source", "target", (F.col("ty") - F.col("sy")).alias("lag"), F.explode(inside).alias("w"))
+    node = lambda c: F.struct(F.col("w").alias("window"), F.col(c).alias("id")).alias(c)
+    kept = without_cycles(placed.where("source is not null and target is not null").select(node("source"), node("target"), "lag"))
+    paths = main_paths(path_counts(kept.select(F.col("target").alias("source"), F.col("source").alias("target"))), F.col("source.window"))
+    return paths.select(F.col("part").alias("window"), "step", F.col("source.id").alias("source"), F.col("target.id").alias("target"), "spc")
 
 
 def persistent(paths: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Graph measures as DataFrame iterations: PageRank, triangles, betweenness, search paths."""
+"""Graph measures as DataFrame iterations: PageRank, triangles, betweenness, windows."""
 
 from __future__ import annotations
 
@@ -60,63 +60,6 @@ def transitivity(links: DataFrame) -> DataFrame:
     return closed.crossJoin(triples).select("triangles", "triples", F.when(F.col("triples") > 0, F.round(3 * F.col("triangles") / F.col("triples"), 6)).otherwise(0.0).alias("transitivity"))
 
 
-def search_path_counts(edges: DataFrame) -> DataFrame:
-    """(source, target, spc): paths from sources to sinks over each link of an acyclic link table.
-
-    Paths up to and from each node are counted level by level, to the end of the longest one;
-    counts are doubles, since they outgrow integers. A cycle that paths reach is an error.
-    """
-    dag = cut(edges.select("source", "target").distinct(), "dag")
-    longest = dag.count()  # no acyclic path has more links
-
-    def paths(a: str, b: str) -> DataFrame:
-        """Paths that end in each node, following links from ``a`` to ``b``."""
-        roots = dag.select(F.col(a).alias("id")).distinct().join(dag.select(F.col(b).alias("id")), "id", "left_anti")
-        level = roots.withColumn("p", F.lit(1.0))
-        total = level
-        for _ in range(longest + 1):
-            level = cut(level.join(dag.withColumnRenamed(a, "id"), "id").groupBy(F.col(b).alias("id")).agg(F.sum("p").alias("p")), "level")
-            if level.isEmpty():
-                break
-            total = total.unionByName(level)
-        else:
-            raise ValueError("the link table has a cycle")
-        return total.groupBy("id").agg(F.sum("p").alias("p"))
-
-    into, onward = paths("source", "target"), paths("target", "source")
-    found = dag.join(into.select(F.col("id").alias("source"), F.col("p").alias("p_in")), "source").join(onward.select(F.col("id").alias("target"), F.col("p").alias("p_out")), "target")
-    return found.select("source", "target", (F.col("p_in") * F.col("p_out")).alias("spc"))
-
-
-def main_path(counts: DataFrame) -> DataFrame:
-    """(step, source, target, spc): from the heaviest link out of a source, always on by the heaviest link.
-
-    ``counts`` is what search_path_counts gives. The driver holds the path alone.
-    """
-    spark = counts.sparkSession
-    by_weight = F.struct("spc", -F.col("target"))
-    best = cut(counts.groupBy("source").agg(F.max_by(F.struct("target", "spc"), by_weight).alias("on")).select("source", "on.*"), "best")
-    row = best.join(counts.select(F.col("target").alias("source")), "source", "left_anti").orderBy(F.desc("spc"), "source").first()
-    path = []
-    while row:
-        path.append((len(path) + 1, row["source"], row["target"], row["spc"]))
-        row = best.where(F.col("source") == row["target"]).first()
-    return spark.createDataFrame(path, "step int, source long, target long, spc double")
-
-
-def key_routes(counts: DataFrame, least: int = 3, first: int = 10) -> DataFrame:
-    """(route, source, target, spc): the heaviest links, as many (``first``, doubled) as it takes to
-    have ``least`` separate routes, or all links. A route bears its smallest node."""
-    counts = cut(counts, "counts")
-    every, top = counts.count(), first
-    while True:
-        best = cut(counts.orderBy(F.desc("spc"), "source", "target").limit(top), "routes")
-        parts = connected_components(best.select(F.col("source").alias("a"), F.col("target").alias("b")))
-        if top >= every or parts.select("component").distinct().count() >= least:
-            return best.join(parts.select(F.col("node").alias("source"), F.col("component").alias("route")), "source").select("route", "source", "target", "spc")
-        top *= 2
-
-
 def betweenness(links: DataFrame, pivots: int | None = None) -> DataFrame:
     """(id, score): the share of shortest directed paths that pass through each node.
 

@@ -11,7 +11,6 @@ from citewright.operators import graphs as G
 from citewright.plans.tables import CLUSTERS, GROUPS, with_sql
 
 GENERATIONS = (("early", 0, 1997), ("middle", 1997, 1999), ("late", 1999, 2100))
-WINDOWS = (("early", 1995, 1998), ("late", 1998, 2002))
 AS_OF = 2003
 
 
@@ -60,7 +59,6 @@ QUERIES = {
     "origins_by_year": lambda c: H.origin_years(_roles(c)),
     "notable_origins": lambda c: H.notable_origins(_roles(c)),
     "traditions": lambda c: H.traditions(_grouped(c)),
-    "shifting_currents": lambda c: H.currents(_edges(c), WINDOWS),
     "fair_ranking": lambda c: H.fair_ranking(c.articles, c.citations, AS_OF),
     "long_tail": lambda c: H.long_tail(_edges(c), c.authors),
     "shifting_canons": lambda c: H.shifting_canons(_edges(c), GENERATIONS),
@@ -80,16 +78,6 @@ QUERIES = {
 _ROLES = """, r as (select a.id, journal, year, pub_date, cited_globally, n_in = 0 as src, case when n_out = 0 then case when refs_at is null then 'data-gap' when year >= 2000 then 'frontier' else 'true' end end as sink from records a join degrees using (id))"""
 
 
-def _window_path(label, first, end):
-    k = label
-    return f""", g{k} as (select distinct target as a, source as b from edges where ty >= {first} and sy < {end} and sy > ty),
-     f{k}(n, v, k) as (select a, 1::double, 0 from g{k} where a not in (select b from g{k}) group by 1 union all select b, sum(v), k + 1 from f{k} join g{k} on a = n group by b, k),
-     h{k}(n, v, k) as (select b, 1::double, 0 from g{k} where b not in (select a from g{k}) group by 1 union all select a, sum(v), k + 1 from h{k} join g{k} on b = n group by a, k),
-     x{k} as (select n, sum(v) as v from f{k} group by 1), y{k} as (select n, sum(v) as v from h{k} group by 1), w{k} as (select a, b, x.v * y.v as spc from g{k} join x{k} x on x.n = a join y{k} y on y.n = b),
-     o{k} as (select a, arg_max(b, (spc, -b)) as b, max(spc) as spc from w{k} group by 1), r{k}(step, a, b, spc) as (select * from (select 1, a, b, spc from o{k} where a not in (select b from w{k}) order by spc desc, a limit 1)
-     union all select step + 1, o.a, o.b, o.spc from r{k} join o{k} o on o.a = r{k}.b)"""
-
-
 _FAIR = """, f as (select id, year, n_in, round(n_in::double / greatest(1, 2003 - year), 3) as rate from degrees join articles using (id) where n_in > 0 and year <= 2001),
     q as (select *, row_number() over (order by n_in desc, id) as raw_rank, row_number() over (order by rate desc, id) as norm_rank from f), fair as (select *, raw_rank - norm_rank as rank_shift,
     case when raw_rank <= 50 and norm_rank <= 50 then 'stable_canon' when raw_rank <= 50 then 'age_advantage' else 'rising_fast' end as kind from q where raw_rank <= 50 or norm_rank <= 50)"""
@@ -121,7 +109,6 @@ SQL = {
     "notable_origins": with_sql("records degrees", _ROLES + """ select 'source' as list, id, pub_date, cited_globally from (from r where src and cited_globally >= 20 order by cited_globally desc, id limit 15)
         union all select 'true', id, pub_date, cited_globally from (from r where sink = 'true' order by pub_date, id limit 15) union all select 'frontier', id, pub_date, cited_globally from (from r where sink = 'frontier' order by pub_date desc, id limit 15)"""),
     "traditions": with_sql("grouped", "select grp as g, journal, count(*) as articles, min(year) as first_year, max(year) as last_year from grouped group by all"),
-    "shifting_currents": with_sql("edges", "".join(_window_path(*w) for w in WINDOWS) + " select 'early' as window, step, a as source, b as target, spc from rearly union all select 'late', step, a, b, spc from rlate", recursive=True),
     "fair_ranking": with_sql("degrees", _FAIR + " from fair"),
     "long_tail": with_sql("edges authors", _TAIL + " from tail"),
     "shifting_canons": with_sql("edges", _CANON + " from canon"),

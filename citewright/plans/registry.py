@@ -16,7 +16,7 @@ from citewright.operators import merging as M
 from citewright.operators import records as R
 from citewright.operators import statistics as T
 from citewright.operators.components import connected_components
-from citewright.plans import chapters, cleaning, pages, people, press, search, upkeep
+from citewright.plans import chapters, cleaning, pages, paths, people, press, search, upkeep
 from citewright.plans.tables import GROUPS, Corpus, with_sql
 from citewright.sources import exports as E
 from citewright.sources import works as W
@@ -43,10 +43,6 @@ def _arcs(c: Corpus) -> DataFrame:
     return N.undirected(C.resolved(c.citations))
 
 
-def _spc(c: Corpus) -> DataFrame:
-    return G.search_path_counts(_edges(c).where("sy > ty").select(F.col("target").alias("source"), F.col("source").alias("target")))
-
-
 def _crossers(edges: DataFrame, top: int = 25) -> DataFrame:
     scores = G.undirected_betweenness(edges).select("id", F.round("score", 9).alias("score"))
     return scores.join(C.boundary_degrees(edges), "id").orderBy(F.desc("score"), F.desc("boundary"), "id").limit(top)
@@ -262,18 +258,6 @@ _add("transitivity", lambda c: G.transitivity(C.resolved(c.citations)), "citatio
      """, p as (select distinct least(source, target) as a, greatest(source, target) as b from citations where source <> target), d as (select v, count(*) as d from (select a as v from p union all select b from p) group by 1),
      t as (select count(*) as t from p x join p y on y.a = x.b join p z on z.a = x.a and z.b = y.b), s as (select (sum(d * (d - 1)) // 2)::bigint as s from d)
      select t as triangles, s as triples, round(3.0::double * t / s, 6) as transitivity from t, s""")
-_add("main_path_links", lambda c: _spc(c).orderBy(F.desc("spc"), "source", "target").limit(50), "edges",
-     """, g as (select distinct target as a, source as b from edges where sy > ty), f(n, v, k) as (select a, 1::double, 0 from g where a not in (select b from g) group by 1 union all select b, sum(v), k + 1 from f join g on a = n group by b, k),
-     h(n, v, k) as (select b, 1::double, 0 from g where b not in (select a from g) group by 1 union all select a, sum(v), k + 1 from h join g on b = n group by a, k),
-     x as (select n, sum(v) as v from f group by 1), y as (select n, sum(v) as v from h group by 1)
-     select a as source, b as target, x.v * y.v as spc from g join x on x.n = a join y on y.n = b order by spc desc, source, target limit 50""", recursive=True)
-_PATHS = """, g as (select distinct target as a, source as b from edges where sy > ty), f(n, v, k) as (select a, 1::double, 0 from g where a not in (select b from g) group by 1 union all select b, sum(v), k + 1 from f join g on a = n group by b, k),
-     h(n, v, k) as (select b, 1::double, 0 from g where b not in (select a from g) group by 1 union all select a, sum(v), k + 1 from h join g on b = n group by a, k),
-     x as (select n, sum(v) as v from f group by 1), y as (select n, sum(v) as v from h group by 1), w as (select a, b, x.v * y.v as spc from g join x on x.n = a join y on y.n = b)"""
-_add("main_path", lambda c: G.main_path(_spc(c)), "edges", _PATHS
-     + """, o as (select a, arg_max(b, (spc, -b)) as b, max(spc) as spc from w group by 1), r(step, a, b, spc) as (select * from (select 1, a, b, spc from o where a not in (select b from w) order by spc desc, a limit 1) union all select step + 1, o.a, o.b, o.spc from r join o on o.a = r.b)
-     select step, a as source, b as target, spc from r""", recursive=True)
-_add("key_routes", lambda c: G.key_routes(_spc(c)))
 _add("window_metrics", lambda c: G.window_metrics(_edges(c)), "edges",
      """, d as (select distinct source, target, sy, ty from edges), n as (select source as id, sy as w from d union select target, ty from d), e as (select distinct sy as w, least(source, target) as a, greatest(source, target) as b from d where sy = ty and source <> target),
      g as (select w, v, count(*) as d from (select w, a as v from e union all select w, b from e) group by all), t as (select w, sum(d * (d - 1)) // 2 as t from g group by 1), q as (select p.w, count(*) as q from e p join e r on r.a = p.b join e s on s.a = p.a and s.b = r.b group by 1),
@@ -302,8 +286,8 @@ _add("stream_latest", lambda c: S.drain(S.latest(S.read_events(c.spark, c.sf_dir
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES | search.QUERIES).items()}
+    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES | search.QUERIES | paths.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL | search.SQL
+    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL | search.SQL | paths.SQL

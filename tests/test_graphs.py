@@ -93,23 +93,6 @@ def test_pagerank_converges(spark):
     assert "pagerank_converged" in registry.queries()
 
 
-def test_cycles_are_an_error(spark):
-    with pytest.raises(ValueError, match="cycle"):
-        G.search_path_counts(spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3)], LINK))
-
-
-def test_long_paths(spark):
-    counts = G.search_path_counts(spark.createDataFrame([(k, k + 1) for k in range(35)], LINK))
-    assert counts.count() == 35 and counts.where("spc <> 1").isEmpty()
-
-
-def test_main_path_and_routes(spark):
-    counts = spark.createDataFrame([(1, 2, 5.0), (2, 3, 4.0), (2, 4, 4.0), (9, 2, 1.0), (20, 21, 3.0), (30, 31, 2.0), (30, 40, 1.0)], LINK + ", spc double")
-    assert [(r["source"], r["target"]) for r in G.main_path(counts).orderBy("step").collect()] == [(1, 2), (2, 3)]
-    assert {(r["route"], r["source"]) for r in G.key_routes(counts, 3, 2).collect()} >= {(1, 1), (1, 2), (20, 20)}
-    assert G.main_path(counts.limit(0)).isEmpty()
-
-
 def cliques(*groups, between=()):
     return [(a, b) for g in groups for a in g for b in g if a < b] + list(between)
 
