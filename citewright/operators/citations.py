@@ -204,21 +204,6 @@ def calendar(beauties: DataFrame, events: DataFrame, years: int = 5) -> DataFram
     return spread.join(woken, "year", "left").groupBy("type").agg((F.count("*") / years).cast("long").alias("events"), F.round(F.sum(F.coalesce("woken", F.lit(0))) / F.count("*"), 2).alias("mean_awakenings"))
 
 
-def reading_path(citations: DataFrame, article: int, top: int = 20) -> DataFrame:
-    """Neighbours of an article by added scores: cited, citing, often co-cited, strongly coupled."""
-    links = resolved(citations)
-    cited = links.where(F.col("source") == article).select(F.col("target").alias("id")).distinct().withColumn("score", F.lit(3))
-    citing = links.where(F.col("target") == article).select(F.col("source").alias("id")).distinct().withColumn("score", F.lit(2))
-
-    def related(own: str, other: str) -> DataFrame:
-        keys = links.where(F.col(own) == article).select(other).distinct()
-        found = links.join(keys, other, "left_semi").where(F.col(own) != article).groupBy(F.col(own).alias("id")).agg(F.countDistinct(other).cast("int").alias("score"))
-        return found.orderBy(F.desc("score"), "id").limit(top)
-
-    every = cited.union(citing).union(related("target", "source")).union(related("source", "target"))
-    return every.where(F.col("id") != article).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("relations"))
-
-
 def group_flow(edges: DataFrame) -> DataFrame:
     """Links between field groups by citing decade, and over all decades, in one rollup."""
     decades = edges.withColumn("decade", (F.floor(F.col("sy") / 10) * 10).cast("int"))
@@ -236,7 +221,7 @@ def delays(edges: DataFrame) -> DataFrame:
     at = by.withColumn("upto", F.sum("k").over(w.orderBy("d"))).withColumn("n", F.sum("k").over(w)).withColumn("mean", F.sum(F.col("k") * F.col("d")).over(w) / F.col("n"))
     pick = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("d")))
     spread = F.sqrt(F.sum(F.col("k") * F.pow(F.col("d") - F.col("mean"), 2)) / F.max("n"))
-    return at.groupBy("sg", "tg").agg(F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), F.round(spread, 6).alias("sd"))
+    return at.groupBy("sg", "tg").agg(F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), pick(0.25).alias("p25"), pick(0.5).alias("median"), pick(0.75).alias("p75"), F.round(spread, 6).alias("sd"), F.max("d").alias("longest"))
 
 
 def reciprocity(edges: DataFrame) -> DataFrame:
@@ -276,15 +261,6 @@ def reach(edges: DataFrame, until: int, top: int = 100) -> DataFrame:
     return years.join(n, ["target", "sy"], "left").na.fill(0, ["n"]).withColumn("running", F.sum("n").over(Window.partitionBy("target").orderBy("sy")))
 
 
-def inside_outside(articles: DataFrame, citations: DataFrame, top: int = 50) -> DataFrame:
-    """Leaders by internal and by global citations, and which list holds them."""
-    n = degrees(articles, citations).select("id", "n_in").join(articles.select("id", "cited_globally"), "id")
-    inner = n.orderBy(F.desc("n_in"), "id").limit(top).select("id", F.lit(1).alias("i"))
-    outer = n.orderBy(F.desc("cited_globally"), "id").limit(top).select("id", F.lit(1).alias("o"))
-    kind = F.when(F.col("i").isNull(), "outside").when(F.col("o").isNull(), "inside").otherwise("both")
-    return inner.join(outer, "id", "full_outer").select("id", kind.alias("kind"))
-
-
 def unread_canon(articles: DataFrame, citations: DataFrame, globally: int = 100, here: int = 2, limit: int = 200) -> DataFrame:
     n = degrees(articles, citations).join(articles.select("id", "cited_globally"), "id").where((F.col("cited_globally") >= globally) & (F.col("n_in") <= here))
     ratio = F.round(F.col("cited_globally") / (F.col("n_in") + 1), 6)

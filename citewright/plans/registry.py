@@ -16,7 +16,7 @@ from citewright.operators import merging as M
 from citewright.operators import records as R
 from citewright.operators import statistics as T
 from citewright.operators.components import connected_components
-from citewright.plans import chapters, cleaning, pages, paths, people, press, search, upkeep
+from citewright.plans import chapters, cleaning, pages, panes, paths, people, press, search, upkeep
 from citewright.plans.tables import GROUPS, Corpus, with_sql
 from citewright.sources import exports as E
 from citewright.sources import works as W
@@ -126,18 +126,11 @@ _add("prince_network", lambda c: C.princes(C.sleeping_beauties(c.articles, c.cit
 _add("disciplinary_calendar", lambda c: C.calendar(C.sleeping_beauties(c.articles, c.citations, 5, 200), c.table("orders").where("o_orderstatus = 'P'").select(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("type")).distinct()), "edges", _BEAUTIES
      + """, t as (select awakening, count(*) as n from (select * from beauties where n_in >= 5 order by beauty desc, id limit 200) group by 1), e as (select distinct year(o_orderdate) as year, o_orderpriority as type from orders where o_orderstatus = 'P')
      select type, count(*) // 5 as events, round(sum(coalesce(n, 0)) / count(*), 2)::double as mean_awakenings from (select type, unnest(range(year, year + 5)) as y from e) left join t on awakening = y group by 1""")
-_add("reading_path", lambda c: C.reading_path(c.citations, 5), "citations",
-     """, l as (select source, target from citations where target is not null),
-     co as (select target as id, count(distinct source)::int as score from l where source in (select source from l where target = 5) and target <> 5 group by 1 order by score desc, id limit 20),
-     cu as (select source as id, count(distinct target)::int as score from l where target in (select target from l where source = 5) and source <> 5 group by 1 order by score desc, id limit 20),
-     e as (select distinct target as id, 3 as score from l where source = 5 union all select distinct source, 2 from l where target = 5 union all from co union all from cu)
-     select id, sum(score)::bigint as score, count(*) as relations from e where id <> 5 group by 1""")
 # field groups
 _add("braided_flow", lambda c: C.group_flow(_edges(c)), "edges", "select (sy // 10 * 10)::int as decade, sg, tg, count(*) as n from edges group by grouping sets ((1, sg, tg), (sg, tg))")
 _add("delay_stats", lambda c: C.delays(_edges(c)), "edges",
      """, r as (select sg, tg, sy - ty as d, row_number() over (partition by sg, tg order by sy - ty) - 1 as i, count(*) over (partition by sg, tg) as n from edges where sy >= ty)
-     select sg, tg, count(*) as n, round(avg(d), 6) as mean, max(d) filter (i = floor(n * 0.25)) as p25, max(d) filter (i = floor(n * 0.5)) as median, max(d) filter (i = floor(n * 0.75)) as p75, round(stddev_pop(d), 6) as sd from r group by sg, tg""")
-_add("delay_histogram", lambda c: _edges(c).where("sy >= ty").groupBy("sg", "tg", F.least(F.col("sy") - F.col("ty"), F.lit(5)).alias("delay")).agg(F.count("*").alias("n")), "edges", "select sg, tg, least(sy - ty, 5) as delay, count(*) as n from edges where sy >= ty group by all")
+     select sg, tg, count(*) as n, round(avg(d), 6) as mean, max(d) filter (i = floor(n * 0.25)) as p25, max(d) filter (i = floor(n * 0.5)) as median, max(d) filter (i = floor(n * 0.75)) as p75, round(stddev_pop(d), 6) as sd, max(d) as longest from r group by sg, tg""")
 _add("reciprocity", lambda c: C.reciprocity(_edges(c)), "edges",
      ", d as (select distinct source, target, sg, tg from edges where sg <> tg) select x.sg, x.tg, count(*) as links, count(y.source) as mutual from d x left join d y on y.source = x.target and y.target = x.source group by all")
 _add("lorenz", lambda c: C.lorenz(C.degrees(c.articles, c.citations), "n_in"), "degrees",
@@ -149,9 +142,6 @@ _add("reach_series", lambda c: C.reach(_edges(c), 2001), "edges",
      """, b as (select target, min(ty) as f from edges group by 1 order by count(*) desc, target limit 100), y as (select target, unnest(range(f, 2002))::int as sy from b),
      n as (select target, sy, count(*) as n from edges group by all)
      select target, sy, coalesce(n, 0) as n, (sum(coalesce(n, 0)) over (partition by target order by sy))::bigint as running from y left join n using (target, sy)""")
-_add("inside_outside", lambda c: C.inside_outside(c.articles, c.citations), "degrees",
-     """, i as (select id from degrees order by n_in desc, id limit 50), o as (select id from articles order by cited_globally desc, id limit 50)
-     select coalesce(i.id, o.id) as id, case when i.id is null then 'outside' when o.id is null then 'inside' else 'both' end as kind from i full join o on i.id = o.id""")
 _add("unread_canon", lambda c: C.unread_canon(c.articles, c.citations), "degrees",
      "select id, cited_globally, n_in, round(cited_globally::double / (n_in + 1), 6) as ratio from degrees join articles using (id) where cited_globally >= 100 and n_in <= 2 order by ratio desc, id limit 200")
 _add("coupling_asymmetry", lambda c: C.coupling_asymmetry(c.citations), "citations",
@@ -286,8 +276,8 @@ _add("stream_latest", lambda c: S.drain(S.latest(S.read_events(c.spark, c.sf_dir
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES | search.QUERIES | paths.QUERIES).items()}
+    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES | search.QUERIES | paths.QUERIES | panes.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL | search.SQL | paths.SQL
+    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL | search.SQL | paths.SQL | panes.SQL
