@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citewright.functions.names import unused
 from citewright.functions.values import norm_title, ordinal
+from citewright.operators.removal import suppressed
 
 REVIEW = r"(?i)^(book )?review( essay)?:?\s+"  # fixed: the prefixes that harvests disagree on
 STEM = 25
@@ -92,9 +93,11 @@ def repoint(citations: DataFrame, merges: DataFrame) -> DataFrame:
     return citations
 
 
-def upsert_fill(target: DataFrame, batch: DataFrame, key: str, fill: list[str]) -> DataFrame:
+def upsert_fill(target: DataFrame, batch: DataFrame, key: str, fill: list[str], ledger: DataFrame | None = None) -> DataFrame:
     """``target`` with rows of new keys added and, for known keys, only empty ``fill`` columns taken
-    from the batch. Of equal keys in the batch the one with the smallest other values counts."""
+    from the batch. Of equal keys in the batch the one with the smallest other values counts. Names of
+    ``ledger`` in lists of authors and editors come in as tokens."""
+    batch = suppressed(batch, ledger)
     others = [c for c in target.columns if c != key]
     n, known, *new = unused(["n", "known", *(f"new_{c}" for c in others)], target, batch)
     names = dict(zip(others, new))

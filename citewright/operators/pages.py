@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citewright.functions.names import unused
 from citewright.functions.values import ordinal
+from citewright.operators.removal import suppressed
 
 BOOK_LOG = "books:"  # fixed: what marks a publisher's entry in the fetch log
 PARTS = ("chapter", "front-matter")
@@ -82,11 +83,12 @@ def publishers(books: DataFrame) -> DataFrame:
     return books.where("publisher is not null").groupBy("publisher").agg(n(F.col("record_type") == "book").alias("books"), n(part).alias("chapters"))
 
 
-def upsert_books(books: DataFrame, batch: DataFrame) -> DataFrame:
-    """``books`` after a harvest: known dois take over ``cited_by``, new ones are added.
+def upsert_books(books: DataFrame, batch: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """``books`` after a harvest: known dois take over ``cited_by``, new ones are added; names of ``ledger`` come in as tokens.
 
     Of rows of the batch with one doi the last by ``seq`` counts; rows without a doi are always added.
     """
+    batch = suppressed(batch, ledger)
     columns = [c for c in books.columns]
     n, new, seen = unused(["n", "new_cited", "seen"], books, batch)
     named = batch.where("doi is not null").withColumn(n, ordinal(F.desc("seq"), by=("doi",))).where(F.col(n) == 1).drop(n)

@@ -32,9 +32,14 @@ def replace_references(citations: DataFrame, fetched: DataFrame) -> DataFrame:
     return citations.join(fetched.select("source").distinct(), "source", "left_anti").select(*citations.columns).unionByName(fetched.select(*citations.columns))
 
 
+def delete_references(citations: DataFrame, sources: DataFrame) -> DataFrame:
+    """``citations`` without the rows of ``sources(source)``."""
+    return citations.join(sources.select("source").distinct(), "source", "left_anti").select(*citations.columns)
+
+
 def without_stubs(records: DataFrame) -> DataFrame:
-    """Abstracts that are stubs become null, and with a doi what found nothing is to be looked up again."""
-    abstract = F.when(~F.coalesce(F.col("abstract").startswith(STUB), F.lit(False)), F.col("abstract"))
+    """Abstracts that are stubs, in any case, become null, and with a doi what found nothing is to be looked up again."""
+    abstract = F.when(~F.coalesce(F.lower("abstract").startswith(STUB.lower()), F.lit(False)), F.col("abstract"))
     rows = records.withColumn("abstract", abstract)
     has = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     again = has("doi") & (~F.coalesce(has("work"), F.lit(False)) | F.col("abstract").isNull())

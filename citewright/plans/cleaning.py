@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citewright.functions import cleaning as K
 from citewright.operators import pages as P
 from citewright.operators import removal as D
+from citewright.operators.phrases import tag_texts
 from citewright.plans.tables import with_sql
 from citewright.session import expire, shared_path
 from citewright.sources import works as W
@@ -14,11 +18,63 @@ from citewright.sources import works as W
 SALT = "salt"
 
 
+def _owing(c):
+    return c.table("supplier").where("s_acctbal < 0").select(F.col("s_name").alias("name"))
+
+
 def _ledger(c):
     """Names of those who owe money, with new tokens, their upper-case form as a variant."""
-    owing = c.table("supplier").where("s_acctbal < 0").select(F.col("s_name").alias("name"))
     none = c.spark.createDataFrame([], "token string, name string, variants string")
-    return D.mint(owing, none, SALT).withColumn("variants", F.to_json(F.array(F.upper("name"))))
+    return D.mint(_owing(c), none, SALT).withColumn("variants", F.to_json(F.array(F.upper("name"))))
+
+
+def _references(c):
+    """Free texts that name the authors of articles."""
+    return c.records.where("authors is not null").select("id", F.concat_ws(" ", F.lit("See"), "authors", F.lit("1999.")).alias("raw_reference"))
+
+
+def _tables(c):
+    """The six tables that hold names."""
+    places = c.affiliations.select(F.col("id").alias("article_id"), F.col("name").alias("author_name"), F.concat(F.lit("A"), "name").alias("openalex_author_id"), F.col("place").alias("institution_id"))
+    return {
+        "articles": c.records.select("id", "authors"), "books": c.books.select("id", "authors", "editors"), "authors": c.people.select("name", "orcid", F.col("institution").alias("institution_name")),
+        "author_article_affiliations": places.drop("institution_id").distinct(), "article_author_institutions": places.distinct(), "citations": _references(c),
+    }
+
+
+def _swept(c):
+    """How many rows of each table hold a token, and how many of those keep an identifier."""
+    parts = []
+    for table, rows in D.sweep(_tables(c), _ledger(c)).items():
+        text = F.concat_ws(" ", *(F.col(x) for x in rows.columns))
+        left = F.col("openalex_author_id") if "openalex_author_id" in rows.columns else F.col("orcid") if "orcid" in rows.columns else F.lit(None)
+        token = F.contains(text, F.lit(D.PREFIX))
+        parts.append(rows.agg(F.lit(table).alias("name"), F.count("*").alias("n"), F.count(F.when(token, 1)).alias("with_token"), F.count(F.when(token, left)).alias("identified")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _undone(c):
+    """Sweep, then undo for the names that end in 3."""
+    ledger = _ledger(c)
+    tables = D.sweep({k: t for k, t in _tables(c).items() if k in ("articles", "authors")}, ledger)
+    return D.undo(tables, ledger, ledger.where(F.col("name").endswith("3")))[0]
+
+
+def _exported(c):
+    """The ledger through a file and back."""
+    path = shared_path(c.spark, "ledger")
+    D.export_ledger(_ledger(c), path, SALT)
+    expire(c.spark, path)
+    return D.import_ledger(c.spark.createDataFrame([], "token string, name string, variants string, name_hash string"), path)
+
+
+def _phrase_tags(c):
+    """Titles and abstracts by the names of parts, a tag for each brand: some thousand phrases."""
+    pairs = c.table("part").select("p_brand", "p_name").distinct().orderBy("p_brand", "p_name").limit(100_000).collect()
+    vocabulary = {}
+    for brand, name in pairs:
+        vocabulary.setdefault(brand, []).append(name)
+    return tag_texts(c.records.select("id", "title", "abstract"), ("title", "abstract"), vocabulary).select("id", "tags")
 
 
 def _requests(c):
@@ -87,8 +143,14 @@ QUERIES = {
     "removed_people": lambda c: D.replace_names(c.people, "name", _ledger(c), ("orcid", "institution"), ("name",)),
     "removed_affiliations": lambda c: D.replace_names(c.affiliations, "name", _ledger(c), (), ("id", "name", "place")).groupBy("name").agg(F.count("*").alias("n")),
     "shown_authors": lambda c: D.replace_in_lists(c.records.where("authors is not null"), "authors", _ledger(c)).select("id", D.shown(F.col("authors")).alias("authors")),
-    "scrubbed_texts": lambda c: c.records.where("authors is not null").select("id", D.scrub(F.concat_ws(" ", F.lit("See"), "authors", F.lit("1999.")), ["Supplier#000000001", "Supplier#000000002", "Sup"], "gone").alias("text")),
-    "restored_lists": lambda c: D.restore(D.replace_in_lists(c.records.where("authors is not null"), "authors", _ledger(c).where("name = 'Supplier#000000005'")), "authors", "no such token", "x").select("id", "authors"),
+    "scrubbed_texts": lambda c: D.scrub(_references(c), "raw_reference", _ledger(c)).select("id", F.col("raw_reference").alias("text")),
+    "restored_lists": lambda c: _undone(c)["articles"].select("id", "authors"),
+    "restored_people": lambda c: _undone(c)["authors"],
+    "swept_tables": _swept,
+    "exported_ledger": _exported,
+    "clashing_tokens": lambda c: D.mint(_owing(c), _owing(c).where(F.col("name").endswith("4") | F.col("name").endswith("8")).select(F.concat(F.lit(D.PREFIX), F.substring(D.name_hash(F.col("name"), SALT), 1, 6)).alias("token")), SALT),
+    "books_intake": lambda c: P.upsert_books(c.books, c.books.where("record_type = 'book'").withColumn("doi", F.concat("doi", F.lit("x"))).withColumn("seq", F.lit(1)), _ledger(c)).where("doi like '%x'").select("id", "authors", "editors"),
+    "phrase_tags": _phrase_tags,
     "merged_ledger": lambda c: D.listing(D.merge_ledger(_ledger(c).select("token", "name", F.lit("2020").alias("removed_at")), c.people.select(F.concat(F.lit("other "), "orcid").alias("token"), "name", F.lit("2021").alias("removed_at")))),
     "request_steps": lambda c: _requests(c).groupBy("method", "status", "agrees", F.col("token_hash").isNotNull().alias("waiting")).agg(F.count("*").alias("n"), F.count("orcid").alias("with_orcid")),
     "open_enriched": lambda c: _enriched(c).groupBy("abstract", "oa_status", F.col("oa_url").isNotNull().alias("linked")).agg(F.count("*").alias("n")),
@@ -118,8 +180,19 @@ SQL = {
     "removed_people": with_sql("people", _TOKENS + " select coalesce(token, p.name) as name, case when token is null then institution end as institution, case when token is null then orcid end as orcid from people p left join k on k.name = p.name"),
     "removed_affiliations": with_sql("affiliations", _TOKENS + ", d as (select name, count(*) as n, count(distinct (id, place)) as d from affiliations group by 1) select coalesce(token, d.name) as name, case when token is null then n else d end as n from d left join k on k.name = d.name"),
     "shown_authors": "with x as (select 1)" + _TOKENS + " " + _LISTS.format("case when token is null then s_name else 'Name Redacted by Author Request' end"),
-    "scrubbed_texts": with_sql("records", "select id, 'See ' || replace(replace(authors, 'Supplier#000000001', 'gone'), 'Supplier#000000002', 'gone') || ' 1999.' as text from records where authors is not null"),
-    "restored_lists": "with k as (select s_name as name, 'Redacted Author ' || substr(sha256(lower(s_name) || '|salt'), 1, 6) as token from supplier where s_acctbal < 0 and s_name = 'Supplier#000000005') " + _LISTS.format("coalesce(token, s_name)"),
+    "scrubbed_texts": "with x as (select 1)" + _TOKENS + ", l as (" + _LISTS.format("coalesce(token, s_name)") + ") select id, 'See ' || authors || ' 1999.' as text from l",
+    "restored_lists": "with x as (select 1)" + _TOKENS + ", l as (" + _LISTS.format("case when s_name like '%3' then s_name else coalesce(token, s_name) end") + ") select o_orderkey as id, authors from orders join customer on c_custkey = o_custkey left join l on id = o_orderkey",
+    "restored_people": with_sql("people", _TOKENS + " select case when token is null or p.name like '%3' then p.name else token end as name, case when token is null then orcid end as orcid, case when token is null then institution end as institution_name from people p left join k on k.name = p.name"),
+    "swept_tables": with_sql("records books people affiliations", _TOKENS + """, o as (select l_orderkey as id from lineitem join supplier on l_suppkey = s_suppkey where s_acctbal < 0), b as (select distinct l_partkey as id from lineitem join supplier on l_suppkey = s_suppkey where s_acctbal < 0),
+        a as (select distinct id, name from affiliations), p as (select distinct id, name, place from affiliations)
+        select 'articles' as name, count(*) as n, count(*) filter (id in (from o)) as with_token, 0 as identified from records union all select 'books', count(*), count(*) filter (id in (from b)), 0 from books
+        union all select 'authors', count(*), count(*) filter (name in (select name from k)), 0 from people union all select 'author_article_affiliations', count(*), count(*) filter (name in (select name from k)), 0 from a
+        union all select 'article_author_institutions', count(*), count(*) filter (name in (select name from k)), 0 from p union all select 'citations', count(*), count(*) filter (id in (from o)), 0 from records where authors is not null"""),
+    "exported_ledger": "select s_name as name, 'Redacted Author ' || substr(sha256(lower(s_name) || '|salt'), 1, 6) as token, '[\"' || upper(s_name) || '\"]' as variants, sha256(lower(s_name) || '|salt') as name_hash from supplier where s_acctbal < 0",
+    "clashing_tokens": "select s_name as name, 'Redacted Author ' || substr(sha256(lower(s_name) || '|salt'), 1, case when s_name[-1] in ('4', '8') then 8 else 6 end) as token from supplier where s_acctbal < 0",
+    "books_intake": with_sql("books", _TOKENS + ", m as (select map(list(name), list(token)) as m from k) select id, array_to_string(list_transform(string_split(authors, '; '), lambda x: coalesce(m[x], x)), '; ') as authors, array_to_string(list_transform(string_split(editors, '; '), lambda x: coalesce(m[x], x)), '; ') as editors from books, m where record_type = 'book'"),
+    "phrase_tags": with_sql("records", """, v as (select distinct p_brand as tag, lower(p_name) as phrase from part), h as (select distinct id, tag from (select id, lower(concat(coalesce(title, ''), ' ', coalesce(abstract, ''))) as t from records) join v on contains(t, phrase))
+        select r.id, case when count(tag) > 0 then '|' || string_agg(tag, '|' order by tag) || '|' end as tags from records r left join h using (id) group by r.id"""),
     "merged_ledger": with_sql("people", _TOKENS + " select token, name, '2020' as removed_at from k union all select 'other ' || orcid, name, '2021' from people"),
     "request_steps": """with r as (select case when c_acctbal < 3000 then 'email' else 'orcid' end as method, case when c_acctbal < 1000 or c_acctbal >= 5000 then 'verified' else 'pending' end as status, case when c_acctbal >= 5000 then c_mktsegment = 'BUILDING' end as agrees, c_acctbal >= 1000 and c_acctbal < 3000 as waiting, c_acctbal >= 5000 as o from customer)
         select method, status, agrees, waiting, count(*) as n, count(*) filter (o) as with_orcid from r group by all""",

@@ -17,7 +17,7 @@ def _fetched(c):
 
 
 def _stubs(c):
-    r = c.records.withColumn("abstract", F.when(F.col("year") == 1996, F.concat(F.lit("Preview this article: "), "abstract")).otherwise(F.col("abstract")))
+    r = c.records.withColumn("abstract", F.when(F.col("year") == 1996, F.concat(F.when(F.col("source") == "O", "PREVIEW this Article: ").otherwise("Preview this article: "), "abstract")).otherwise(F.col("abstract")))
     return U.without_stubs(r.withColumn("work", F.when(F.col("source") != "P", F.col("url"))).withColumn("enriched_at", F.when(F.col("year") < 2000, F.col("fetched_at"))))
 
 
@@ -36,7 +36,7 @@ QUERIES = {
     "retagged": lambda c: U.retag(c.records, VOCABULARY).groupBy("tags").agg(F.count("*").alias("n")),
     "known_tags": lambda c: c.tags.groupBy(U.known_tag(F.concat(F.lit(" "), F.upper(F.element_at(F.split("tag", " "), 1))), {"cold": [], "large": []}).alias("known")).agg(F.count("*").alias("n")),
     "replaced_references": lambda c: U.replace_references(c.citations, _fetched(c)).groupBy("source").agg(F.count("*").alias("n"), F.count("target").alias("resolved")),
-    "deleted_references": lambda c: U.replace_references(c.citations, _fetched(c).where("source is null")).agg(F.count("*").alias("n")),
+    "deleted_references": lambda c: U.delete_references(c.citations, c.articles.where("source = 'F'").select(F.col("id").alias("source"))).groupBy("source").agg(F.count("*").alias("n"), F.count("target").alias("resolved")),
     "without_stubs": lambda c: _stubs(c).groupBy(F.col("abstract").isNull().alias("bare"), F.col("enriched_at").isNull().alias("again")).agg(F.count("*").alias("n")),
     "to_enrich": lambda c: U.to_enrich(_stubs(c)).select("id", "doi").limit(200),
     "changed_titles": lambda c: U.changed_titles(c.records, c.records.select(F.upper("doi").alias("doi"), F.when(F.col("year") > 1997, F.initcap("title")).otherwise(F.col("title")).alias("title")), "F"),
@@ -60,7 +60,7 @@ SQL = {
         select case when len(l) > 0 then '|' || array_to_string(l, '|') || '|' end as tags, count(*) as n from g group by 1"""),
     "known_tags": with_sql("tags", "select split_part(tag, ' ', 1) in ('cold', 'large') as known, count(*) as n from tags group by 1"),
     "replaced_references": with_sql("articles citations", ", f as (select c.source, c.ord, c.target, a.id is not null as again from citations c left join articles a on a.id = c.source and a.source = 'F'), m as (select source from f where again group by 1 having min(ord) < 3) select source, count(*) filter (not (again and source in (from m)) or ord < 3) as n, count(target) filter (not (again and source in (from m)) or ord < 3) as resolved from f group by 1"),
-    "deleted_references": with_sql("citations", "select count(*) as n from citations"),
+    "deleted_references": with_sql("articles citations", "select source, count(*) as n, count(target) as resolved from citations where source not in (select id from articles where source = 'F') group by 1"),
     "without_stubs": with_sql("records", _STUBS + " select abs is null as bare, enriched is null as again, count(*) as n from t group by all"),
     "to_enrich": with_sql("records", _STUBS + " select id, doi from t where doi is not null and enriched is null order by pub_date desc, id limit 200"),
     "changed_titles": with_sql("records", "select id, title, upper(title[1]) || split_part(title[2:], ' ', 1) || ' ' || upper(split_part(title, ' ', 2)[1]) || split_part(title, ' ', 2)[2:] as new_title from records where source = 'F' and doi is not null and year > 1997 and title is not null"),
