@@ -1,17 +1,18 @@
 """Embedding near-duplicates with randomised-rotation binary codes.
 
 A unit vector is rotated at random; the signs are its code, and how far the code's direction lies
-from the vector is a correction factor. Both are stored once for each vector, together with the
-rotated vector in steps of 1/127 of its largest component and the length of what that leaves out.
-<code(y), steps(x)> / factor(y) estimates the inner product of x and y without bias; the factor
-bounds the error of the code, the left-out length that of the steps. Pairs whose bound stays below
-the threshold are dropped on the codes alone. Full vectors are fetched only for members of the pairs
-left, which are then computed exactly in double precision.
+from the vector is a correction factor. Both are stored once for each vector. <code(y), x> / factor(y)
+estimates the inner product of x and y without bias, and the factor bounds its error.
 
 Pairs come from hash tables over sign bits of further rotations: two vectors at the threshold share
 a key of k bits with probability (1 - angle / pi) ** k, and the number of tables follows from the
 share of threshold pairs that may be missed, ``MISS``. Key width grows with the logarithm of the
-table, so that buckets keep their size. A pair counts only in the first table that both share.
+table, so that buckets keep their size. In the buckets lie the first ``SKETCH`` of those bits alone:
+each differs between two vectors with probability angle / pi, so pairs with more differing bits than
+pairs at the threshold have, but for a share ``MISS`` of them, are dropped, and so are pairs whose
+bits show a common key in an earlier table. Vectors are fetched only for members of the pairs left.
+There the estimate and its bound decide which pairs are computed exactly, in double precision. A pair
+counts only in the first table that both share.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ from citewright.operators.components import connected_components, spanning_fores
 from citewright.session import batch_rows, cut
 
 THRESHOLD = 0.95
-MISS = 1e-6  #: chance to miss a pair that lies exactly at the threshold
-BOUND = 5.0  #: error bound of an estimate, in its standard deviations
+MISS = 1e-6  #: chance that no table has a pair that lies exactly at the threshold, and again that its codes differ too much
+BOUND = 5.0  #: error bound of an estimate, in its standard deviations: 3e-7 of the pairs at the threshold lie beyond
+SKETCH = 256  #: sign bits that are compared in buckets
+BUCKET = 8  #: log2 of the members of a bucket, about
 BATCH_ROWS = 10_000
-BLOCK = 1024  #: members of a bucket in one block; larger buckets go as pairs of blocks
+BLOCK = 2048  #: members of a bucket in one block; larger buckets go as pairs of blocks
 SEED = 20240
 
 
 def tables_for(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """(bits of a key, number of tables) for ``rows`` distinct vectors."""
-    bits = min(max(round(math.log2(max(rows, 2))) - 3, 4), 48)
+    bits = min(max(round(math.log2(max(rows, 2))) - BUCKET, 4), 48)
     share = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - share)))
 
@@ -52,15 +55,34 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
-def sign_keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(rows, tables) keys from the sign bits of as many rotations as they need."""
+def sign_bits(unit: np.ndarray, count: int) -> np.ndarray:
+    """(rows, count) sign bits from as many rotations as they need."""
     dim = unit.shape[1]
-    signs = np.concatenate([unit @ rotation(dim, 1 + k).T > 0 for k in range(-(-bits * tables // dim))], axis=1)
-    signs = signs[:, : bits * tables].reshape(len(unit), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+    return np.concatenate([unit @ rotation(dim, 1 + k).T > 0 for k in range(-(-count // dim))], axis=1)[:, :count]
 
 
-CODE = "code binary, steps binary, factor double, scale double, slack double"
+def keys_of(signs: np.ndarray, bits: int) -> np.ndarray:
+    """(rows, tables) keys of ``bits`` sign bits each, in their order."""
+    tables = signs.shape[1] // bits
+    return signs[:, : bits * tables].reshape(len(signs), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def differing_bits(dim: int, threshold: float, miss: float = MISS) -> int:
+    """The most bits that codes of a pair at the threshold differ in, but for a share ``miss`` of the pairs."""
+    p = math.acos(min(threshold, 1.0)) / math.pi
+    if p <= 0:
+        return 0
+    log = math.log
+    terms = (math.lgamma(dim + 1) - math.lgamma(k + 1) - math.lgamma(dim - k + 1) + k * log(p) + (dim - k) * log(1 - p) for k in range(dim, -1, -1))
+    tail = 0.0
+    for k, term in zip(range(dim, -1, -1), terms, strict=True):
+        tail += math.exp(term)
+        if tail > miss:
+            return k
+    return 0
+
+
+CODE = "code binary, factor double"
 
 
 def encode(unit: np.ndarray) -> pd.DataFrame:
@@ -68,30 +90,38 @@ def encode(unit: np.ndarray) -> pd.DataFrame:
     dim = unit.shape[1]
     rotated = unit @ rotation(dim, 0).T
     signs = np.where(rotated > 0, 1.0, -1.0)
-    scale = np.abs(rotated).max(axis=1) / 127
-    steps = np.rint(rotated / scale[:, None]).astype(np.int8)
-    slack = np.sqrt(np.square(rotated - steps * scale[:, None]).sum(axis=1))
     packed = np.packbits(rotated > 0, axis=1)
     factor = np.maximum((signs * rotated).sum(axis=1) / math.sqrt(dim), 1e-6)
-    return pd.DataFrame({"code": [r.tobytes() for r in packed], "steps": [r.tobytes() for r in steps], "factor": factor, "scale": scale, "slack": slack})
+    return pd.DataFrame({"code": [r.tobytes() for r in packed], "factor": factor})
+
+
+def unpacked(codes: pd.Series, dim: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1), axis=1, count=dim)
 
 
 class Codes:
-    """Stored codes of vectors of one length, unpacked to compare them."""
+    """Codes of ``dim`` bits, unpacked to compare them; with factors and unit vectors also estimates."""
 
-    def __init__(self, pdf: pd.DataFrame, dim: int):
-        bits = np.unpackbits(np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1), axis=1, count=dim)
-        self.signs = (bits.astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
-        self.rotated = np.frombuffer(b"".join(pdf["steps"]), np.int8).reshape(len(pdf), dim) * pdf["scale"].to_numpy(np.float32)[:, None]
-        self.factor, self.slack = pdf["factor"].to_numpy(), pdf["slack"].to_numpy()
-        self.error = BOUND * np.sqrt(np.maximum(1 - self.factor**2, 0) / self.factor**2 / max(dim - 1, 1)) + 1e-5
+    def __init__(self, pdf: pd.DataFrame, dim: int, unit: np.ndarray | None = None):
+        self.signs = unpacked(pdf["code"], dim).astype(np.float32) * 2 - 1
+        self.dim, self.unit = dim, unit
+        if unit is not None:
+            self.rotated = (unit @ rotation(dim, 0).T).astype(np.float32)
+            self.factor = pdf["factor"].to_numpy()
+            self.error = BOUND * np.sqrt(np.maximum(1 - self.factor**2, 0) / self.factor**2 / max(dim - 1, 1)) + 1e-5
+
+    def _bound(self, dots: np.ndarray, b: np.ndarray | slice) -> np.ndarray:
+        return dots / (self.factor[b] * math.sqrt(self.dim)) + self.error[b]
 
     def may_reach(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-        estimate = np.einsum("ij,ij->i", self.signs[b], self.rotated[a]) / self.factor[b]
-        return estimate + self.error[b] + self.slack[a] / self.factor[b] >= threshold
+        if self.unit is None:
+            return np.einsum("ij,ij->i", self.signs[a], self.signs[b]) >= self.dim - 2 * differing_bits(self.dim, threshold)
+        return self._bound(np.einsum("ij,ij->i", self.rotated[a], self.signs[b]), b) >= threshold
 
     def block(self, a: slice, b: slice, threshold: float) -> np.ndarray:
-        return (self.rotated[a] @ self.signs[b].T + self.slack[a][:, None]) / self.factor[b] + self.error[b] >= threshold
+        if self.unit is None:
+            return self.signs[a] @ self.signs[b].T >= self.dim - 2 * differing_bits(self.dim, threshold)
+        return self._bound(self.rotated[a] @ self.signs[b].T, b) >= threshold
 
 
 GROUP = ["dim", "t", "key", "i", "j"]
@@ -117,9 +147,9 @@ def _by_group(work):
     return run
 
 
-def _pairs(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs inside groups whose bound reaches the threshold; of two blocks only pairs across."""
-    codes = Codes(pdf, int(pdf["dim"].iloc[0]))
+def _pairs(pdf: pd.DataFrame, threshold: float, unit: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs inside groups whose codes, or bounds where vectors are there, may reach the threshold; of two blocks only pairs across."""
+    codes = Codes(pdf, SKETCH if unit is None else unit.shape[1], unit)
     group, m = pdf[GROUP].to_numpy(), pdf["m"].to_numpy()
     new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
     size = np.diff(np.r_[new, len(pdf)])
@@ -148,32 +178,37 @@ def _pairs(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np
             yield fine(a[a < b], b[a < b])
 
 
-def _survivors(threshold: float):
-    """Members of groups that are in some pair whose bound reaches the threshold."""
+def _survivors(bits: int, threshold: float):
+    """Members of groups that are in some pair of close codes that no earlier table is seen to have."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, t = keys_of(unpacked(pdf["code"], SKETCH), bits), pdf["t"].to_numpy()
+        column = np.arange(keys.shape[1])
         alive = np.zeros(len(pdf), bool)
         for a, b in _pairs(pdf, threshold):
-            alive[a] = alive[b] = True
+            for k in range(0, len(a), 200_000):
+                x, y = a[k : k + 200_000], b[k : k + 200_000]
+                new = ~((keys[x] == keys[y]) & (column < t[x][:, None])).any(axis=1)
+                alive[x[new]] = alive[y[new]] = True
         return pdf.loc[alive, [*GROUP, "m", "node"]]
 
     return _by_group(work)
 
 
-def _links(bits: int, tables: int, threshold: float):
+def _links(bits: int, tables: int, threshold: float, stored: type):
     """Per node the partners' rows (kind 0: a, rows), and spanning edges (kind 1: a, b)."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         node, n, t = (pdf[c].to_numpy() for c in ("node", "n", "t"))
-        unit = units(np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(len(pdf), -1))
+        unit = units(np.frombuffer(b"".join(pdf["vector"]), stored).reshape(len(pdf), -1).astype(np.float64))
         found_rows, found_a, found_b = np.zeros(len(pdf), np.int64), [], []
-        for a, b in _pairs(pdf, threshold):
+        for a, b in _pairs(pdf, threshold, unit):
             close = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
             a, b = a[close], b[close]
             if not len(a):
                 continue
             rows, at = np.unique(np.r_[a, b], return_inverse=True)
-            keys = sign_keys(unit[rows], bits, tables)
+            keys = keys_of(sign_bits(unit[rows], bits * tables), bits)
             ka, kb = keys[at[: len(a)]], keys[at[len(a) :]]
             first = (ka == kb).argmax(axis=1) == t[a]  # a pair is this table's if no earlier one has it
             a, b = a[first], b[first]
@@ -209,9 +244,12 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     batch_rows(table.sparkSession, BATCH_ROWS)
+    single = table.schema[vector_col].dataType.elementType.typeName() == "float"  # stored as they are given
+    width = np.float32 if single else np.float64
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = cut(rows.withColumn("v", F.when(usable("v"), F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("h", F.xxhash64("v")), "vectors")
-    same = rows.where(F.col("v").isNotNull()).groupBy("h", "v").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+    rows = rows.withColumn("v", F.when(usable("v"), F.transform("v", lambda x: x + F.lit(0.0))))
+    rows = cut(rows.withColumn("h", F.unhex(F.sha2(F.col("v").cast("string"), 256))), "vectors")  # digests stand for vectors from here on
+    same = rows.where(F.col("v").isNotNull()).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.first("v").alias("v"))
     distinct = cut(same.withColumn("node", F.monotonically_increasing_id()), "distinct")
     total = distinct.count()
     bits, tables = tables_for(total, threshold)
@@ -223,28 +261,29 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                     own = part.iloc[k : k + 1000].reset_index(drop=True)
                     raw = np.stack(own["v"].to_list()).astype(np.float64)
                     unit = units(raw)
-                    columns = {"node": own["node"], "n": own["n"], "dim": np.int32(dim), "vector": [r.tobytes() for r in raw], "keys": list(sign_keys(unit, bits, tables))}
+                    signs = sign_bits(unit, max(bits * tables, SKETCH))
+                    columns = {"node": own["node"], "n": own["n"], "dim": np.int32(dim), "vector": [r.tobytes() for r in raw.astype(width)]}
+                    columns |= {"keys": list(keys_of(signs[:, : bits * tables], bits)), "sketch": [r.tobytes() for r in np.packbits(signs[:, :SKETCH], axis=1)]}
                     yield pd.concat([pd.DataFrame(columns), encode(unit)], axis=1)
 
-    codes = distinct.select("node", "n", "v").mapInPandas(stored, f"node long, n long, dim int, vector binary, keys array<long>, {CODE}")
+    codes = distinct.select("node", "n", "v").mapInPandas(stored, f"node long, n long, dim int, vector binary, keys array<long>, sketch binary, {CODE}")
     codes = cut(codes, "codes")  # one row per vector: its code, factor and keys
-    slim = ["node", "n", "code", "steps", "factor", "scale", "slack"]
-    keyed = codes.select("dim", *slim, F.posexplode("keys").alias("t", "key"))
-    sizes = cut(keyed.groupBy("dim", "t", "key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = keyed.join(sizes, ["dim", "t", "key"]).withColumn("m", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    keyed = codes.select("dim", "node", F.col("sketch").alias("code"), F.posexplode("keys").alias("t", "key"))
+    large = keyed.groupBy("dim", "t", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = keyed.join(cut(large, "buckets"), ["dim", "t", "key"], "left").withColumn("m", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("m", "o")).withColumn("j", F.greatest("m", "o"))
-    compared = placed.select(*GROUP, "m", *slim).repartition(*GROUP).sortWithinPartitions(*GROUP)
-    alive = cut(compared.mapInPandas(_survivors(threshold), "dim int, t int, key long, i int, j int, m int, node long"), "alive")
-    fetched = alive.join(codes.select(*slim, "vector"), "node").select(*GROUP, "m", *slim, "vector").repartition(*GROUP).sortWithinPartitions(*GROUP)
-    found = cut(fetched.mapInPandas(_links(bits, tables, threshold), "kind int, a long, b long"), "links")
+    compared = placed.select(*GROUP, "m", "node", "code").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    alive = cut(compared.mapInPandas(_survivors(bits, threshold), "dim int, t int, key long, i int, j int, m int, node long"), "alive")
+    fetched = alive.join(codes.select("node", "n", "code", "factor", "vector"), "node").select(*GROUP, "m", "node", "n", "code", "factor", "vector").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = cut(fetched.mapInPandas(_links(bits, tables, threshold, width), "kind int, a long, b long"), "links")
     partners = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("partners"))
     parts = connected_components(found.where("kind = 1").select("a", "b"))
-    joined = distinct.select("h", "v", "n", "rep", "node").join(partners, "node", "left").join(parts, "node", "left")
+    joined = distinct.select("h", "n", "rep", "node").join(partners, "node", "left").join(parts, "node", "left")
     joined = joined.withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = joined.join(least, "component").select("h", "v", (F.col("n") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), "component_id")
+    known = joined.join(least, "component").select("h", (F.col("n") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), "component_id")
     known = cut(known, "known")
-    out = rows.where(F.col("v").isNotNull()).join(known, ["h", "v"]).select("id", "n_links", "component_id")
+    out = rows.where(F.col("v").isNotNull()).select("h", "id").join(known, "h").select("id", "n_links", "component_id")
     alone = rows.where(F.col("v").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

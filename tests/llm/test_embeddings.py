@@ -53,13 +53,29 @@ def test_estimates_are_unbiased_and_bounded():
     x = embeddings.units(rng.standard_normal((1, 64)))
     errors = []
     y = embeddings.units(x + rng.standard_normal((4000, 64)) * 0.05)
-    stored = embeddings.encode(np.concatenate([x, y]))
-    assert stored["code"].map(len).eq(8).all() and stored["steps"].map(len).eq(64).all()
-    codes = embeddings.Codes(stored, 64)
-    estimate = (codes.signs[1:] @ codes.rotated[0]) / codes.factor[1:]
+    every = np.concatenate([x, y])
+    stored = embeddings.encode(every)
+    assert stored["code"].map(len).eq(8).all()
+    codes = embeddings.Codes(stored, 64, every)
+    estimate = (codes.signs[1:] @ codes.rotated[0]) / codes.factor[1:] / 8
     errors = estimate - (y @ x[0])
     assert abs(errors.mean()) < 0.05
-    assert (np.abs(errors) <= codes.error[1:] + codes.slack[0] / codes.factor[1:]).all()
+    assert (np.abs(errors) <= codes.error[1:]).all()
+
+
+def test_differing_bits_of_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    dim, n = 64, 40_000
+    x, z = embeddings.units(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    side = embeddings.units(z - np.einsum("ij,ij->i", z, x)[:, None] * x)
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * side
+    count = embeddings.SKETCH
+    bits = (embeddings.sign_bits(x, count) != embeddings.sign_bits(y, count)).sum(axis=1)
+    most = embeddings.differing_bits(count, 0.95)
+    assert bits.max() <= most < 60 and abs(bits.mean() - count * math.acos(0.95) / math.pi) < 0.2
+    dim = count
+    assert (bits > embeddings.differing_bits(dim, 0.95, 1e-2)).mean() < 1e-2 < (bits > embeddings.differing_bits(dim, 0.95, 1e-2) - 2).mean()
+    assert embeddings.differing_bits(4, 1.0) == 0 and embeddings.differing_bits(4, 0.95) == 4
 
 
 def test_recall_at_the_threshold(spark):
