@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewright.functions.values import ordinal
-from citewright.session import cut
+from citewright.session import Tables, cut
 
 
 def undirected(links: DataFrame, a: str = "source", b: str = "target") -> DataFrame:
@@ -33,44 +33,48 @@ def modularity(arcs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> f
 def _moves(arcs: DataFrame, resolution: float, rounds: int, rise: float) -> tuple[DataFrame, float, float]:
     """Labels after rounds in which half of the nodes, by hash, move to their best neighbour's label.
 
-    Two rounds make a sweep that lets each node move once. The search ends when modularity rises by
-    no more than ``rise`` in three rounds running, which hold a sweep; ``rounds`` without that are an
-    error. A round's table also holds what its starting labels' modularity needs, so that scoring them is
-    a sum over that table.
+    Two rounds make a sweep that lets each node move once. The search ends when modularity, summed over the
+    parts of the graph, rises by no more than ``rise`` in three rounds running, which hold a sweep; ``rounds``
+    without that are an error. A round's table also holds what its starting labels' modularity needs, so that
+    scoring them is a sum over that table. Superseded tables are deleted.
     """
-    labels = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "labels")
-    whole = labels.agg(F.sum("k")).first()[0]
-    loops = arcs.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    across = arcs.where("a <> b")
-    kept, start, value, worse = labels, None, float("-inf"), 0
+    spark = arcs.sparkSession
+    tables = Tables(spark)
+    labels = tables.put(arcs.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"), F.max("whole").alias("whole")).withColumn("c", F.col("id")), "labels")
+    loops = arcs.where("a = b").agg(F.coalesce(F.sum(F.col("w") / F.col("whole")), F.lit(0.0))).first()[0]
+    across = arcs.where("a <> b").select("a", "b", "w")
+    kept, kept_table, last, start, value, worse = labels, labels, labels, None, float("-inf"), 0
     for k in range(rounds):
         total = labels.groupBy("c").agg(F.sum("k").alias("t"), F.count("*").alias("size"))
-        mine = labels.join(total.select("c", F.col("size").alias("own_size")), "c").select(F.col("id").alias("a"), F.col("c").alias("own"), "k", "own_size")
+        mine = labels.join(total.select("c", F.col("size").alias("own_size")), "c").select(F.col("id").alias("a"), F.col("c").alias("own"), "k", "whole", "own_size")
         near = across.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
         near = near.unionByName(labels.select(F.col("id").alias("a"), "c", F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
         seen = near.join(total, "c").join(mine, "a")
         same = F.col("c") == F.col("own")
         # two single nodes would swap for ever: only the one with the larger label moves
         seen = seen.where(same | (F.col("own_size") > 1) | (F.col("size") > 1) | (F.col("c") < F.col("own")))
-        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(same, F.col("k")).otherwise(0.0)) / whole, 9)
-        best = seen.groupBy("a", "own", "k").agg(
-            F.max_by("c", F.struct(gain.alias("gain"), same.alias("same"), -F.col("c"))).alias("best"),
+        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("t") - F.when(same, F.col("k")).otherwise(0.0)) / F.col("whole"), 9)
+        best = seen.groupBy("a", "own", "k", "whole").agg(
+            F.min_by("c", F.struct((-gain).alias("loss"), (~same).alias("other"), F.col("c"))).alias("best"),
             F.max(F.when(same, F.col("w"))).alias("inside"), F.max(F.when(same, F.col("t"))).alias("t"),
         )
         turn = F.pmod(F.xxhash64("a", F.lit(k // 2)), F.lit(2)) == k % 2
-        moved = cut(best.select(F.col("a").alias("id"), "k", "own", "inside", "t", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "labels")
-        inside, square = moved.agg(F.sum("inside"), F.sum(F.col("k") * F.col("t"))).first()
-        now = (inside + loops) / whole - resolution * square / (whole * whole) if whole else 0.0
+        moved = tables.put(best.select(F.col("a").alias("id"), "k", "whole", "own", "inside", "t", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("c")), "labels")
+        inside, square = moved.agg(F.sum(F.col("inside") / F.col("whole")), F.sum(F.col("k") * F.col("t") / (F.col("whole") * F.col("whole")))).first()
+        now = inside + loops - resolution * square if inside is not None else 0.0
         start = now if start is None else start
         worse = 0 if now > value + rise else worse + 1
+        for old in {id(t): t for t in (last, kept_table) if t is not kept_table or now > value}.values():
+            tables.drop(old)
+        last = moved
         if now > value:
-            kept, value = moved.select("id", F.col("own").alias("c")), now
+            kept, kept_table, value = moved.select("id", F.col("own").alias("c")), moved, now
         if worse == 3:
             break
-        labels = moved.select("id", "k", "c")
+        labels = moved.select("id", "k", "whole", "c")
     else:
         raise ValueError(f"modularity still rises after {rounds} rounds")
-    return kept.select("id", "c"), start, value
+    return tables.keep(kept.select("id", "c"), "moves"), start, value
 
 
 def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 1000, levels: int = 100, rise: float = 1e-9) -> DataFrame:
@@ -80,7 +84,15 @@ def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 1000, le
     ends when modularity rises by no more than ``rise`` in three rounds running, then communities become the nodes of the
     next level, until a level adds no more than ``rise``. ``rounds`` and ``levels`` only bound the search: to reach one is
     an error. Deterministic; the best labels found count, so modularity never falls.
+
+    Arcs with a column ``part``, of which no link joins two, are graphs of their own that share the rounds:
+    each is searched by its own total weight. Nodes may be longs or structs such as (window, id).
     """
+    if "part" in arcs.columns:
+        totals = arcs.groupBy("part").agg(F.sum("w").alias("whole"))
+        arcs = arcs.join(totals, "part").select("a", "b", "w", "whole")
+    else:
+        arcs = arcs.select("a", "b", "w").crossJoin(F.broadcast(arcs.agg(F.sum("w").alias("whole"))))  # one row
     arcs = cut(arcs, "arcs")
     member, level = arcs.select(F.col("a").alias("id")).distinct().withColumn("c", F.col("id")), arcs
     for _ in range(levels):
@@ -90,11 +102,40 @@ def communities(arcs: DataFrame, resolution: float = 1.0, rounds: int = 1000, le
         up = labels.select(F.col("id").alias("c"), F.col("c").alias("up"))
         member = cut(member.join(up, "c").select("id", F.col("up").alias("c")), "member")
         x, y = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        level = cut(level.join(x, "a").join(y, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "level")
+        level = cut(level.join(x, "a").join(y, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w"), F.max("whole").alias("whole")), "level")
     name = member.groupBy("c").agg(F.min("id").alias("name"))
     return member.join(name, "c").select("id", F.col("name").alias("c"))
 
 
+def part_modularity(arcs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(part, communities, modularity) of ``labels(id, c)`` over ``arcs(part, a, b, w)``."""
+    x, y = labels.select(F.col("id").alias("a"), F.col("c").alias("ca")), labels.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+    by = arcs.join(x, "a").join(y, "b").groupBy("part", "ca").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("own"))
+    sums = by.groupBy("part").agg(F.count("*").alias("communities"), F.sum("own").alias("own"), F.sum(F.col("k") * F.col("k")).alias("square"), F.sum("k").alias("whole"))
+    return sums.select("part", "communities", (F.col("own") / F.col("whole") - resolution * F.col("square") / (F.col("whole") * F.col("whole"))).alias("modularity"))
+
+
+STOP = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "its", "into", "their", "our", "not", "but", "how", "what", "who", "why", "can", "all", "between", "through", "toward", "towards", "about", "using")
+
+
+def topics(labels: DataFrame, titles: DataFrame, top: int = 5, least: int = 2, stop: tuple[str, ...] = STOP) -> DataFrame:
+    """(c, place, word, score): the words that tell a community from the rest.
+
+    Words have three letters or more; one counts if the titles of a community hold it ``least`` times. Its
+    score is that count over the community's size, times the root of all titles over all counts of the word.
+    Communities of one node have no topics; ties go by the word.
+    """
+    known = labels.join(titles.select("id", F.lower(F.coalesce("title", F.lit(""))).alias("t")), "id")
+    words = known.select("c", F.explode(F.regexp_extract_all("t", F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).where(~F.col("word").isin(*stop))
+    counts = words.groupBy("c", "word").agg(F.count("*").alias("n"))
+    everywhere = counts.groupBy("word").agg(F.sum("n").alias("every"))
+    size = labels.groupBy("c").agg(F.count("*").alias("size")).where("size > 1")
+    docs = labels.agg(F.count("*").alias("docs"))  # one row
+    scored = counts.where(F.col("n") >= least).join(everywhere, "word").join(size, "c").crossJoin(F.broadcast(docs))
+    scored = scored.withColumn("score", F.round(F.col("n") / F.col("size") * F.sqrt(F.col("docs") / F.col("every")), 6))
+    return scored.withColumn("place", ordinal(F.desc("score"), F.col("word"), by=("c",))).where(F.col("place") <= top).select("c", "place", "word", "score")
+
+
 def walls_bridges(arcs: DataFrame, labels: DataFrame, least: int = 5, top: int = 25) -> DataFrame:
     """The largest communities by how far their links stay inside, with the quarter they fall in."""
     x, y = labels.select(F.col("id").alias("a"), "c"), labels.select(F.col("id").alias("b"), F.col("c").alias("other"))
@@ -118,12 +159,21 @@ def carried_over(before: DataFrame, after: DataFrame, shared: int = 2, least: fl
     return found.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
 
 
-def over_decades(edges: DataFrame, shared: int = 2, least: float = 0.05) -> DataFrame:
-    """(decade, a, b, shared, jaccard): ``carried_over`` from each decade of ``sy`` to the next one found, by the earlier decade."""
-    edges = cut(edges.where("sy is not null").withColumn("decade", F.floor(F.col("sy") / 10) * 10), "decades")
-    found = sorted(r["decade"] for r in edges.select("decade").distinct().collect())  # one row a decade
-    maps = [communities(undirected(edges.where(F.col("decade") == d))) for d in found] if len(found) > 1 else []
-    out = edges.sparkSession.createDataFrame([], "decade long, a long, b long, shared long, jaccard double")
-    for d, before, after in zip(found, maps, maps[1:]):
-        out = out.unionByName(carried_over(before, after, shared, least).withColumn("decade", F.lit(d).cast("long")))
-    return out
+def over_decades(edges: DataFrame, shared: int = 2, least: float = 0.05, width: int = 10) -> DataFrame:
+    """(decade, a, b, shared, jaccard): ``carried_over`` from each decade of ``sy`` to the next one found, by the earlier decade.
+
+    The networks of all decades, or spans of ``width`` years, are searched together.
+    """
+    placed = cut(edges.where("sy is not null").withColumn("part", (F.floor(F.col("sy") / width) * width).cast("long")).select("part", "source", "target"), "decades")
+    node = lambda c: F.struct("part", F.col(c).alias("id"))
+    arcs = undirected(placed.select(node("source").alias("source"), node("target").alias("target")))
+    labels = cut(communities(arcs.withColumn("part", F.col("a.part"))), "maps")
+    spans = placed.select("part").distinct()  # a row per span
+    follows = spans.select("part", F.lead("part").over(Window.orderBy("part")).alias("next")).where("next is not null")
+    own = labels.select(F.col("id.part").alias("part"), F.col("id.id").alias("id"), F.col("c.id").alias("c"))
+    x = own.join(F.broadcast(follows), "part").select(F.col("part").alias("decade"), "next", "id", F.col("c").alias("a"))
+    y = own.select(F.col("part").alias("next"), "id", F.col("c").alias("b"))
+    na, nb = x.groupBy("decade", "a").agg(F.count("*").alias("na")), y.groupBy("next", "b").agg(F.count("*").alias("nb"))
+    both = x.join(y, ["next", "id"]).groupBy("decade", "next", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared)
+    found = both.join(na, ["decade", "a"]).join(nb, ["next", "b"]).withColumn("jaccard", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
+    return found.where(F.col("jaccard") >= least).select("decade", "a", "b", "shared", "jaccard")

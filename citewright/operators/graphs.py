@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewright.operators.communities import communities, part_modularity
 from citewright.operators.components import connected_components
-from citewright.session import cut
+from citewright.session import Tables, cut
 
 
 def pagerank(links: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-11, most: int = 500) -> DataFrame:
@@ -141,3 +142,58 @@ def closed_links(pairs: DataFrame) -> DataFrame:
     ranked = pairs.join(ka, "a").join(kb, "b").select(F.least("ka", "kb")["v"].alias("lo"), F.greatest("ka", "kb").alias("hi"))
     wedge = ranked.alias("x").join(ranked.alias("y"), "lo").where("x.hi < y.hi").select(F.least("x.hi.v", "y.hi.v").alias("a"), F.greatest("x.hi.v", "y.hi.v").alias("b"))
     return wedge.groupBy("a", "b").agg((3 * F.count("*")).alias("thirds")).join(pairs, ["a", "b"], "left_semi")
+
+
+def window_paths(edges: DataFrame, width: int = 1, exact: int = 1500, pivots: int = 256) -> DataFrame:
+    """(window, largest, pairs, mean_path): mean shortest path within the largest component of each window.
+
+    A node belongs to the window of its year, so windows share no nodes and all searches, from every node of
+    every largest component, go level by level together: as many rounds as the widest component has
+    levels. Of components with more than ``exact`` nodes ``pivots`` nodes, chosen by hash, start searches.
+    Of components of equal size that with the smallest node counts; under 3 nodes there is no mean.
+    """
+    window = lambda y: (F.floor(F.col(y) / width) * width).cast("int")
+    tables = Tables(edges.sparkSession)
+    placed = edges.dropna(subset=["source", "target", "sy", "ty"]).select("source", "target", window("sy").alias("sw"), window("ty").alias("tw")).where("sw = tw and source <> target")
+    inside = tables.put(placed.select("sw", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct(), "inside")
+    parts = connected_components(inside.select("a", "b"))
+    nodes = inside.select(F.col("sw").alias("w"), F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node")
+    sizes = nodes.groupBy("w", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("w").agg(F.min(F.struct((-F.col("size")).alias("size"), "component")).alias("m")).select("w", "m.component", (-F.col("m.size")).alias("size")).where("size >= 3")
+    own = tables.put(nodes.join(largest, ["w", "component"]).select("w", F.col("node").alias("id"), "size"), "largest")
+    few = F.row_number().over(Window.partitionBy("w").orderBy(F.xxhash64("id"), "id")) <= pivots
+    starts = own.where(F.col("size") <= exact).select("w", "id").union(own.where(F.col("size") > exact).withColumn("few", few).where("few").select("w", "id"))
+    arcs = tables.put(inside.select(F.col("a").alias("id"), F.col("b").alias("to")).union(inside.select("b", "a")), "arcs")
+    level = tables.put(starts.select("w", F.col("id").alias("pivot"), "id"), "level")
+    seen, far, counts = level, 0, []
+    while True:
+        ahead = level.join(arcs, "id").select("w", "pivot", F.col("to").alias("id")).distinct()
+        level = tables.put(ahead.join(seen, ["w", "pivot", "id"], "left_anti"), "level")
+        far += 1
+        found = level.groupBy("w").agg(F.count("*").alias("n")).collect()  # a row per window
+        if not found:
+            break
+        counts += [(r["w"], far, r["n"]) for r in found]
+        seen = seen.unionByName(level)
+    sums = edges.sparkSession.createDataFrame(counts, "w int, far int, n long").groupBy("w").agg(F.sum("n").alias("pairs"), F.sum(F.col("far") * F.col("n")).alias("steps"))
+    return tables.keep(largest.join(sums, "w").select(F.col("w").alias("window"), F.col("size").alias("largest"), "pairs", F.round(F.col("steps") / F.col("pairs"), 3).alias("mean_path")), "window-paths")
+
+
+def window_arcs(edges: DataFrame, width: int = 1) -> DataFrame:
+    """(part, a, b, w): the links inside each window once in both directions, for community search."""
+    window = lambda y: (F.floor(F.col(y) / width) * width).cast("int")
+    placed = edges.dropna(subset=["source", "target", "sy", "ty"]).select("source", "target", window("sy").alias("part"), window("ty").alias("tw")).where("part = tw and source <> target")
+    pairs = placed.select("part", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct().withColumn("w", F.lit(1.0))
+    return pairs.unionByName(pairs.select("part", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+def window_modularity(edges: DataFrame, width: int = 1, nodes: int = 10, links: int = 5) -> DataFrame:
+    """(window, communities, modularity) of each window's network, all searched together.
+
+    Windows with fewer than ``nodes`` linked nodes or ``links`` links, or one community, are left out.
+    """
+    arcs = cut(window_arcs(edges, width), "arcs")
+    enough = arcs.groupBy("part").agg(F.countDistinct("a").alias("n"), (F.count("*") / 2).alias("m")).where((F.col("n") >= nodes) & (F.col("m") >= links))
+    kept = cut(arcs.join(enough.select("part"), "part", "left_semi"), "arcs")
+    found = part_modularity(kept, communities(kept))
+    return found.where("communities > 1").select(F.col("part").alias("window"), "communities", F.round("modularity", 4).alias("modularity"))

@@ -257,13 +257,24 @@ _add("window_metrics", lambda c: G.window_metrics(_edges(c)), "edges",
      select w as window, n as nodes, coalesce(m, 0) as links, round(case when n > 1 then 2.0::double * coalesce(m, 0) / (n * (n - 1)) else 0 end, 9) as density, round(2.0::double * coalesce(m, 0) / n, 6) as mean_degree, round(case when t > 0 then 3.0::double * coalesce(q, 0) / t else 0 end, 6) as transitivity,
      (n - coalesce(within, 0) + coalesce(joined, 0))::bigint as components, greatest(coalesce(largest, 0), 1) as largest, (sum(n) over (order by w))::bigint as all_nodes, (sum(coalesce(l, 0)) over (order by w))::bigint as all_links
      from b left join m using (w) left join t using (w) left join q using (w) left join k using (w) left join l using (w)""", recursive=True)
+_add("window_paths", lambda c: G.window_paths(_edges(c)), "edges",
+     """, e as (select distinct sy as w, least(source, target) as a, greatest(source, target) as b from edges where sy = ty and source <> target), u as materialized (select w, a, b from e union select w, b, a from e),
+     c(node, seen) as (select a, a from u union select c.node, u.b from c join u on u.a = c.seen), k as (select node, min(seen) as c from c group by 1), s as (select w, c, count(*) as size from (select distinct w, a from u) join k on node = a group by all),
+     m as (select w, arg_min(c, (-size, c)) as c, max(size) as size from s group by 1 having max(size) >= 3), n as materialized (select w, a as id, size from (select distinct w, a from u) join k on node = a join m using (w, c)),
+     r(p, n, d) using key (p, n) as (select id, id, 0 from n union select l.p, u.b, min(l.d) + 1 from r l join u on u.a = l.n left join recurring.r o on o.p = l.p and o.n = u.b where o.p is null group by all)
+     select w as window, any_value(size) as largest, count(*) as pairs, round(sum(d)::double / count(*), 3) as mean_path from r join n on n.id = r.p where d > 0 group by w""", recursive=True)
+_add("window_modularity", lambda c: G.window_modularity(_edges(c)))
+_add("journal_topics", lambda c: N.topics(c.records.where("title is not null").select("id", F.col("journal").alias("c")), c.records.select("id", F.concat_ws(" ", "title", "abstract").alias("title"))), "records",
+     """, l as (select id, journal as c, lower(concat_ws(' ', title, abstract)) as t from records where title is not null), k as (select c, word, count(*) as n from (select c, unnest(regexp_extract_all(t, '[a-z]{3,}')) as word from l) where word <> 'not' group by all),
+     e as (select word, sum(n) as every from k group by 1), s as (select c, count(*) as size from l group by 1 having count(*) > 1), z as (select *, round(n::double / size * sqrt((select count(*) from l)::double / every::double), 6) as score from k join e using (word) join s using (c) where n >= 2)
+     select c, place, word, score from (select *, row_number() over (partition by c order by score desc, word)::int as place from z) where place <= 5""")
 _add("betweenness", lambda c: G.betweenness(C.network_links(c.articles, c.citations, 1, 600)).select("id", F.round("score", 9).alias("score")))
 _add("betweenness_all", lambda c: G.undirected_betweenness(C.resolved(c.citations)).select("id", F.round("score", 9).alias("score")))
 _add("border_crossers", lambda c: _crossers(_edges(c)))
 _add("communities", lambda c: N.communities(_arcs(c)))
 _add("walls_bridges", lambda c: N.walls_bridges(_arcs(c), N.communities(_arcs(c))))
 _add("two_maps", lambda c: T.agreement(N.communities(_arcs(c)).join(N.communities(N.weighted(C.coupling(c.citations, 2))).withColumnRenamed("c", "k"), "id"), "c", "k"))
-_add("communities_time", lambda c: N.over_decades(_edges(c)))
+_add("communities_time", lambda c: N.over_decades(_edges(c), least=0.01, width=2))
 # streams; append mode holds back what a later event could still change, update mode gives it as it is; sessions can't be updated, so they run in complete mode
 _add("stream_tumbling", lambda c: S.drain(S.windowed(S.read_events(c.spark, c.sf_dir), "1 day"), "update", ["start", "event_type"]), "",
      "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

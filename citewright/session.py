@@ -74,6 +74,37 @@ def expire(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(where)
 
 
+class Tables:
+    """Tables of one computation, each deleted when it is superseded and all of them when it ends."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
+        """``df`` written and read again; the table ``instead_of`` goes."""
+        path = shared_path(self.spark, label)
+        df.write.parquet(path)
+        expire(self.spark, path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        if instead_of is not None:
+            self.drop(instead_of)
+        self.held.append((table, path))
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        for path in [p for t, p in self.held if t is table]:
+            drop_path(self.spark, path)
+        self.held = [(t, p) for t, p in self.held if t is not table]
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` as the last table; all others go."""
+        out = self.put(df, label)
+        for _, path in self.held[:-1]:
+            drop_path(self.spark, path)
+        return out
+
+
 def batch_rows(spark: SparkSession, rows: int) -> None:
     """Rows that Spark hands to Python at a time: few where rows hold whole texts.
 
