@@ -27,14 +27,18 @@ def _office(c):
     return c.placed.join(c.works.select("work", "journal", (F.col("type") == "PROMO").alias("book")), "work").select("name", "journal", "place", "book")
 
 
-def _submitted(c):
+def submitted(c):
     """Readers' submissions on articles; known tags come from purchases, decisions from dear signups."""
     v = c.votes
     asked = v.where("tag <> 'purchase'").select("article", F.lower("tag").alias("tag"), F.col("voter").alias("client"), "at", "seq")
     known = v.where("tag = 'purchase' and vote > 0").select("article", F.lit("error").alias("tag"))
     decided = c.table("events").where("event_type = 'signup' and value > 60").select(
         F.get_json_object("props", "$.k").try_cast("long").alias("article"), F.lit("view").alias("tag"), F.when(F.col("value") > 80, "approved").otherwise("rejected").alias("status"), F.col("ts").alias("at"))
-    return D.submissions(asked, known, decided)
+    return asked, known, decided
+
+
+def _submitted(c):
+    return D.submissions(*submitted(c))
 
 
 def _audit(c):

@@ -16,7 +16,7 @@ from citewright.operators import merging as M
 from citewright.operators import records as R
 from citewright.operators import statistics as T
 from citewright.operators.components import connected_components
-from citewright.plans import chapters, cleaning, pages, panes, paths, people, press, search, upkeep
+from citewright.plans import chapters, cleaning, pages, panes, paths, people, press, search, streams, upkeep
 from citewright.plans.tables import GROUPS, Corpus, with_sql
 from citewright.sources import exports as E
 from citewright.sources import works as W
@@ -275,20 +275,17 @@ _add("communities", lambda c: N.communities(_arcs(c)))
 _add("walls_bridges", lambda c: N.walls_bridges(_arcs(c), N.communities(_arcs(c))))
 _add("two_maps", lambda c: T.agreement(N.communities(_arcs(c)).join(N.communities(N.weighted(C.coupling(c.citations, 2))).withColumnRenamed("c", "k"), "id"), "c", "k"))
 _add("communities_time", lambda c: N.over_decades(_edges(c), least=0.01, width=2))
-# streams; append mode holds back what a later event could still change, update mode gives it as it is; sessions can't be updated, so they run in complete mode
+# streams; append mode holds back what a later event could still change, update mode gives it as it is
 _add("stream_tumbling", lambda c: S.drain(S.windowed(S.read_events(c.spark, c.sf_dir), "1 day"), "update", ["start", "event_type"]), "",
      "select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 _add("stream_sliding", lambda c: S.drain(S.windowed(S.read_events(c.spark, c.sf_dir), "2 days", "1 day"), "update", ["start", "event_type"]), "",
      "select start, event_type, count(*) as n, round(sum(value), 4) as total from (select time_bucket(interval 1 day, ts) - interval (k) day as start, event_type, value from events, (select unnest([0, 1]) as k)) group by 1, 2")
-_add("stream_sessions", lambda c: S.drain(S.sessions(S.read_events(c.spark, c.sf_dir), "6 hours"), "complete"), "",
-     """with g as (select *, ts - lag(ts) over (partition by user_id order by ts) > interval 6 hour as cut from events), s as (select *, sum(coalesce(cut, true)::int) over (partition by user_id order by ts, event_id) as k from g)
-     select user_id, min(ts) as start, max(ts) + interval 6 hour as end, count(*) as n from s group by user_id, k""")
 _add("stream_latest", lambda c: S.drain(S.latest(S.read_events(c.spark, c.sf_dir)), "update", ["user_id", "event_type"]), "", "select user_id, event_type, arg_max(value, (ts, event_id)) as value, count(*) as n from events group by 1, 2")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES | search.QUERIES | paths.QUERIES | panes.QUERIES).items()}
+    return {name: (lambda spark, sf_dir, run=run: run(Corpus(spark, sf_dir))) for name, run in (_queries | people.QUERIES | press.QUERIES | pages.QUERIES | chapters.QUERIES | cleaning.QUERIES | upkeep.QUERIES | search.QUERIES | paths.QUERIES | panes.QUERIES | streams.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL | search.SQL | paths.SQL | panes.SQL
+    return _sql | people.SQL | press.SQL | pages.SQL | chapters.SQL | cleaning.SQL | upkeep.SQL | search.SQL | paths.SQL | panes.SQL | streams.SQL

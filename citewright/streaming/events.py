@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -49,6 +52,30 @@ def drain(stream: DataFrame, mode: str = "append", keys: list[str] | None = None
     return last.select("row.*")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside the block and goes back after it."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def in_parts(rows: DataFrame, slices: list[tuple[F.Column, str]], label: str) -> DataFrame:
+    """``rows`` as a stream that gets a file at a time: a file for each (condition, name), in that order."""
+    spark = rows.sparkSession
+    path = shared_path(spark, label)
+    for condition, name in slices:
+        rows.where(condition).coalesce(1).write.parquet(f"{path}/{name}")
+    expire(spark, path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     n = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
