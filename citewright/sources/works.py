@@ -56,14 +56,19 @@ def deposited_works(spark: SparkSession, path: str, wrapped: bool = True) -> Dat
         works = spark.read.schema(page).json(path, multiLine=True).select(F.explode("message.items").alias("w")).select("w.*")
     else:
         works = spark.read.schema(work).json(path)
+    return works.select(*work_columns())
+
+
+def work_columns() -> list[Column]:
+    """The columns of ``deposited_works`` over those of ``WORK``."""
     date = F.coalesce(*(date_of(F.try_element_at(F.col(f"`{c}`")["date-parts"], F.lit(1))) for c in ("published-print", "published-online", "issued", "published")))
     first = lambda c: F.try_element_at(c, F.lit(1))
     isbn = F.coalesce(first(F.filter("ISBN", lambda x: F.length(x) == 13)), first(F.col("ISBN")))
-    return works.select(
+    return [
         clean_doi(F.col("DOI")).alias("doi"), full_title(first(F.col("title")), first(F.col("subtitle"))).alias("title"), names(F.col("author")).alias("authors"),
         empty_to_null(strip_tags(F.col("abstract"))).alias("abstract"), date.alias("pub_date"), first(F.col("`container-title`")).alias("journal"), F.col("URL").alias("url"),
-        "type", isbn.alias("isbn"), "reference",
-    )
+        F.col("type"), isbn.alias("isbn"), F.col("reference"),
+    ]
 
 
 def references(works: DataFrame) -> DataFrame:
@@ -133,15 +138,19 @@ def short_abstract(text: Column, least: int = 80, most: int = 2000) -> Column:
 
 def oai_records(spark: SparkSession, path: str, journal: str) -> DataFrame:
     """Dublin Core records of OAI harvests (XML); records without a title or an author are wrappers."""
-    rows = spark.read.format("xml").options(rowTag="record", ignoreNamespace="true").schema(f"metadata struct<dc: struct<{_nested(DC)}>>").load(path).select("metadata.dc.*")
+    rows = spark.read.format("xml").options(rowTag="record", ignoreNamespace="true").schema(f"metadata struct<dc: struct<{nested(DC)}>>").load(path).select("metadata.dc.*")
+    return rows.select(*dublin_core(F.lit(journal))).where("title is not null and authors is not null")
+
+
+def dublin_core(journal: Column) -> list[Column]:
+    """Article columns over those of ``DC``."""
     first = lambda c: F.try_element_at(c, F.lit(1))
     doi = first(F.filter(F.transform("identifier", doi_in), lambda d: d.isNotNull()))
     url = first(F.filter("identifier", lambda x: x.startswith("http")))
-    rows = rows.select(
+    return [
         doi.alias("doi"), empty_to_null(strip_tags(F.col("title"))).alias("title"), empty_to_null(F.array_join(F.transform("creator", lambda x: F.trim(x)), "; ")).alias("authors"),
-        short_abstract(first(F.col("description"))).alias("abstract"), iso_date(first(F.col("date"))).alias("pub_date"), F.lit(journal).alias("journal"), url.alias("url"),
-    )
-    return rows.where("title is not null and authors is not null")
+        short_abstract(first(F.col("description"))).alias("abstract"), iso_date(first(F.col("date"))).alias("pub_date"), journal.alias("journal"), url.alias("url"),
+    ]
 
 
 def feed_items(spark: SparkSession, path: str, journal: str) -> DataFrame:
@@ -244,5 +253,5 @@ def atom_entries(spark: SparkSession, path: str, journal: str) -> DataFrame:
     )
 
 
-def _nested(ddl: str) -> str:
+def nested(ddl: str) -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (part.split(" ") for part in ddl.split(", ")))
