@@ -20,6 +20,7 @@ from citewright.plans import chapters, cleaning, pages, panes, paths, people, pr
 from citewright.plans.tables import GROUPS, Corpus, with_sql
 from citewright.sources import exports as E
 from citewright.sources import works as W
+from citewright.sources.contents import Rule, contents_entries
 from citewright.streaming import events as S
 
 VOCABULARY = {"travel": ["on the", "road"], "science": ["tion"], "people": ["he", "she"], "place": ["where", "here"]}
@@ -230,6 +231,10 @@ _PLAIN = "regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script
 for _entity, _char in _ENTITIES:
     _PLAIN = f"regexp_replace({_PLAIN}, '&{_entity};?', '{_char}', 'g')"
 _add("page_text", lambda c: c.table("pages").select("page_id", K.strip_tags(F.col("html")).alias("plain")), "", rf"select page_id, trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g')) as plain from pages")
+_add("page_entries", lambda c: contents_entries(c.table("pages").select("page_id", "html"), Rule(skip=())), "",
+     r"""with l as (select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>') as x from pages), e as (select page_id, unnest(range(1, len(x) + 1)) as k, x from l),
+     t as (select page_id, k, regexp_extract(x[k], '<a href="([^"]*)">', 1) as link, trim(regexp_replace(regexp_extract(x[k], '">([^<]*)</a>', 1), '\s+', ' ', 'g')) as title from e)
+     select page_id, k::int as place, null::varchar as heading, replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as title, replace(link, '&amp;', '&') as link, null::varchar as authors from t""")
 _add("event_props", lambda c: c.table("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n")), "", "select try_cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1")
 _add("name_suppression", lambda c: R.suppress(c.authors, c.table("supplier").where("s_acctbal < 0").select(F.col("s_name").alias("name"), F.concat(F.lit("person-"), F.substring(F.sha2("s_name", 256), 1, 8)).alias("token"))).groupBy("name").agg(F.count("*").alias("n")), "authors",
      "select case when s_acctbal < 0 then 'person-' || substr(sha256(s_name), 1, 8) else name end as name, count(*) as n from authors join supplier on s_name = name group by 1")
