@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citewright.operators import upkeep as U
+from citewright.operators.merging import upsert_fill
 from citewright.plans.tables import with_sql
+from citewright.session import expire, shared_path
+from citewright.sources.stored import StoredTable
 
 VOCABULARY = {"hard": ["bolt", "metal plate"], "soft": ["widget"], "urgent": ["1-urgent"], "never": ["nothing like this"]}
 
@@ -32,7 +35,21 @@ def _more_places(c):
     return known.union(bare).union(n.where("n_regionkey = 2").select(F.concat(F.lit("J"), "n_nationkey"), "n_name", F.lit("J")))
 
 
+def _stored(c):
+    """Articles in a stored table; then those of one journal come again with abstracts, and some new ones."""
+    path = shared_path(c.spark, "stored")
+    table = StoredTable(c.spark, path, "id", 16)
+    expire(c.spark, path)
+    rows = c.records.select("id", "title", "abstract")
+    merge = lambda old, new: upsert_fill(old, new, "id", ["abstract"])
+    table.update(rows, merge)
+    again = c.records.where("journal = 'BUILDING'").select("id", F.lit("new title").alias("title"), F.lit("new abstract").alias("abstract"))
+    table.update(again.unionByName(again.withColumn("id", -F.col("id") - 1)), merge)
+    return table.read()
+
+
 QUERIES = {
+    "stored_upsert": _stored,
     "retagged": lambda c: U.retag(c.records, VOCABULARY).groupBy("tags").agg(F.count("*").alias("n")),
     "known_tags": lambda c: c.tags.groupBy(U.known_tag(F.concat(F.lit(" "), F.upper(F.element_at(F.split("tag", " "), 1))), {"cold": [], "large": []}).alias("known")).agg(F.count("*").alias("n")),
     "replaced_references": lambda c: U.replace_references(c.citations, _fetched(c)).groupBy("source").agg(F.count("*").alias("n"), F.count("target").alias("resolved")),
@@ -55,6 +72,7 @@ _STUBS = """, s as (select *, case when year = 1996 then null else abstract end
     t as (select *, case when doi is not null and (work is null or abs is null) then null else looked end as enriched from s)"""
 
 SQL = {
+    "stored_upsert": with_sql("records", "select id, title, case when journal = 'BUILDING' then coalesce(abstract, 'new abstract') else abstract end as abstract from records union all select -id - 1, 'new title', 'new abstract' from records where journal = 'BUILDING'"),
     "retagged": with_sql("records", """, w as (select lower(concat_ws(' ', title, abstract)) as t from records), g as (select list_filter([case when contains(t, 'metal plate') or regexp_matches(t, '\\bbolt\\b') then 'hard' end,
         case when regexp_matches(t, '\\bwidget\\b') then 'soft' end, case when contains(t, '1-urgent') then 'urgent' end], lambda x: x is not null) as l from w)
         select case when len(l) > 0 then '|' || array_to_string(l, '|') || '|' end as tags, count(*) as n from g group by 1"""),
