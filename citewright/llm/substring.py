@@ -235,14 +235,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each word goes that a window covers whose words also start earlier: in a smaller id, or earlier
     in the same row. Null and blank texts have no words; texts below a window's length keep theirs;
-    a null id comes after all others; rows that repeat an id come in the order of their texts, and
+    a null id comes after all others; ids may be of any type that orders; rows that repeat an id come in the order of their texts, and
     repeated rows lose all windows but the first row's; other columns are ignored; an empty table
     gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = texts.select("id", F.xxhash64("text").alias("h"))
     twice = cut(keyed.groupBy("id").agg(F.count("*").alias("n"), F.first("h").alias("h")).where("n > 1 or id is null"), "repeated-ids")
-    if twice.limit(1).count():  # ids that don't tell rows apart: number the rows first
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if not whole or twice.limit(1).count():  # ids that aren't whole numbers or don't tell rows apart: number the rows first
         order = texts.select("id", "text").orderBy(F.asc_nulls_last("id"), "text")
         texts = cut(order.withColumn("row", F.monotonically_increasing_id()), "numbered")
     else:

@@ -28,6 +28,7 @@ from citewright.session import batch_rows, cut, drop_path, shared_path
 
 BATCH_ROWS = 1000
 REVISIT_FROM = 100  #: payloads of at least so many bytes are stored once
+SALTS = 64
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20  #: compressed bytes after which a task starts another file
 CRLF = "\r\n"
@@ -61,9 +62,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
         text.alias("payload"), F.octet_length(text).alias("n"), F.sha2(text.cast("binary"), 256).alias("digest"),
     )
-    known = cut(rows.where(F.col("n") >= REVISIT_FROM).select("id", "digest"), "digests")
-    first = known.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    again = known.join(first, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "digest").agg(F.min("first").alias("first"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
+    known = cut(rows.where(F.col("n") >= REVISIT_FROM).select("id", "digest", salt), "digests")
+    # a page with very many copies meets its response in as many tasks as it has salts
+    salted = known.groupBy("digest", "salt").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    first = salted.groupBy("digest").agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).where("copies > 1").drop("copies")
+    again = known.join(salted.select("digest", "salt").join(first, "digest"), ["digest", "salt"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "digest").agg(F.min("first").alias("first"))
     again = again.select(F.col("id").alias("again"), F.col("digest").alias("of"), "first")
     rows = rows.join(again, F.col("id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("of")), "left")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n"), F.lit(CRLF * 2))

@@ -59,3 +59,10 @@ def test_equal_windows_have_equal_anchors():
         for w, p, a in zip(windows.tolist(), place.tolist(), key.tolist()):
             content = tuple(words[w : w + 20])
             assert seen.setdefault(content, (a, (p - w) % len(found))) [0] == a
+
+
+def test_ids_that_are_no_numbers(spark):
+    words = " ".join(f"w{k}" for k in range(25))
+    docs = spark.createDataFrame([("b", words + " end"), ("a", words), ("c", "x " + words), (None, words)], "doc_id string, text string")
+    got = {r["doc_id"]: r["kept_text"] for r in substring.remove_repeats(docs).collect()}
+    assert got == {"a": words, "b": "end", "c": "x", None: ""}
