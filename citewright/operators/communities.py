@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewright.functions.cleaning import split_tags
 from citewright.functions.values import ordinal
 from citewright.session import Tables, cut
 
@@ -136,18 +137,40 @@ def topics(labels: DataFrame, titles: DataFrame, top: int = 5, least: int = 2, s
     return scored.withColumn("place", ordinal(F.desc("score"), F.col("word"), by=("c",))).where(F.col("place") <= top).select("c", "place", "word", "score")
 
 
-def walls_bridges(arcs: DataFrame, labels: DataFrame, least: int = 5, top: int = 25) -> DataFrame:
-    """The largest communities by how far their links stay inside, with the quarter they fall in."""
+def walls_bridges(arcs: DataFrame, labels: DataFrame, top: int = 25, least: int = 5) -> DataFrame:
+    """(c, nodes, inside, outside, inside_density, outside_density, insularity, kind) of the ``top`` largest communities of ``least`` nodes or more.
+
+    Links count by their weight, once in both directions. Densities are over the pairs that could be linked, insularity
+    is one over the other. Communities below the first quartile of insularity are integrative, above the third insular,
+    the others moderate; quartiles are the values at a quarter and three quarters of the ordered list.
+    """
     x, y = labels.select(F.col("id").alias("a"), "c"), labels.select(F.col("id").alias("b"), F.col("c").alias("other"))
     size = labels.groupBy("c").agg(F.count("*").alias("nodes")).where(F.col("nodes") >= least).orderBy(F.desc("nodes"), "c").limit(top)
     inner = F.col("c") == F.col("other")
-    links = arcs.join(x, "a").join(y, "b").groupBy("c").agg((F.count(F.when(inner, 1)) / 2).cast("long").alias("inside"), F.count(F.when(~inner, 1)).alias("outside"))
+    links = arcs.where("a <> b").join(x, "a").join(y, "b").groupBy("c").agg((F.sum(F.when(inner, F.col("w")).otherwise(0)) / 2).cast("long").alias("inside"), F.sum(F.when(~inner, F.col("w")).otherwise(0)).cast("long").alias("outside"))
     n, every = F.col("nodes"), labels.agg(F.count("*").alias("every"))
-    found = size.join(links, "c").crossJoin(F.broadcast(every))  # one row
-    found = found.withColumn("inside_density", F.round(2 * F.col("inside") / (n * (n - 1)), 6)).withColumn("outside_density", F.round(F.when(F.col("every") > n, F.col("outside") / (n * (F.col("every") - n))).otherwise(0.0), 6))
-    found = found.withColumn("insularity", F.round(F.col("inside") / (F.col("inside") + F.col("outside")), 6)).drop("every")
-    at = found.withColumn("i", ordinal(F.col("insularity"), F.col("c"))).withColumn("m", F.lit(4) * F.col("i"))  # at most ``top`` rows
-    return at.crossJoin(F.broadcast(size.agg(F.count("*").alias("k")))).withColumn("kind", F.when(F.col("m") > 3 * F.col("k"), "wall").when(F.col("m") <= F.col("k"), "bridge").otherwise("between")).drop("i", "m", "k")
+    found = size.join(links, "c", "left").na.fill(0, ["inside", "outside"]).crossJoin(F.broadcast(every))  # one row
+    inside = F.col("inside") / F.greatest(F.lit(1), F.floor(n * (n - 1) / 2))
+    outside = F.col("outside") / F.greatest(F.lit(1), n * (F.col("every") - n))
+    found = found.select("c", "nodes", "inside", "outside", F.round(inside, 5).alias("inside_density"), F.round(outside, 5).alias("outside_density"), F.round(inside / F.greatest(outside, F.lit(1e-9)), 2).alias("insularity"))
+    sorted_ = F.sort_array(F.collect_list("insularity"))  # at most ``top`` values
+    k = F.size("all")
+    cuts = found.agg(sorted_.alias("all")).select(F.get("all", F.floor(k / 4).cast("int")).alias("q1"), F.get("all", F.floor(3 * k / 4).cast("int")).alias("q3"))
+    kind = F.when(F.col("insularity") < F.col("q1"), "integrative").when(F.col("insularity") > F.col("q3"), "insular").otherwise("moderate")
+    return found.crossJoin(F.broadcast(cuts)).withColumn("kind", kind).drop("q1", "q3")
+
+
+def community_tops(labels: DataFrame, records: DataFrame, counts: DataFrame, top: int = 5) -> DataFrame:
+    """(c, list, place, what, n): each community's most cited articles, and its most frequent journals and tags.
+
+    ``records`` has id, journal and tags as |a|b|, ``counts`` id and n_in; ties go by id or name.
+    """
+    rows = labels.join(records.select("id", "journal", "tags"), "id").join(counts.select("id", "n_in"), "id", "left").na.fill(0, ["n_in"])
+    articles = rows.select("c", F.lit("article").alias("list"), F.col("n_in").cast("long").alias("n"), F.col("id").cast("string").alias("what"), F.col("id").alias("tie"))
+    journals = rows.where("journal is not null and journal <> ''").groupBy("c", "journal").agg(F.count("*").alias("n")).select("c", F.lit("journal"), "n", "journal", F.lit(0).cast("long"))
+    tags = rows.select("c", F.explode(split_tags(F.col("tags"))).alias("tag")).groupBy("c", "tag").agg(F.count("*").alias("n")).select("c", F.lit("tag"), "n", "tag", F.lit(0).cast("long"))
+    every = articles.union(journals).union(tags)
+    return every.withColumn("place", ordinal(F.desc("n"), F.col("tie"), F.col("what"), by=("c", "list"))).where(F.col("place") <= top).select("c", "list", "place", "what", "n")
 
 
 def carried_over(before: DataFrame, after: DataFrame, shared: int = 2, least: float = 0.05) -> DataFrame:

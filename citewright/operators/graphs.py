@@ -197,3 +197,19 @@ def window_modularity(edges: DataFrame, width: int = 1, nodes: int = 10, links:
     kept = cut(arcs.join(enough.select("part"), "part", "left_semi"), "arcs")
     found = part_modularity(kept, communities(kept))
     return found.where("communities > 1").select(F.col("part").alias("window"), "communities", F.round("modularity", 4).alias("modularity"))
+
+
+def neighbourhood(links: DataFrame, seeds: DataFrame, most: int = 300) -> tuple[DataFrame, DataFrame]:
+    """((id, seed), (source, target)): the seeds and their neighbours without direction, and the links among them.
+
+    ``most`` nodes at most: seeds first, then by id. Links are kept once, the smaller id as source.
+    """
+    pairs = links.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    own = seeds.select("id").distinct()
+    ends = pairs.select(F.col("source").alias("id"), F.col("target").alias("near")).union(pairs.select("target", "source"))
+    near = ends.join(F.broadcast(own.limit(most)), "id", "left_semi").select(F.col("near").alias("id"))
+    every = own.withColumn("seed", F.lit(True)).union(near.distinct().join(own, "id", "left_anti").withColumn("seed", F.lit(False)))
+    nodes = every.orderBy(F.desc("seed"), "id").limit(most)
+    ids = F.broadcast(nodes.select("id"))  # ``most`` rows
+    inside = pairs.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return nodes, inside.select("source", "target")

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 MAX_VOTES = 50  # fixed: a suggestion's badge ends here
 
 
-def tallies(votes: DataFrame) -> DataFrame:
-    """Up and down votes per article and tag; of one voter's votes(article, tag, voter, vote, at, seq) the last counts."""
+def tallies(votes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Up and down votes per article and tag; of one voter's votes(article, tag, voter, vote, at, seq) the last counts.
+
+    Votes other than 1 and -1 don't count, nor, where ``known(article, tag)`` is given, votes on tags that the
+    article doesn't have. Votes without a voter are one voter's.
+    """
+    votes = votes.where("vote in (1, -1)")
+    if known is not None:
+        votes = votes.join(known.select("article", "tag").distinct(), ["article", "tag"], "left_semi")
     last = votes.groupBy("article", "tag", "voter").agg(F.max_by("vote", F.struct("at", "seq")).alias("vote"))
     return last.groupBy("article", "tag").agg(F.count(F.when(F.col("vote") > 0, 1)).alias("up"), F.count(F.when(F.col("vote") < 0, 1)).alias("down"))
 
@@ -39,6 +46,20 @@ def queue(judged: DataFrame) -> DataFrame:
     return by.agg(F.least(F.lit(1) + F.count(F.when(F.col("status") == "bumped", 1)), F.lit(MAX_VOTES)).alias("votes"), F.min("at").alias("first_at"))
 
 
+def decide(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``suggestions(article, tag, ..)`` with status, decided_by and decided_at: pending until decided, by the last of
+    decisions(article, tag, decision, actor, at), where approve and reject alone decide."""
+    made = decisions.where("decision in ('approve', 'reject')").groupBy("article", "tag").agg(F.max_by(F.struct("decision", "actor", "at"), F.struct("at", "decision", "actor")).alias("_d"))
+    status = F.when(F.col("_d").isNull(), "pending").when(F.col("_d.decision") == "approve", "approved").otherwise("rejected")
+    return suggestions.join(made, ["article", "tag"], "left").select(*suggestions.columns, status.alias("status"), F.col("_d.actor").alias("decided_by"), F.col("_d.at").alias("decided_at"))
+
+
+def listed_queue(decided: DataFrame, status: str | None = None) -> DataFrame:
+    """Suggestions of one status, or all, the newest first."""
+    rows = decided if status is None else decided.where(F.col("status") == status)
+    return rows.orderBy(F.desc("first_at"), "article", "tag")
+
+
 def request_states(audit: DataFrame) -> DataFrame:
     """State of each removal request from audit(request, action, at, seq).
 

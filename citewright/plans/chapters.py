@@ -38,7 +38,7 @@ def _scribes(c):
     return c.table("lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("Part "), "l_partkey").alias("name"), F.col("l_linenumber").alias("pos"))
 
 
-def _lists(c):
+def lists(c):
     edges = _edges(c)
     canons, reach = H.shifting_canons(edges, GENERATIONS), H.reach_patterns(edges, AS_OF)
     return {"The Long Tail": H.long_tail(edges, c.authors), "The Fair Ranking": H.fair_ranking(c.articles, c.citations, AS_OF), "Shifting Canons": canons, "The Reach of a Citation": reach.where("total > 0")}
@@ -68,7 +68,7 @@ QUERIES = {
     "largest_teams": lambda c: H.largest_teams(_sizes(c)),
     "lineages": lambda c: H.lineages(_scribes(c), c.articles, 1),
     "prolific_mentors": lambda c: H.prolific_mentors(H.lineages(_scribes(c), c.articles, 1)),
-    "master_list": lambda c: H.master_list(_lists(c)),
+    "master_list": lambda c: H.master_list(lists(c)),
     "known_events": _events,
     "centrality_table": lambda c: H.centrality(G.pagerank(_network(c), None), G.betweenness(_network(c))),
     "community_profiles": lambda c: H.community_profiles(N.communities(N.undirected(_network(c))), c.articles, C.degrees(c.articles, c.citations)),

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from citewright.operators import chapters as H
 from citewright.operators import citations as C
+from citewright.operators import communities as N
+from citewright.operators import graphs as G
 from citewright.operators import panes as P
+from citewright.plans.chapters import lists
 from citewright.plans.tables import GROUPS, with_sql
 
 
@@ -26,7 +29,33 @@ def _mutual(c):
     return P.reciprocal_articles(_edges(c), "TPC", "RHET_COMP")
 
 
+def _near(c):
+    """The neighbourhood of the 25 articles with the most neighbours in other field groups."""
+    seeds = C.boundary_degrees(_edges(c)).orderBy(F.desc("boundary"), "id").limit(25)
+    return G.neighbourhood(_edges(c), seeds)
+
+
+def _everyone(c):
+    """All six tools of the master list; those that search networks, on the links among the 600 most cited articles."""
+    edges = _edges(c)
+    inner = C.induced(edges, C.top_nodes(c.articles, c.citations, 1, 600))
+    arcs = N.undirected(inner)
+    labels = N.communities(arcs)
+    walls = N.walls_bridges(arcs, labels)
+    tops = N.community_tops(labels.join(walls.select("c"), "c", "left_semi"), c.records, _degrees(c)).where("list = 'article'").select(F.col("what").cast("long").alias("id"))
+    crossers = G.undirected_betweenness(inner).select("id", F.round("score", 9).alias("score")).join(C.boundary_degrees(inner), "id").orderBy(F.desc("score"), F.desc("boundary"), "id").limit(25)
+    return H.master_list(lists(c) | {"Border Crossers": crossers, "Walls and Bridges": tops})
+
+
+def _tops(c):
+    return N.community_tops(c.records.where("journal is not null").select("id", F.col("source").alias("c")), c.records, _degrees(c))
+
+
 QUERIES = {
+    "border_subgraph": lambda c: _near(c)[1],
+    "border_subgraph_nodes": lambda c: _near(c)[0],
+    "community_tops": _tops,
+    "master_list_all": _everyone,
     "delay_histogram": lambda c: P.delay_histogram(_edges(c).withColumn("sy", F.col("sy") + F.when(F.col("sg") == "TPC", 47).otherwise(0))),
     "delay_decades": lambda c: P.delay_decades(_edges(c)),
     "reciprocity_decades": lambda c: P.reciprocity_decades(_edges(c), "TPC", "RHET_COMP"),
@@ -52,7 +81,16 @@ _QUADRANTS = """, n as (select a.id, d.n_in, coalesce(cited_globally, 0) as cite
     q as (select id, n_in, cited_globally, internal_rank, global_rank, case when internal_rank <= t and global_rank <= t then 'shared_canon' when internal_rank <= t then 'tpc_specific' when global_rank <= t then 'imported' else 'background' end as quadrant from r)"""
 _SHARE = "round((sum(n_in) filter (i <= {}))::double / sum(n_in), 6)"
 
+_NEAR = """, x as (select distinct least(source, target) as a, greatest(source, target) as b from edges where source <> target), en as (select source as id, sg as g, target as o, tg as og from edges where source <> target union select target, tg, source, sg from edges where source <> target),
+    sd as (select id from en group by id, g order by count(*) filter (g <> og and g <> 'OTHER') desc, id limit 25), nb as (select id, true as seed from sd union select case when a in (from sd) then b else a end, false from x where (a in (from sd)) <> (b in (from sd))),
+    nd as (select * from nb order by seed desc, id limit 300)"""
+
 SQL = {
+    "border_subgraph": with_sql("edges", _NEAR + " select a as source, b as target from x where a in (select id from nd) and b in (select id from nd)"),
+    "border_subgraph_nodes": with_sql("edges", _NEAR + " from nd"),
+    "community_tops": with_sql("records degrees", """, r as (select r.*, r.source as c, n_in from records r join degrees using (id)), e as (select c, 'article' as list, id::varchar as what, n_in as n, id as tie from r union all select c, 'journal', journal, count(*), 0 from r group by c, journal
+        union all select c, 'tag', lower(tag), count(*), 0 from (select c, unnest(string_split(trim(tags, '|'), '|')) as tag from r where tags is not null) group by c, lower(tag))
+        select c, list, place::int as place, what, n from (select *, row_number() over (partition by c, list order by n desc, tie, what) as place from e) where place <= 5"""),
     "delay_histogram": with_sql("edges", ", s as (select sg, tg, case when sg = 'TPC' then sy + 47 else sy end - ty as d from edges) select sg, tg, least(d, 50) as delay, count(*) as n from s where d >= 0 group by all"),
     "delay_decades": with_sql("edges", "select sg, tg, (sy // 10 * 10)::int as decade, round(avg(sy - ty), 2) as mean, count(*) as n from edges where sy >= ty group by all having count(*) >= 5"),
     "reciprocity_decades": with_sql("edges", _CROSS + """, e as (select distinct source, target from edges), m as (select (sy // 10 * 10)::int as decade, e.source is not null as back from x left join e on e.source = x.target and e.target = x.source)

@@ -41,6 +41,12 @@ def _submitted(c):
     return D.submissions(*submitted(c))
 
 
+def _decided(c):
+    """The queue with decisions of users who bought or signed up: even ones approve, others reject or say nothing that counts."""
+    by = c.votes.where("tag = 'purchase' or tag = 'signup'").select("article", F.lit("click").alias("tag"), F.when(F.col("voter") % 2 == 0, "approve").when(F.col("voter") % 3 == 0, "reject").otherwise("later").alias("decision"), F.col("voter").cast("string").alias("actor"), "at")
+    return D.decide(D.queue(_submitted(c)), by)
+
+
 def _audit(c):
     action = F.create_map(*(F.lit(x) for x in ("purchase", "verify", "signup", "approve", "error", "deny")))
     return c.table("events").select(F.concat_ws(":", "user_id", F.to_date("ts")).alias("request"), F.coalesce(action[F.col("event_type")], F.lit("note")).alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
@@ -56,6 +62,9 @@ QUERIES = {
     "editorial_stamps": lambda c: I.editorial_stamps(_office(c), 5, 0.06),
     "tag_feedback": lambda c: D.tallies(c.votes),
     "tag_submissions": lambda c: _submitted(c).select("seq", "article", "tag", "status"),
+    "known_tag_feedback": lambda c: D.tallies(c.votes, c.votes.where("vote > 0 and article < 30").select("article", "tag")),
+    "decided_tags": lambda c: D.listed_queue(_decided(c)).select("article", "tag", "votes", "status", "decided_by"),
+    "approved_queue": lambda c: D.listed_queue(_decided(c), "approved").select("article", "tag", "votes"),
     "tag_queue": lambda c: D.queue(_submitted(c)).select("article", "tag", "votes"),
     "request_states": lambda c: D.request_states(_audit(c)),
     "retained_backups": lambda c: D.retained(c.table("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("at")), "2001-08-01 00:00:00"),
@@ -80,6 +89,9 @@ _TAGGED = """, a as (select article, tag, voter as client, ts, seq from votes wh
     r as (select a.*, k.tag is not null as known, d.status as ruled, since, row_number() over w as n, lag(client) over w as before from a left join k using (article, tag) left join d using (article, tag) window w as (partition by article, tag order by ts, seq)),
     j as (select seq, article, tag, case when known then 'exists' when n > 1 and since < ts then ruled when n > 1 and client <> before then 'bumped' else 'pending' end as status from r)"""
 
+_DECIDED = """, q as (select article, tag, least(1 + count(*) filter (status = 'bumped'), 50) as votes from j where status <> 'exists' group by all), db as (select article, 'click' as tag, case when voter % 2 = 0 then 'approve' when voter % 3 = 0 then 'reject' end as d, voter::varchar as actor, ts from votes where tag in ('purchase', 'signup')),
+    dd as (select article, tag, arg_max(d, (ts, d, actor)) as d, arg_max(actor, (ts, d, actor)) as actor from db where d is not null group by all)"""
+
 SQL = {
     "top_institutions": with_sql("affiliations", "select place, count(distinct id) as articles, count(distinct name) as people from affiliations group by 1 order by articles desc, place limit 25"),
     "institution_years": with_sql("articles affiliations", """, t as (select place from affiliations group by 1 order by count(distinct id) desc, place limit 10),
@@ -95,6 +107,9 @@ SQL = {
         select journal, place, max(reason) as reason from (select *, 'dominance' as reason from p union all select *, 'single-venue' from o) group by all"""),
     "tag_feedback": with_sql("votes", ", l as (select article, tag, arg_max(vote, (ts, seq)) as vote from votes group by article, tag, voter) select article, tag, count(*) filter (vote > 0) as up, count(*) filter (vote < 0) as down from l group by all"),
     "tag_submissions": with_sql("votes", _TAGGED + " from j"),
+    "known_tag_feedback": with_sql("votes", ", k as (select distinct article, tag from votes where vote > 0 and article < 30), l as (select article, tag, arg_max(vote, (ts, seq)) as vote from votes join k using (article, tag) group by article, tag, voter) select article, tag, count(*) filter (vote > 0) as up, count(*) filter (vote < 0) as down from l group by all"),
+    "decided_tags": with_sql("votes", _TAGGED + _DECIDED + " select article, tag, votes, case d when 'approve' then 'approved' when 'reject' then 'rejected' else 'pending' end as status, actor as decided_by from q left join dd using (article, tag)"),
+    "approved_queue": with_sql("votes", _TAGGED + _DECIDED + " select article, tag, votes from q join dd using (article, tag) where d = 'approve'"),
     "tag_queue": with_sql("votes", _TAGGED + " select article, tag, least(1 + count(*) filter (status = 'bumped'), 50) as votes from j where status <> 'exists' group by all"),
     "request_states": """with a as (select user_id || ':' || cast(ts as date) as request, event_type as e, ts, event_id from events), v as (select request, min((ts, event_id)) filter (e = 'purchase') as v, count(*) as entries from a group by 1),
         d as (select request, arg_min(e, (ts, event_id)) as d from a join v using (request) where e in ('signup', 'error') and (ts, event_id) > v group by 1)

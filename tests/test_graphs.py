@@ -104,7 +104,13 @@ def test_communities(spark):
     assert {r["id"]: r["c"] for r in labels.collect()} == {v: v // 10 * 10 for g in (range(6), range(10, 16), range(20, 26)) for v in g}
     assert abs(N.modularity(arcs, labels) - 0.6245) < 1e-3
     walls = {r["c"]: r for r in N.walls_bridges(arcs, labels).collect()}
-    assert (walls[0]["inside"], walls[0]["outside"], walls[10]["outside"]) == (15, 1, 2) and walls[10]["kind"] != "wall"
+    assert (walls[0]["inside"], walls[0]["outside"], walls[10]["outside"]) == (15, 1, 2)
+    ratio = {c: round((15 / 15) / (walls[c]["outside"] / (6 * 12)), 2) for c in (0, 10, 20)}
+    assert {c: r["insularity"] for c, r in walls.items()} == ratio
+    assert {c: r["kind"] for c, r in walls.items()} == {0: "moderate", 10: "moderate" if ratio[10] >= sorted(ratio.values())[0] else "integrative", 20: "moderate"}
+    records = spark.createDataFrame([(v, "J" if v % 2 else "K", "|t|u|" if v < 13 else None) for v in (*range(6), *range(10, 16), *range(20, 26))], "id long, journal string, tags string")
+    tops = {(r["c"], r["list"], r["place"]): (r["what"], r["n"]) for r in N.community_tops(labels, records, records.selectExpr("id", "id as n_in")).collect()}
+    assert tops[0, "article", 1] == ("5", 5) and tops[10, "journal", 1] == ("J", 3) and tops[10, "tag", 2] == ("u", 3) and (20, "tag", 1) not in tops
     later = spark.createDataFrame([(v, 3 if v < 13 else 14) for v in (*range(6), *range(10, 16))], "id long, c long")
     assert {(r["a"], r["b"]): r["shared"] for r in N.carried_over(labels, later).collect()} == {(0, 3): 6, (10, 3): 3, (10, 14): 3}
     assert N.communities(N.undirected(links.limit(0))).isEmpty()
@@ -194,3 +200,60 @@ def test_central_articles_and_profiles(spark):
     articles = spark.createDataFrame([(1, "K"), (2, "J"), (3, "J"), (4, "J")], "id long, journal string")
     counts = spark.createDataFrame([(2, 5), (3, 5), (4, 9)], "id long, n_in long")
     assert [tuple(r) for r in H.community_profiles(members, articles, counts).collect()] == [(1, 3, "J", 2, 2)]
+
+
+def test_parts_share_rounds_but_not_weight(spark):
+    """Two networks of very different weight: each is found as if it were alone."""
+    one = N.undirected(spark.createDataFrame(cliques(range(4), range(10, 14), between=[(3, 10)]), LINK))
+    heavy = N.undirected(spark.createDataFrame(cliques(range(100, 130), range(200, 230), between=[(129, 200)]), LINK))
+    both = one.withColumn("part", F.lit(1)).unionByName(heavy.withColumn("part", F.lit(2)))
+    labels = N.communities(both)
+    found = {r["id"]: r["c"] for r in labels.collect()}
+    alone = {r["id"]: r["c"] for arcs in (one, heavy) for r in N.communities(arcs).collect()}
+    assert found == alone and set(found.values()) == {0, 10, 100, 200}
+    scores = {r["part"]: (r["communities"], r["modularity"]) for r in N.part_modularity(both, labels).collect()}
+    for part, arcs in ((1, one), (2, heavy)):
+        assert scores[part][0] == 2 and abs(scores[part][1] - N.modularity(arcs, labels)) < 1e-9
+
+
+def test_paths_within_windows(spark):
+    rng = random.Random(2)
+    year = {v: 1990 + v % 3 for v in range(60)}
+    links = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(150))]
+    edges = spark.createDataFrame([(a, b, year[a], year[b]) for a, b in links], "source long, target long, sy int, ty int")
+    got = {r["window"]: (r["largest"], r["pairs"], r["mean_path"]) for r in G.window_paths(edges).collect()}
+    for w in (1990, 1991, 1992):
+        near = defaultdict(set)
+        for a, b in links:
+            if year[a] == year[b] == w and a != b:
+                near[a].add(b)
+                near[b].add(a)
+
+        def far(start):
+            at, todo = {start: 0}, [start]
+            for v in todo:
+                for u in near[v] - at.keys():
+                    at[u] = at[v] + 1
+                    todo.append(u)
+            return at
+
+        size, _, group = min((-len(far(v)), min(far(v)), tuple(sorted(far(v)))) for v in near)
+        steps = [d for v in group for d in far(v).values() if d]
+        assert got[w] == (-size, len(steps), round(sum(steps) / len(steps), 3))
+    some = {r["window"]: r["pairs"] for r in G.window_paths(edges, exact=3, pivots=2).collect()}
+    assert all(some[w] == 2 * (got[w][0] - 1) for w in some)
+
+
+def test_topics_tell_communities_apart(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "id long, c long")
+    titles = spark.createDataFrame([(1, "Genre of the Web"), (2, "genre and web texts"), (3, "Labor texts"), (4, "labor, labor!"), (5, "alone alone")], "id long, title string")
+    got = {(r["c"], r["place"]): (r["word"], r["score"]) for r in N.topics(labels, titles).collect()}
+    assert got == {(1, 1): ("genre", round(1 * (5 / 2) ** 0.5, 6)), (1, 2): ("web", round((5 / 2) ** 0.5, 6)), (3, 1): ("labor", round(1.5 * (5 / 3) ** 0.5, 6))}
+
+
+def test_spans_are_searched_together(spark):
+    links = [(a, b, 1991) for a, b in cliques(range(5), range(10, 15))] + [(a, b, 2001) for a, b in cliques(range(5), range(10, 15), between=[])] + [(a, b, 2015) for a, b in cliques(range(3, 8))]
+    edges = spark.createDataFrame(links, "source long, target long, sy int")
+    got = {tuple(r) for r in N.over_decades(edges).collect()}
+    assert got == {(1990, 0, 0, 5, 1.0), (1990, 10, 10, 5, 1.0), (2000, 0, 3, 2, 0.25)}
+    assert N.over_decades(edges.limit(0)).count() == 0
