@@ -224,7 +224,7 @@ _add("auto_tag", lambda c: c.table("documents").select("doc_id", K.vocabulary_ta
      case when regexp_matches(lower(text), 'on the|(^|[^\p{L}\p{N}_])road($|[^\p{L}\p{N}_])') then 'travel' end, case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])tion($|[^\p{L}\p{N}_])') then 'science' end,
      case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])he($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])she($|[^\p{L}\p{N}_])') then 'people' end, case when regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])where($|[^\p{L}\p{N}_])|(^|[^\p{L}\p{N}_])here($|[^\p{L}\p{N}_])') then 'place' end], lambda x: x is not null) as t from documents)""")
 _add("title_slug", lambda c: c.table("documents").select("doc_id", V.slug(F.col("text")).alias("slug")), "",
-     "select doc_id, rtrim(substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') as slug from documents")
+     "select doc_id, rtrim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-') as slug from documents")
 _add("title_norm", lambda c: c.table("benchmark").select("item_id", V.norm_title(F.col("text")).alias("title")), "", "select item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as title from benchmark")
 _ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&"))  # those that the pages hold
 _PLAIN = "regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
