@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewright.functions.values import ordinal
-from citewright.operators.citations import degrees
+from citewright.operators.citations import BLOCKS, degrees, in_blocks
 from citewright.operators.dags import main_paths, path_counts, without_cycles
 
 FRONTIER = 2021  # fixed: sinks from this year on may still get their references cited
@@ -203,8 +203,10 @@ def lineages(authors: DataFrame, articles: DataFrame, gap: int = 10) -> DataFram
     joint articles (a pair of names counts as often as a list holds it) and their first and last year."""
     rows = authors.join(articles.where("year is not null").select("id", "year"), "id").select("id", "name", "year", "pos")
     first = rows.groupBy("name").agg(F.min("year").alias("first"))
-    left, right = (rows.select("id", F.col("name").alias(c), F.col("pos").alias(f"p{c}"), *(["year"] if c == "a" else [])) for c in "ab")
-    pairs = left.join(right, "id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("joint"), F.min("year").alias("first_joint"), F.max("year").alias("last_joint"))
+    placed = in_blocks(rows, "id", "name")
+    left, right = (placed.select("id", *BLOCKS, F.col("name").alias(c), F.col("block_own").alias(f"m{c}"), *(["year"] if c == "a" else [])) for c in "ab")
+    met = left.join(right, ["id", *BLOCKS]).where("a < b and (block_i = block_j or ma <> mb)")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("joint"), F.min("year").alias("first_joint"), F.max("year").alias("last_joint"))
     a, b = (first.select(F.col("name").alias(c), F.col("first").alias(f"f{c}")) for c in "ab")
     found = pairs.join(a, "a").join(b, "b").where(F.abs(F.col("fa") - F.col("fb")) >= gap)
     older = F.col("fa") < F.col("fb")

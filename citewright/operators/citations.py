@@ -54,23 +54,28 @@ def network_links(articles: DataFrame, citations: DataFrame, least: int = 5, mos
 BLOCK = 2000  #: rows of one key that are paired in one piece; larger keys go as pairs of blocks
 
 
-def pair_counts(rows: DataFrame, within: str, item: str, least: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, weight) of items that share ``within``, each pair once, counted by rows.
+def in_blocks(rows: DataFrame, within: str, item: str, block: int = BLOCK) -> DataFrame:
+    """``rows`` of (within, item, ..) for pairing them within a key: each row once for each pair of blocks it is in.
 
-    A key with more than ``block`` rows is cut into blocks by its items' hashes, and each pair of blocks
-    is a key of its own, so that a key with very many rows is spread over as many tasks as it needs.
+    A key with more than ``block`` rows is cut into blocks by its items' hashes, and each pair of blocks is a key of
+    its own (columns block_i and block_j), so that a key with very many rows is spread over as many tasks as it needs.
+    Two rows are a pair if they share within, block_i and block_j, and the blocks are one or theirs (block_own) differ.
     """
-    rows = rows.select(F.col(within).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null")
-    large = rows.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-    keys = ["k"]
-    if not large.isEmpty():
-        mine = F.pmod(F.xxhash64("x"), F.coalesce("blocks", F.lit(1))).cast("int")
-        rows = rows.join(large, "k", "left").withColumn("m", mine)
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        rows = rows.select("k", "x", "m", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
-        keys = ["k", "i", "j"]
-    left, right = (rows.select(*keys, F.col("x").alias(c), *([F.col("m").alias(f"m{c}")] if len(keys) > 1 else [])) for c in "ab")
-    pairs = left.join(right, keys).where("a < b" if len(keys) == 1 else "a < b and (i = j or ma <> mb)")
+    large = rows.groupBy(F.col(within).alias("block_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = rows.join(large, F.col(within) == F.col("block_key"), "left").withColumn("block_own", F.pmod(F.xxhash64(item), blocks).cast("int"))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return placed.select(*rows.columns, "block_own", F.least("block_own", "o").alias("block_i"), F.greatest("block_own", "o").alias("block_j"))
+
+
+BLOCKS = ("block_i", "block_j")
+
+
+def pair_counts(rows: DataFrame, within: str, item: str, least: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, weight) of items that share ``within``, each pair once, counted by rows; large keys go as pairs of blocks."""
+    rows = in_blocks(rows.select(F.col(within).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null"), "k", "x", block)
+    left, right = (rows.select("k", *BLOCKS, F.col("x").alias(c), F.col("block_own").alias(f"m{c}")) for c in "ab")
+    pairs = left.join(right, ["k", *BLOCKS]).where("a < b and (block_i = block_j or ma <> mb)")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 

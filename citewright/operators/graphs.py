@@ -19,29 +19,30 @@ def pagerank(links: DataFrame, rounds: int | None = None, damping: float = 0.85,
     differ from the limit by at most damping / (1 - damping) of the last change in sum. Ranks that
     still change after ``most`` rounds are an error.
     """
+    tables = Tables(links.sparkSession)
     edges = links.select("source", "target").distinct()
     out = edges.groupBy("source").agg(F.count("*").alias("degree"))
-    edges = cut(edges.join(out, "source"), "edges")
+    edges = tables.put(edges.join(out, "source"), "edges")
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct().join(out.withColumnRenamed("source", "id"), "id", "left")
-    nodes = cut(nodes, "nodes")
+    nodes = tables.put(nodes, "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n)).withColumn("change", F.lit(0.0))
+    ranks, before = nodes.withColumn("rank", F.lit(1.0 / n)).withColumn("change", F.lit(0.0)), None
     lost = F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0))
     loose = ranks.agg(lost).first()[0]
     for _ in range(most if rounds is None else rounds):
         given = edges.join(ranks.select(F.col("id").alias("source"), "rank"), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))
         ranks = ranks.join(given, "id", "left").select("id", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
-        ranks = cut(ranks, "ranks")
+        ranks = before = tables.put(ranks, "ranks", before)
         loose, change = ranks.agg(lost, F.sum("change")).first()
         if rounds is None and change < tolerance:
             break
     else:
         if rounds is None:
             raise ValueError(f"ranks still change by {change} after {most} rounds")
-    return ranks.select("id", "rank")
+    return tables.keep(ranks.select("id", "rank"), "pagerank")
 
 
 def transitivity(links: DataFrame) -> DataFrame:
@@ -68,15 +69,16 @@ def betweenness(links: DataFrame, pivots: int | None = None) -> DataFrame:
     a time: a level is a table of (pivot, id, paths), so work is spread by node, and shares flow
     back along the same levels. Scores are over (n - 1)(n - 2), scaled up from pivots to all nodes.
     """
-    edges = cut(links.where("source <> target").select("source", "target").distinct(), "edges")
-    nodes = cut(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "nodes")
+    tables = Tables(links.sparkSession)
+    edges = tables.put(links.where("source <> target").select("source", "target").distinct(), "edges")
+    nodes = tables.put(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "nodes")
     n = nodes.count()
     starts = nodes if pivots is None else nodes.orderBy(F.xxhash64("id"), "id").limit(pivots)
-    levels = [cut(starts.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("paths")), "level")]
+    levels = [tables.put(starts.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("paths")), "level")]
     seen = levels[0].select("pivot", "id")
     while True:
         ahead = levels[-1].join(edges.withColumnRenamed("source", "id"), "id").groupBy("pivot", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
-        ahead = cut(ahead.join(seen, ["pivot", "id"], "left_anti"), "level")
+        ahead = tables.put(ahead.join(seen, ["pivot", "id"], "left_anti"), "level")
         if ahead.isEmpty():
             break
         levels.append(ahead)
@@ -87,11 +89,11 @@ def betweenness(links: DataFrame, pivots: int | None = None) -> DataFrame:
     for level in reversed(levels[:-1]):
         given = through.select("pivot", F.col("id").alias("target"), ((1 + F.col("share")) / F.col("paths")).alias("g"))
         given = given.join(edges, "target").groupBy("pivot", F.col("source").alias("id")).agg(F.sum("g").alias("g"))
-        through = cut(level.join(given, ["pivot", "id"], "left").select("pivot", "id", "paths", (F.col("paths") * F.coalesce("g", F.lit(0.0))).alias("share")), "share")
+        through = tables.put(level.join(given, ["pivot", "id"], "left").select("pivot", "id", "paths", (F.col("paths") * F.coalesce("g", F.lit(0.0))).alias("share")), "share")
         found = found.unionByName(through)
     scale = n / used / ((n - 1) * (n - 2)) if n > 2 else 0.0
     sums = found.where("pivot <> id").groupBy("id").agg(F.sum("share").alias("s"))
-    return nodes.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
+    return tables.keep(nodes.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score")), "betweenness")
 
 
 def undirected_betweenness(links: DataFrame, pivots: int = 256, exact: int = 512) -> DataFrame:

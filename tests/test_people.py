@@ -60,3 +60,13 @@ def test_values(spark):
     got = rows.select(V.normal_tag(F.col("t")), V.period_label(F.col("t"))).collect()
     assert [r[0] for r in got[:2]] == ["a b c", None]
     assert [r[1] for r in got[1:]] == [None, "July 2001", "2001", "2001-13"]
+
+
+def test_decisions_and_votes_on_own_tags(spark):
+    suggested = spark.createDataFrame([(1, "x", 2, 5), (1, "y", 1, 6), (2, "x", 1, 7)], "article int, tag string, votes int, first_at int")
+    made = spark.createDataFrame([(1, "x", "approve", "ann", 1), (1, "x", "reject", "bo", 2), (1, "x", "maybe", "cy", 9), (1, "y", "approve", "bo", 3), (9, "z", "approve", "bo", 1)], "article int, tag string, decision string, actor string, at int")
+    decided = D.decide(suggested, made)
+    assert {(r.article, r.tag): (r.status, r.decided_by) for r in decided.collect()} == {(1, "x"): ("rejected", "bo"), (1, "y"): ("approved", "bo"), (2, "x"): ("pending", None)}
+    assert [(r.article, r.tag) for r in D.listed_queue(decided).collect()] == [(2, "x"), (1, "y"), (1, "x")] and D.listed_queue(decided, "approved").count() == 1
+    votes = spark.createDataFrame([(1, "x", "u", 1, 0, 0), (1, "x", "u", -1, 1, 1), (1, "x", "v", 7, 2, 2), (1, "nope", "v", 1, 3, 3)], "article int, tag string, voter string, vote int, at int, seq int")
+    assert [tuple(r) for r in D.tallies(votes, suggested).collect()] == [(1, "x", 0, 1)]

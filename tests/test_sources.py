@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from citewright.functions import cleaning
+from citewright.operators import coverage
 from citewright.operators import merging as M
 from citewright.sources import exports as E
 from citewright.sources import works as W
@@ -83,3 +85,13 @@ def test_merging(spark):
     assert sorted(map(tuple, links.select("source", "target").collect()), key=str) == [(1, 9), (9, 1), (9, None)]
     old, new = spark.createDataFrame([(1, None, "a")], "id long, doi string, note string"), spark.createDataFrame([(1, "d", "z"), (5, "e", None)], "id long, doi string, note string")
     assert sorted(map(tuple, M.upsert_fill(old, new, "id", ["doi"]).collect())) == [(1, "d", "a"), (5, "e", None)]
+
+
+def test_reports_and_kinds_of_books(spark, tmp_path):
+    report = spark.createDataFrame([("B, C", 2, 0.5), ("A", 1, None)], "journal string, n int, share double").repartition(2)
+    coverage.write_csv(report, str(tmp_path / "report"))
+    coverage.write_csv(report, str(tmp_path / "report"))  # again, in its place
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "report"), header=True).collect()} == {("B, C", "2", "0.5"), ("A", "1", None)}
+    assert len(list((tmp_path / "report").glob("*.csv"))) == 1
+    kinds = spark.createDataFrame([("edited-book", False), ("book", True), ("book", False), ("monograph", True), (None, False)], "t string, e boolean")
+    assert [r[0] for r in kinds.select(cleaning.book_type(F.col("t"), F.col("e"))).collect()] == ["edited-collection", "edited-collection", "monograph", "monograph", "monograph"]
