@@ -14,6 +14,7 @@ have no label, any other is negative. The number checks and marks of the rules (
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -29,7 +30,6 @@ from citewright.session import batch_rows, cut, drop_path, shared_path
 
 KINDS = ("email", "ip", "card", "phone")
 BATCH_ROWS = 1000
-SAMPLE_DOCS = 20_000  #: documents, chosen by hash, from which the trees learn
 PRECISION = 0.98  #: calibrated precision that a kind's threshold must reach
 MASKS = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -246,11 +246,11 @@ class SpanModel:
         return taken
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> SpanModel:
-    """Train on the candidates of at most about ``sample`` documents, chosen by a hash of id and text.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
+    """Train on the candidates of all documents.
 
-    Half of them fit the trees, the others, with other rewritten forms, calibrate the thresholds: scores are binned, precision
-    is made monotone over the bins, and a kind's threshold is the first bin that reaches
+    A hash of the id deals them into halves: one fits the trees, the other, with other rewritten forms, calibrates the thresholds:
+    scores are binned, precision is made monotone over the bins, and a kind's threshold is the first bin that reaches
     ``PRECISION``. A kind without such a bin adds nothing; without both classes there is no model.
     Null and empty texts hold nothing to learn from; a very long one gives as many candidates as it
     holds; equal candidates of one half weigh as one row; null and repeated ids, other columns and
@@ -258,10 +258,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     """
     spark = docs.sparkSession
     batch_rows(spark, BATCH_ROWS)
-    rows = max(docs.count(), 1)
-    share = min(1 << 62, sample * (1 << 62) // rows)  # of the hashes; above zero for any number of rows
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    chosen = texts.where(F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(1 << 62)) < F.lit(share))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -275,13 +272,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             yield pd.DataFrame(out, columns=["half", "kind", "label", "x"])
 
     # one row per distinct form keeps frequent forms from filling the table
-    table = cut(chosen.mapInPandas(run, "half int, kind int, label double, x array<double>"), "pii-candidates")
-    table = table.groupBy("half", "kind", "label", "x").agg(F.count("*").cast("double").alias("weight")).withColumn("features", array_to_vector("x"))
-    seen = {(r["half"], r["label"]) for r in table.select("half", "label").distinct().collect()}
-    if not {(0, 0.0), (0, 1.0)} <= seen:
+    found = texts.mapInPandas(run, "half int, kind int, label double, x array<double>")
+    table = cut(found.groupBy("half", "kind", "label", "x").agg(F.count("*").cast("double").alias("weight")), "pii-forms")
+    seen = {(r["half"], r["label"]): r["n"] for r in table.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
+    if not {(0, 0.0), (0, 1.0)} <= seen.keys():
         return SpanModel([], [], [2.0] * 4)
-    train = table.where("half = 0").coalesce(2)
-    gbt = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, weightCol="weight", cacheNodeIds=False).fit(train)
+    table = table.withColumn("features", array_to_vector("x"))
+    forms = seen[0, 0.0] + seen[0, 1.0]
+    train = table.where("half = 0").coalesce(2 + forms // 50_000)
+    bins = max(32, math.isqrt(forms) + 1)  # Spark looks for split points in a sample of max(10,000, bins ** 2) rows
+    gbt = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=bins, weightCol="weight", cacheNodeIds=False).fit(train)
     path = shared_path(spark, "pii-trees")
     gbt.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # at most 12 trees of 31 nodes
@@ -298,9 +298,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         trees.append((feature, cut_at, left, right, value))
     model = SpanModel(trees, list(gbt.treeWeights), [2.0] * 4)
     scored = gbt.transform(table.where("half = 1")).select("kind", "label", "weight", F.floor(vector_to_array("probability")[1] * 50).cast("int").alias("bin"))
-    bins = scored.groupBy("kind", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect()  # 4 kinds x 51 bins
+    binned = scored.groupBy("kind", "bin").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect()  # 4 kinds x 51 bins
     for kind in range(len(KINDS)):
-        model.thresholds[kind] = _threshold([(r["bin"], r["n"], r["good"]) for r in bins if r["kind"] == kind])
+        model.thresholds[kind] = _threshold([(r["bin"], r["n"], r["good"]) for r in binned if r["kind"] == kind])
     return model
 
 

@@ -77,6 +77,19 @@ def test_forms_the_rules_do_not_know_get_spans(spark):
     assert pii.redact_text(texts[0], model) == "the phone [PHONE] is here"
 
 
+def test_learns_from_every_document(spark):
+    """30,000 documents, personal data only in such as a sample of 20,000 by hash would leave out."""
+    from pyspark.sql import functions as F
+
+    n = F.lpad((F.col("doc_id") * 7919 % 10**7).cast("string"), 7, "0")
+    text = F.concat(F.lit("call +1 (293) "), F.substring(n, 1, 3), F.lit("-"), F.substring(n, 4, 4), F.lit(" or x"), "doc_id", F.lit("@mail.example.com at room "), "doc_id")
+    outside = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")), F.lit(1 << 62)) >= (20_000 * (1 << 62) // 30_000)
+    docs = spark.range(30_000).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    docs = docs.withColumn("text", F.when(outside & (F.col("doc_id") % 10 == 0), F.col("text")).otherwise(F.concat(F.lit("order 12-345678 of item "), "doc_id")))
+    model = pii.fit(docs)
+    assert model.trees and min(model.thresholds) <= 1
+
+
 def test_overlaps_by_search_equal_all_pairs():
     rng = random.Random(3)
     for _ in range(200):
