@@ -22,7 +22,6 @@ ORDERS = (3, 4, 5)
 BITS = 20
 FEATURES = 4096  #: n-grams that the classifier weighs
 BATCH_ROWS = 1000
-SAMPLE = 20_000  #: labelled documents, the first by a hash of their id, from which it learns
 THRESHOLD = 0.3
 _MULTIPLIER = np.uint32(2654435761)
 
@@ -95,8 +94,8 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Learn from at most ``sample`` labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Learn from all labelled documents outside the held-out fold.
 
     Null labels are left out; of several labels of one document the largest counts; rows that repeat
     an id are trained on each. Null texts count as empty, very long ones are read whole. Of n-grams
@@ -108,10 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     batch_rows(spark, BATCH_ROWS)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
-    # at most `sample` ids and labels go to every task
-    train = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(marked), "id").select("text", "y")
-    train = cut(train.repartition(8), "toxic-train")
+    texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    train = cut(texts.join(marked, "id").select("text", "y"), "toxic-train")
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows, toxic = sum(totals.values()), totals.get(1, 0)
     if not toxic or toxic == rows:
@@ -161,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"label": (pdf["y"] == 1).astype(float), "i": [x[0] for x in xs], "v": [x[1] for x in xs]})
 
     size = len(chosen)
-    as_vector = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())  # at most ``sample`` rows; Spark has no function for sparse vectors
-    entries = cut(train.mapInPandas(vectors, "label double, i array<int>, v array<double>"), "toxic-entries")
-    table = entries.select("label", as_vector("i", "v").alias("features"))
+    as_vector = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())  # Spark has no function for sparse vectors
+    entries = train.mapInPandas(vectors, "label double, i array<int>, v array<double>")
+    table = cut(entries.select("label", as_vector("i", "v").alias("features")), "toxic-entries")
     model = LogisticRegression(maxIter=100, regParam=0.002, standardization=False).fit(table)
     weights = np.zeros(1 << BITS)
     weights[chosen["gram"].to_numpy()] = model.coefficients.toArray() * ratio

@@ -48,6 +48,21 @@ def test_odd_inputs(spark, docs, empty):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_learns_from_every_labelled_document(spark):
+    """24,000 labels outside the fold, of which the toxic ones are such as a sample of 20,000 by hash would leave out."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(32_000).withColumnRenamed("id", "doc_id").where(~toxicity.held_out("doc_id"))
+    late = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[20_000:]]
+    bad = late[:400]
+    labels = ids.withColumn("toxic", F.col("doc_id").isin(bad).cast("int"))
+    docs = labels.select("doc_id", F.when(F.col("toxic") == 1, "some vileza here").otherwise("some words here").alias("text"))
+    model = toxicity.fit(docs, labels)
+    assert model.wanted.any()
+    low, high = model.scores(["some words here", "some vileza here"])
+    assert low < 0.3 <= high
+
+
 def test_ngrams_stay_in_their_text():
     doc, gram = toxicity.present(["abcd", "", "wxyz"])
     alone = [set(toxicity.present([t])[1].tolist()) - {0} for t in ("abcd", "", "wxyz")]
