@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    train = cut(texts.join(marked, "id").select("text", "y"), "toxic-train")
+    # labels grow with the documents, so they are shuffled at any size
+    train = cut(texts.join(marked.hint("merge"), "id").select("text", "y"), "toxic-train")
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows, toxic = sum(totals.values()), totals.get(1, 0)
     if not toxic or toxic == rows:
