@@ -148,3 +148,10 @@ def test_payloads(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><link rel="self" href="s"/><link href="https://x/10.5555/ab"/><updated>2021-03-04T05:06:07Z</updated><author><name>Ann</name></author><author><name> Bo 0</name></author><summary>s</summary></entry></feed>')
     (row,) = W.atom_entries(spark, str(tmp_path / "a.xml"), "J").collect()
     assert (row["title"], row["authors"], row["pub_date"], row["url"], row["doi"]) == ("T", "Ann; Bo 0", "2021-03-04", "https://x/10.5555/ab", "10.5555/ab")
+
+
+def test_inverted_authors_work_out_each_step_once(spark):
+    many = "; ".join(f"Ann{k} Lee" for k in range(400))
+    rows = spark.createDataFrame([(many,)], "raw string").select(K.inverted_authors(F.col("raw")).alias("authors"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("raw#") <= 4  # each lambda that holds an expression multiplies the work
+    assert rows.first()["authors"] == many
