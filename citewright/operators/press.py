@@ -47,7 +47,8 @@ def editor_network(works: DataFrame, people: DataFrame, top: int = 220, least: i
     authors by such links and for all authors who are editors themselves.
 
     Authors are ranked before pairs are formed: an author's links are the editors of each of their
-    collections, without the author.
+    collections, without the author. Names with equal sets of collections are counted as one, so a pair is
+    counted once for the sets and comes once for each pair of names, not once a collection.
     """
     place = works.select("work", "parent")
     held = _authors(people).join(place, "work").select("parent", F.col("name").alias("author")).distinct()
@@ -57,7 +58,23 @@ def editor_network(works: DataFrame, people: DataFrame, top: int = 220, least: i
     links = held.join(size, "parent").join(own, ["parent", "author"], "left").groupBy("author").agg(F.sum(F.col("editors") - F.coalesce("own", F.lit(0))).alias("links"))
     best = links.orderBy(F.desc("links"), "author").limit(top).where(F.col("links") >= least)
     shown = best.select("author").union(led.select("editor")).distinct()
-    return held.join(shown, "author", "left_semi").join(led, "parent").where("editor <> author").groupBy("editor", "author").agg(F.count("*").alias("weight"))
+    editors, led_by = _by_set(led, "editor", "es")
+    authors, held_by = _by_set(held.join(shown, "author", "left_semi"), "author", "as")
+    weights = led_by.join(held_by, "parent").groupBy("es", "as").agg(F.count("*").alias("weight"))
+    blocks = authors.groupBy("as").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    authors = authors.join(blocks, "as").select("as", F.pmod(F.xxhash64("author"), "blocks").cast("int").alias("block"), "author")
+    rows = weights.join(blocks, "as").join(editors, "es").select("as", "editor", "weight", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    tasks = int(works.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but each row pairs with a block of names
+    return rows.repartition(tasks, "editor", "block").join(authors, ["as", "block"]).where("editor <> author").select("editor", "author", "weight")
+
+
+MEMBERS = 250  #: names of one set that a task pairs at a time, about
+
+
+def _by_set(rows: DataFrame, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, name), (key, parent)) of the distinct ``rows(parent, name)``: names by their set of parents, and the sets once each."""
+    sets = rows.groupBy(name).agg(F.sort_array(F.collect_list("parent")).alias("parents")).withColumn(key, F.sha2(F.concat_ws(",", F.col("parents").cast("array<string>")), 256))
+    return sets.select(key, name), sets.groupBy(key).agg(F.any_value("parents").alias("parents")).select(key, F.explode("parents").alias("parent"))
 
 
 def coauthorship(people: DataFrame, least_works: int = 2, top: int = 160) -> DataFrame:

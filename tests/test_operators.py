@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from citewright.functions import cleaning as K
 from citewright.functions import values as V
 from citewright.operators import citations as C
 from citewright.operators import graphs as G
+from citewright.operators import press
 from citewright.operators.components import connected_components, spanning_forest
 
 
@@ -75,3 +78,18 @@ def test_late_events_and_several_batches(spark, tmp_path):
     assert sorted(r["event_id"] for r in S.drain(S.once(stream())).collect()) == [1, 2, 4, 5]
     (last,) = S.drain(S.latest(stream()), "update", ["user_id", "event_type"]).collect()
     assert (last["value"], last["n"]) == (4.0, 6)
+
+
+def test_editors_and_authors_of_equal_sets_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(press, "MEMBERS", 3)
+    works = spark.createDataFrame([(k, k % 5) for k in range(50)], "work long, parent long")
+    people = spark.createDataFrame([(w, f"n{n}", "editor" if n % 3 == 0 else "author", 1) for w in range(50) for n in range(20) if n < 15 or (w % 5) in (n % 5, (n + 1) % 5)], "work long, name string, role string, place int")
+    led = people.where("role = 'editor'").join(works, "work").select("parent", "name").distinct()
+    sets, parents = press._by_set(led, "name", "s")
+    assert sets.count() == 7 and parents.select("s").distinct().count() == 3 and parents.count() == 9
+    held = {(r["parent"], r["name"], r["role"]) for r in people.join(works, "work").collect()}
+    want = Counter((e, a) for p, e, x in held if x == "editor" for q, a, y in held if y == "author" and p == q and e != a)
+    for top in (2, 220):
+        got = {(r["editor"], r["author"]): r["weight"] for r in press.editor_network(works, people, top).collect()}
+        best = sorted({a for _, a in want}, key=lambda n: (-sum(k for (_, a), k in want.items() if a == n), n))[:top]
+        assert got == {k: n for k, n in want.items() if k[1] in best}
