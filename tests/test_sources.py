@@ -95,3 +95,12 @@ def test_reports_and_kinds_of_books(spark, tmp_path):
     assert len(list((tmp_path / "report").glob("*.csv"))) == 1
     kinds = spark.createDataFrame([("edited-book", False), ("book", True), ("book", False), ("monograph", True), (None, False)], "t string, e boolean")
     assert [r[0] for r in kinds.select(cleaning.book_type(F.col("t"), F.col("e"))).collect()] == ["edited-collection", "edited-collection", "monograph", "monograph", "monograph"]
+
+
+def test_long_titles_leave_their_task_as_keys(spark):
+    words = [f"w{k}" for k in range(20_000)]  # a start for every word: 20,000 copies of 130 KB were one row each
+    rows = spark.createDataFrame([(1, " ".join(words[:900]), 2001, "crossref", 1), (2, " ".join(words), 2001, "rss", 1), (3, "w0 w1", 1999, "rss", 1)], "id long, title string, year int, source string, filled int")
+    got = M.match_cascade(rows)
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 3)}
+    pairs = M._extends(rows.where("id = 2").select("title"), rows.select(M._key(F.col("title")).alias("t")))
+    assert pairs.count() == 2 and max(len(v) for r in pairs.collect() for v in r) == M.KEY
