@@ -8,6 +8,7 @@ from citewright.functions import values as V
 from citewright.operators import citations as C
 from citewright.operators import graphs as G
 from citewright.operators import press
+from citewright.operators import records as R
 from citewright.operators.components import connected_components, spanning_forest
 
 
@@ -93,3 +94,15 @@ def test_editors_and_authors_of_equal_sets_are_counted_once(spark, monkeypatch):
         got = {(r["editor"], r["author"]): r["weight"] for r in press.editor_network(works, people, top).collect()}
         best = sorted({a for _, a in want}, key=lambda n: (-sum(k for (_, a), k in want.items() if a == n), n))[:top]
         assert got == {k: n for k, n in want.items() if k[1] in best}
+
+
+def test_pairs_of_cocited_authors_are_dealt_once(spark, monkeypatch):
+    authors = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "z"), (3, "z"), (3, None)], "id long, name string")
+    links = spark.createDataFrame([(s, t) for s in (10, 11, 12) for t in (1, 2, 3)] + [(13, 1), (14, 1), (15, 2), (15, 3), (15, 3)], "source long, target long")
+    found = R.author_cocitation(authors, links, 2)
+    assert {tuple(r) for r in found.collect()} == {("x", "y", 3), ("x", "z", 4), ("y", "z", 3)}
+    written = []
+    monkeypatch.setattr(R, "cut", lambda df, label: written.append(df) or df)
+    R.author_cocitation(authors, links, 2)
+    plan = written[-1]._jdf.queryExecution().optimizedPlan().toString()  # of the counted pairs: numbers alone are dealt
+    assert "joint" not in plan and [f.dataType.simpleString() for f in written[-1].schema] == ["bigint", "bigint", "bigint"]
