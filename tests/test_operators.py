@@ -106,3 +106,15 @@ def test_pairs_of_cocited_authors_are_dealt_once(spark, monkeypatch):
     R.author_cocitation(authors, links, 2)
     plan = written[-1]._jdf.queryExecution().optimizedPlan().toString()  # of the counted pairs: numbers alone are dealt
     assert "joint" not in plan and [f.dataType.simpleString() for f in written[-1].schema] == ["bigint", "bigint", "bigint"]
+
+
+def test_shared_references_send_lists_and_no_pairs(spark):
+    rows = [(s, t, None) for t in (100, 101) for s in range(8)] + [(s, None, "d") for s in range(0, 8, 2)] + [(s, 200 + s, None) for s in range(8)] + [(90, 100, None), (None, 100, None), (91, None, None), (92, 101, None), (92, 101, None), (92, 5, None), (92, 6, None)]
+    citations = spark.createDataFrame(rows, "source long, target long, doi string")
+    pairs, size = C._shared_references(citations, 2, 3, 10)
+    want = {(a, b, 2 + (a % 2 == 0 and b % 2 == 0)) for a in range(8) for b in range(a + 1, 8)}
+    assert {tuple(r) for r in pairs.collect()} == want
+    assert {r["source"] for r in size.collect()} == {*range(8), 92}
+    few = C._shared_references(citations, 1, 3, 8)[0]  # more citers than 8: 100 and 101 take no part
+    assert {tuple(r) for r in few.collect()} == {(a, b, 1) for a in range(0, 8, 2) for b in range(a + 2, 8, 2)}
+    assert "hashpartitioning(a#" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and "b#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
