@@ -118,3 +118,11 @@ def test_shared_references_send_lists_and_no_pairs(spark):
     few = C._shared_references(citations, 1, 3, 8)[0]  # more citers than 8: 100 and 101 take no part
     assert {tuple(r) for r in few.collect()} == {(a, b, 1) for a in range(0, 8, 2) for b in range(a + 2, 8, 2)}
     assert "hashpartitioning(a#" in (plan := pairs._jdf.queryExecution().executedPlan().toString()) and "b#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_shared_foundations_count_pairs_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(C, "cut", lambda df, label: kept.append(label) or df)
+    citations = spark.createDataFrame([(s, 10 * t, None) for s in (1, 2, 3) for t in range(3 + (s < 3))], "source long, target long, doi string")
+    assert {tuple(r) for r in C.shared_foundations(citations, 2, 3).collect()} == {(1, 2, 4, 1.0), (1, 3, 3, 0.75), (2, 3, 3, 0.75)}
+    assert kept == ["shared"]
